@@ -110,11 +110,12 @@ def statistics(text: str, common: set[str]) -> dict:
     }
 
 
-def judge(text: str, s: dict) -> tuple[str | None, str | None]:
-    """``(kind, reason)``; both None for prose."""
+def judge(text: str, s: dict, raw: str | None = None) -> tuple[str | None, str | None]:
+    """``(kind, reason)``; both None for prose. ``raw`` is the text with its own tabs."""
     n, lines, words = s["size"], s["lines"], s["letters"]
     alphabetic = s["wide"] < 0.3 and s["thai"] < 0.3
-    rows, chars = _table_rows(lines) if _cell.search(text) else (0, 0)
+    raw = raw or text
+    rows, chars = _table_rows(raw.split("\n")) if _cell.search(raw) else (0, 0)
     if rows >= 2 and chars >= 0.5 * len(text):
         return "table", "rows_of_figures"
     if _mojibake.search(text) and sum(len(m) for m in _mojibake.findall(text)) >= MAX_MOJIBAKE * n:
@@ -129,8 +130,8 @@ def judge(text: str, s: dict) -> tuple[str | None, str | None]:
     if len(words) >= 20 and distinct < MIN_DISTINCT:
         return "junk", "repetition"
     if n >= 400 and (distinct < 0.4 or len(words) < 20):
-        raw = text.encode("utf-8", "replace")
-        if len(zlib.compress(raw, 1)) < MIN_PACKED * len(raw):
+        data = text.encode("utf-8", "replace")
+        if len(zlib.compress(data, 1)) < MIN_PACKED * len(data):
             return "junk", "repetition"
     if alphabetic and len(words) >= 10 and s["common"] < MIN_COMMON and s["ends"] * SENTENCE_WORDS < len(words):
         return "junk", "no_common_words"
@@ -173,12 +174,12 @@ def judged(df: DataFrame, key: str = "id", column: str = "text", common: set[str
         for b in batches:
             cols: list[list] = [[] for _ in range(7)]
             for t in b.column(1).to_pylist():
-                t = visual_form(t) if t else ""
+                raw, t = t, visual_form(t) if t else ""
                 if not t:
                     row = [None] * 7
                 else:
                     s = statistics(t, known)
-                    row = [s["words"], *(round(s[x], 6) for x in names[1:]), *judge(t, s)]
+                    row = [s["words"], *(round(s[x], 6) for x in names[1:]), *judge(t, s, raw)]
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:5]), *(pa.array(c, pa.string()) for c in cols[5:])], names=["_k", *names, "kind", "reason"])

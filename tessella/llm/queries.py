@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, forms, packing, pieces, repeated
+from . import bpe, forms, packing, pieces, quality, repeated, scans
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(table(spark, d, "chunks").select("id", "source", "document", "page", "text"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,6 +25,14 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeated.strip_repeated(table(spark, d, "chunks").select("id", "source", "document", "text").dropDuplicates(["id"])).select("id", "clean_text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judged(table(spark, d, "chunks")).where("kind is not null").select("id", "kind")
+
+
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judged(table(spark, d, "chunks"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = forms.lookalike_pairs(table(spark, d, "chunks"), "id", "text", 6)
     names = table(spark, d, "banking_ontology").select("concept_no", F.explode("aliases").alias("alias"))
@@ -55,7 +67,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p5_found": p5_found, "p5_forms": p5_forms,
+        "p1_found": p1_found, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p3_found": p3_found, "p3_statistics": p3_statistics, "p5_found": p5_found, "p5_forms": p5_forms,
         "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report,
     }
 
