@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..session import cut, sized_join
 from .forms import visual_form
 from .pieces import HEADING
+from .quality import _mojibake
 
 # What a scanner takes for which letters: as read, then as printed.
 CONFUSIONS = {
@@ -37,20 +38,25 @@ CONFUSIONS = {
     "ri": "n", "cl": "d", "li": "h", "rn": "m", "vv": "w", "ii": "ü",
 }
 #: A misreading is at most one in so many of its word; with a figure or sign inside it needs less proof.
-RATIO, RATIO_SIGN, LEAST = 15, 2, 8
+RATIO, RATIO_SIGN = 15, 2
+#: Least occurrences of the word that was meant: outright and as a share of all words.
+LEAST, LEAST_SHARE = 8, 1.5e-5
+#: A passage with a smaller share of frequent words is junk: its words are not misreadings.
+LEAST_FREQUENT = 0.5
 #: Words that are surely no misreadings and not looked up; the list is sent to every task.
-FREQUENT = 5000
+FREQUENT = 2000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
 _word = re.compile(rf"[0-9{_LATIN}]+(?:[!|][0-9{_LATIN}]+)*")
 _pure = re.compile(rf"[{_LATIN}]+$")
 _hyphened = re.compile(rf"[{_LATIN}]+(?:-[{_LATIN}]+)+")
 #: A line that ends in a letter and a hyphen, and the beginnings of the next two lines.
-_break = re.compile(r"([^\W\d_]+)[-‐‑­][ \t ]*\n[ \t]*([^\W\d_]*)[^\n]*(?:\n[ \t]*([^\W\d_]*))?")
+_break = re.compile(r"(-?)\b([^\W\d_]+)[-\u2010\u2011\u00ad][ \t\u00a0]*\n[ \t]*([^\W\d_]*)(?=(-?)[^\n]*(?:\n[ \t]*([^\W\d_]*))?)")
 _page_line = re.compile(r"(?:(?:page|p|trang|tr|seite|s|página|pág|pag)\.? ?(\d{1,4})(?: ?(?:of|/|von|de|sur) ?\d{1,4})?|[-–—\[(] ?(\d{1,4}) ?[-–—\])]|(\d{1,4}) ?/ ?\d{1,4}|第? ?(\d{1,4}) ?[页頁])$", re.I)
 _bare = re.compile(r"\d{1,4}$")
 _suffix = re.compile(r"(?:\s*\|\s*|\s{2,}|\s+)(?:(?:p|tr|page|trang|seite|s)\.?\s*)?\d{1,4}$", re.I)
-_running = re.compile(r"\S\s+[—·•|]\s+\S")
+_running = re.compile(r"\S\s+[—·]\s+\S")
+_number = re.compile(r"(?<![^\W_])\d[\d.,:/-]*(?![^\W_])")
 _closing = re.compile(r"[.!?;:,…][”\"»’)]*$")
 _heading = re.compile(HEADING)
 _classes = [("vv", "w"), ("ri", "n"), ("cl", "d"), ("li", "h"), ("rn", "m"), ("ii", "u")]
@@ -60,7 +66,7 @@ _not_skeleton = re.compile(r"[^a-zß-\U0010ffff0-9!|]+")
 
 def skeleton(line: str) -> str:
     """A form of a line that is the same for its misreadings."""
-    x = unicodedata.normalize("NFD", _suffix.sub("", line).lower())
+    x = unicodedata.normalize("NFD", _number.sub("", _suffix.sub("", line)).lower())
     x = "".join(c for c in x if not "̀" <= c <= "ͯ")
     x = _not_skeleton.sub("", x)
     for a, b in _classes:
@@ -85,6 +91,8 @@ def word_counts(df: DataFrame, column: str) -> DataFrame:
             for t in b.column(0).to_pylist():
                 if not t:
                     continue
+                if _mojibake.search(t):
+                    continue
                 t = _break.sub("\n", t) if "-" in t or "­" in t or "‐" in t else t
                 t = visual_form(t).lower()
                 c.update(_words(t))
@@ -128,7 +136,8 @@ def misreadings(counts: DataFrame) -> DataFrame:
 
     sign = F.col("word").rlike("[0-9!|]")
     p = counts.select("key", "n").mapInArrow(propose, "word string, key string, m bigint")
-    hit = p.join(counts, "key").where(F.col("n") >= LEAST).where(F.when(sign, F.col("n") >= F.col("m") * RATIO_SIGN).otherwise(F.col("n") >= F.col("m") * RATIO))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hit = p.join(counts, "key").where(F.col("n") >= max(LEAST, total * LEAST_SHARE)).where(F.when(sign, F.col("n") >= F.col("m") * RATIO_SIGN).otherwise(F.col("n") >= F.col("m") * RATIO))
     return hit.groupBy("word").agg(F.max_by("key", F.struct("n", "key")).alias("correction"))
 
 
@@ -157,10 +166,14 @@ def marks(df: DataFrame, frequent: set[str]) -> DataFrame:
                 low = v.lower()
                 if "-" in t or "­" in t or "‐" in t or "‑" in t:
                     for m in _break.finditer(t):
-                        if m[2] or m[3]:
-                            add(i, "break", visual_form(m[1]).lower(), visual_form(m[2] or "").lower(), visual_form(m[3] or "").lower())
-                for w in {w for w in _words(low) if w not in frequent}:
-                    add(i, "word", w)
+                        if not m[1] and not m[4] and (m[3] or m[5]):  # no part of a longer chain of hyphens
+                            add(i, "break", visual_form(m[2]).lower(), visual_form(m[3]).lower(), visual_form(m[5] or "").lower())
+                words = _words(low)
+                rare = [w for w in words if w not in frequent]
+                readable = len(rare) <= (1 - LEAST_FREQUENT) * len(words) and 2 * sum(map(len, words)) >= sum(map(len, v.split())) and not _mojibake.search(t)
+                if readable:
+                    for w in dict.fromkeys(rare):
+                        add(i, "word", w)
                 lines = [x.strip() for x in v.split("\n")]
                 last = len(lines) - 1
                 for k, x in enumerate(lines):
@@ -168,8 +181,8 @@ def marks(df: DataFrame, frequent: set[str]) -> DataFrame:
                         n = next((g for g in m.groups() if g), x)
                         if m.re is _page_line or (page is not None and int(n) == page):
                             add(i, "page_no", n)
-                    elif 12 <= len(x) <= 200 and not _closing.search(x):
-                        form = _running.search(x) is not None and x.count("|") < 2
+                    elif readable and 12 <= len(x) <= 200 and not _closing.search(x):
+                        form = _running.search(x) is not None
                         if (form or k < 2 or k > last - 2) and not _heading.match(x):
                             s = skeleton(x)
                             if len(s) >= 8:
@@ -199,14 +212,18 @@ def kinds_of(found: DataFrame, counts: DataFrame, wrong: DataFrame) -> DataFrame
 
 
 def judge_breaks(breaks: DataFrame, counts: DataFrame) -> DataFrame:
-    """The kinds of breaks ``(a, b, c)`` that are broken words, with the joined ``word``."""
-    kinds = breaks.select("a", "b", "c").distinct()
+    """The kinds of breaks ``(a, b, c)`` that are broken words, with the joined ``word``. The joined
+    word is known: it is one. The hyphenated form is known, or both halves are, or the same two
+    halves meet at line ends again and again: it has its hyphen anyway. Else: it is one."""
+    kinds = breaks.groupBy("a", "b", "c").agg(F.count("*").alias("times"))
+    pairs = breaks.groupBy("a", "b").agg(F.count("*").alias("meet"))
     roles = {"ab": F.concat("a", "b"), "ac": F.concat("a", "c"), "hb": F.concat_ws("-", "a", "b"), "hc": F.concat_ws("-", "a", "c"), "wa": F.col("a"), "wb": F.col("b"), "wc": F.col("c")}
     keys = kinds.select("a", "b", "c", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), k.alias("key")) for r, k in roles.items()])).alias("x")).select("a", "b", "c", "x.role", "x.key")
-    n = keys.join(counts, "key", "left").groupBy("a", "b", "c").agg(*[F.max(F.when(F.col("role") == r, F.coalesce("n", F.lit(0)))).alias(r) for r in roles])
+    n = keys.join(counts, "key", "left").groupBy("a", "b", "c").agg(*[F.max(F.when(F.col("role") == r, F.coalesce("n", F.lit(0)))).alias(r) for r in roles]).join(pairs, ["a", "b"])
     near = (F.col("b") != "") & (F.col("ab") > F.col("hb"))
     far = (F.col("c") != "") & (F.col("ac") > F.col("hc")) & ((F.col("b") == "") | (F.col("ab") == 0))
-    own = (F.col("hb") > 0) | ((F.col("c") != "") & (F.col("hc") > 0)) | ((F.col("wa") > 0) & (F.col("wb") + F.when(F.col("b") == "", F.col("wc")).otherwise(0) > 0))
+    other = F.when(F.col("b") != "", F.col("wb")).otherwise(F.col("wc"))
+    own = (F.col("hb") > 0) | ((F.col("c") != "") & (F.col("hc") > 0)) | (((F.col("wa") > 0) | (F.length("a") == 1)) & (other > 0)) | ((F.col("b") != "") & (F.col("meet") >= 3))
     word = F.when(near, F.concat("a", "b")).when(far, F.concat("a", "c")).when(~own, F.concat("a", F.when(F.col("b") != "", F.col("b")).otherwise(F.col("c"))))
     return n.select("a", "b", "c", word.alias("word")).where("word is not null")
 
@@ -217,5 +234,5 @@ def header_lines(lines: DataFrame) -> DataFrame:
     k = lines.select("id", F.coalesce(F.col("document"), F.lit("")).alias("document"), "source", "page", F.xxhash64("a").alias("k"), (F.col("b") == "r").alias("r")).distinct()
     per_doc = k.groupBy("source", "k", "document").agg(F.countDistinct("page").alias("pages"), F.max("r").alias("r"))
     docs = per_doc.groupBy("source", "k").agg(F.count("*").alias("docs"))
-    good = cut(per_doc.join(docs, ["source", "k"]).where("docs < 3 and r").select("source", "k", "document"))
+    good = cut(per_doc.join(docs, ["source", "k"]).where("docs < 3 and (r or pages >= 3)").select("source", "k", "document"))
     return sized_join(k, good, ["source", "k", "document"], "left_semi").select("id")
