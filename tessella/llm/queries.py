@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import bpe, forms, packing, pieces, quality, repeated, scans
+from ..session import cut, table
+from . import bpe, forms, packing, pieces, quality, repeated, scans, sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,17 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.judged(table(spark, d, "chunks"))
 
 
+def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select("id", "text", "lang")
+    models = sentences.learn(cut(sentences.statistics(chunks, "text", "lang")))
+    asked = table(spark, d, "sentence_sample").select("id").distinct()
+    return sentences.split_sentences(chunks.join(asked, "id", "left_semi"), models)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_sentences(spark, d).select("id", "start_pos")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = forms.lookalike_pairs(table(spark, d, "chunks"), "id", "text", 6)
     names = table(spark, d, "banking_ontology").select("concept_no", F.explode("aliases").alias("alias"))
@@ -67,7 +78,8 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p3_found": p3_found, "p3_statistics": p3_statistics, "p5_found": p5_found, "p5_forms": p5_forms,
+        "p1_found": p1_found, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_sentences": p4_sentences,
+        "p5_found": p5_found, "p5_forms": p5_forms,
         "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report,
     }
 
