@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import bpe, forms, packing, pieces, quality, repeated, scans, sentences
+from . import bpe, forms, neardup, packing, pieces, quality, repeated, scans, sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +63,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.recut_pages(table(spark, d, "chunks"), table(spark, d, "size_limits"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, d, "chunks"), "id", "text")
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(table(spark, d, "chunks"), "id", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -80,7 +88,7 @@ def queries() -> dict:
     return {
         "p1_found": p1_found, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_sentences": p4_sentences,
         "p5_found": p5_found, "p5_forms": p5_forms,
-        "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report,
+        "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report,
     }
 
 
