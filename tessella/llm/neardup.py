@@ -6,7 +6,7 @@ places in which they differ. The covering code is a fixed family of masks, each
 anchors of a fingerprint are the words that it reads under the masks. Two fingerprints whose distance
 is within the threshold agree under some mask, so they are replicated to a common anchor; with masks
 of ``ROWS`` places of ``SYMBOLS`` the chance that a pair of similarity s shares no anchor is
-(1 - s^ROWS)^MASKS: 5e-3 at 0.5, 3e-5 at 0.6, under 1e-9 at 0.7. Pairs that meet at an anchor are
+(1 - s^ROWS)^MASKS: 5 % at 0.5, 1e-3 at 0.6, 2e-6 at 0.7. Pairs that meet at an anchor are
 compared exactly, on the whole sets of triples.
 
 Exact copies (same words) are one class with one representative, so they never meet at an anchor; the
@@ -34,7 +34,7 @@ from .forms import canonical_form
 from .quality import MARKS
 
 #: Places of a mask, masks, least similarity, least characters of a text.
-ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 4, 72, 0.5, 200, 3
+ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 4, 48, 0.5, 200, 3
 SYMBOLS = ROWS * MASKS
 _word = re.compile(f"(?:[^\\W_]|[{MARKS}])+")
 
@@ -129,16 +129,16 @@ def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, **
     of equal word lists, and members ``(key, rep)`` of every class."""
     k = how.get("k", SHINGLE)
     prints = cut(fingerprints(df, key, text, **how).withColumnRenamed(key, "_id"))
-    classes = prints.groupBy("w1", "w2").agg(F.min("_id").alias("rep"), F.first("anchors").alias("anchors"))
-    classes = cut(classes)
-    members = prints.select("_id", "w1", "w2").distinct().join(classes.select("w1", "w2", "rep"), ["w1", "w2"]).select(F.col("_id").alias(key), "rep")
-    at = classes.select("rep", F.explode("anchors").alias("anchor"))
-    shared = at.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"))
-    met = shared.where("n > 1")
+    words = prints.select("_id", "w1", "w2").distinct()
+    reps = words.groupBy("w1", "w2").agg(F.min("_id").alias("rep"))
+    members = cut(words.join(reps, ["w1", "w2"]).select(F.col("_id").alias(key), "rep"))
+    copies = cut(members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("_id")))
+    # a record given twice has the same anchors twice: the aggregates below don't mind
+    at = sized_join(prints.select("_id", "anchors"), copies, ["_id"], "left_anti", 2_000_000).select(F.col("_id").alias("rep"), F.explode("anchors").alias("anchor"))
+    met = cut(at.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo <> hi"))
     # two fingerprints at an anchor are a pair at once; only larger anchors are joined
     two = met.where("n = 2").select(F.col("lo").alias("rep_a"), F.col("hi").alias("rep_b"))
-    more = met.where("n > 2").select("anchor")
-    full = at.join(more, "anchor")
+    full = cut(sized_join(at, met.where("n > 2").select("anchor"), ["anchor"], "left_semi", 2_000_000).distinct())
     many = full.select("anchor", F.col("rep").alias("rep_a")).join(full.select("anchor", F.col("rep").alias("rep_b")), "anchor").where("rep_a < rep_b").select("rep_a", "rep_b")
     candidates = cut(two.unionByName(many).distinct())
     ids = cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("_id")).distinct())
@@ -163,7 +163,7 @@ def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, **
 def similar_pairs(df: DataFrame, key: str, text: str, **how) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: all pairs of similar records, copies included."""
     links, members = similar_classes(df, key, text, **how)
-    links, members = cut(links), cut(members)
+    links = cut(links)
     a, b = members.select(F.col(key).alias("x"), F.col("rep").alias("rep_a")), members.select(F.col(key).alias("y"), F.col("rep").alias("rep_b"))
     between = links.join(a, "rep_a").join(b, "rep_b").select("x", "y")
     large = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
@@ -177,7 +177,7 @@ def similar_groups(df: DataFrame, key: str, text: str, rounds: int = 30, **how)
     that it is linked to over any number of links (minimum labels, with the labels of labels, until
     nothing changes), links counts the classes linked to its own."""
     links, members = similar_classes(df, key, text, **how)
-    links, members = cut(links.select("rep_a", "rep_b")), cut(members)
+    links, members = cut(links.select("rep_a", "rep_b")), members
     both = links.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).unionByName(links.select(F.col("rep_b").alias("u"), F.col("rep_a").alias("v")))
     label = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("g")))
     for _ in range(rounds):
