@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import bpe, forms, neardup, packing, pieces, quality, repeated, scans, sentences
+from . import abuse, bpe, forms, neardup, packing, pieces, quality, repeated, scans, sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,11 +84,25 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, d), table(spark, d, "pack_limits"), "doc_id")
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return abuse.scored(documents, abuse.learn(documents, table(spark, d, "review_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where(F.col("score") >= abuse.LEAST_SHARE).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents"), p10_scores(spark, d))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_sentences": p4_sentences,
         "p5_found": p5_found, "p5_forms": p5_forms,
         "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report,
+        "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
     }
 
 
