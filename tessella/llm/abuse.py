@@ -134,41 +134,42 @@ class BlockMaxIndex:
         return ids, [y / norm for y in v]
 
     def search(self, ids: list[int], v: list[float], k: int, least: float, skip: int = -1) -> list[tuple[float, int]]:
-        bound = np.zeros(self.n // BLOCK + 1, np.float32)
-        for i, y in zip(ids, v, strict=True):
-            a, b = self.block_start[i], self.block_start[i + 1]
-            bound[self.block_no[a:b]] += y * self.block_max[a:b]
-        score = np.zeros(self.n, np.float32)
+        if not ids:
+            return []
+        ids, v = np.array(ids), np.array(v)
+        entries, of = _ranges(self.block_start[ids], self.block_start[ids + 1])
+        no, y = self.block_no[entries], v[of]
+        bound = np.bincount(no, y * self.block_max[entries], self.n // BLOCK + 1)
         first = min(6, len(bound))
         best = np.argpartition(-bound, first - 1)[:first]  # the threshold comes from the most promising blocks
         chosen = np.zeros(len(bound), bool)
         chosen[best] = True
-        self._add(score, ids, v, chosen)
+        score = self._scores(entries, y, chosen[no])
         if skip >= 0:
             score[skip] = 0
         some = np.concatenate([score[x * BLOCK : (x + 1) * BLOCK] for x in best])
-        floor = least
-        if len(some) >= k:
-            floor = max(least, float(np.partition(some, len(some) - k)[len(some) - k]))
-        alive = bound >= floor
+        floor = max(least, float(np.partition(some, len(some) - k)[len(some) - k])) if len(some) >= k else least
+        alive = bound >= floor - 1e-6
         alive[best] = False
         if alive.any():
-            self._add(score, ids, v, alive)
+            score += self._scores(entries, y, alive[no])
             if skip >= 0:
                 score[skip] = 0
-        hit = np.flatnonzero(score >= floor)
+        hit = np.flatnonzero(score >= floor - 1e-6)
         hit = hit[np.lexsort((hit, -score[hit]))][:k]
-        return [(float(score[i]), int(i)) for i in hit]
+        return [(float(score[i]), int(i)) for i in hit if score[i] >= least]
 
-    def _add(self, score, ids, v, blocks) -> None:
-        for i, y in zip(ids, v, strict=True):
-            a, b = self.block_start[i], self.block_start[i + 1]
-            keep = np.flatnonzero(blocks[self.block_no[a:b]])
-            if len(keep) == 0:
-                continue
-            f, n = self.block_from[a + keep], self.block_to[a + keep] - self.block_from[a + keep]
-            at = np.repeat(f - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            score[self.docs[at]] += y * self.weights[at]
+    def _scores(self, entries, y, keep) -> np.ndarray:
+        e = entries[keep]
+        at, of = _ranges(self.block_from[e], self.block_to[e])
+        return np.bincount(self.docs[at], y[keep][of] * self.weights[at], self.n)
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of several ranges one after another, and which range each is of."""
+    n = stop - start
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - (np.cumsum(n) - n)[of] + start[of], of
 
 
 class Model:
