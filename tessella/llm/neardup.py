@@ -6,8 +6,8 @@ places in which they differ. The covering code is a fixed family of masks, each
 anchors of a fingerprint are the words that it reads under the masks. Two fingerprints whose distance
 is within the threshold agree under some mask, so they are replicated to a common anchor; with masks
 of ``ROWS`` places of ``SYMBOLS`` the chance that a pair of similarity s shares no anchor is
-(1 - s^ROWS)^MASKS: 5 % at 0.5, 1e-3 at 0.6, 2e-6 at 0.7. Pairs that meet at an anchor are
-compared exactly, on the whole sets of triples.
+(1 - s^ROWS)^MASKS: 5 % at 0.5, 1e-3 at 0.6, 2e-6 at 0.7. Pairs that meet at an anchor, and
+whose sketches (a bit of each value) are not far apart, are compared exactly, on the whole sets of triples.
 
 Exact copies (same words) are one class with one representative, so they never meet at an anchor; the
 pairs of ``pairs`` are expanded from the classes, those of ``classes`` are not.
@@ -36,13 +36,16 @@ from .quality import MARKS
 #: Places of a mask, masks, least similarity, least characters of a text.
 ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 4, 48, 0.5, 200, 3
 SYMBOLS = ROWS * MASKS
+#: Bits of the sketch, and the distance beyond which a pair is not compared: of pairs of similarity
+#: 0.5 some 0.4 % are farther, of 0.6 one in 10^5.
+SKETCH, FAR = 128, 45
 _word = re.compile(f"(?:[^\\W_]|[{MARKS}])+")
 
 
 
 def _coefficients(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(seed)
-    return r.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
+    return r.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def word_list(text: str) -> list[str]:
@@ -73,27 +76,34 @@ def _word_hash(w: str) -> int:
     return h
 
 
-def anchors(h: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit word a mask: the min-hash values at its places, and which mask it is."""
-    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(h), 4096):  # texts of any length in bounded memory
-        x = h[k : k + 4096, None] * a + b
-        np.minimum(out, (x ^ (x >> np.uint64(31))).min(axis=0), out=out)
-    out = out.reshape(-1, rows)
-    key = np.arange(len(out), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def anchors(h: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit word a mask, of the min-hash values at its places; and the lowest bits of the first
+    128 values as two words, a sketch whose Hamming distance tells far pairs apart cheaply."""
+    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(h), 256):  # in pieces that stay in the cache, whatever the length of the text
+        x = h[k : k + 256, None] * a
+        x += b
+        x ^= x >> np.uint32(15)
+        np.minimum(low, x.min(axis=0), out=low)
+    out = low.reshape(-1, rows)
+    key = np.arange(1, len(out) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for j in range(rows):
         key = (key ^ (key >> np.uint64(30)) ^ out[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
-    return key ^ (key >> np.uint64(31))
+    bits = np.zeros(SKETCH, np.uint8)
+    some = (low[:SKETCH] * np.uint32(0x85EBCA6B)) >> np.uint32(31)
+    bits[: len(some)] = some
+    return key ^ (key >> np.uint64(31)), np.packbits(bits).view(np.uint64)
 
 
 def fingerprints(df: DataFrame, key: str, text: str, masks: int = MASKS, rows: int = ROWS, least_chars: int = LEAST_CHARS, k: int = SHINGLE) -> DataFrame:
-    """``(key, w1, w2, anchors)``: 128 bits of the word list and the anchors."""
+    """``(key, w1, w2, s1, s2, anchors)``: 128 bits of the word list, the sketch, the anchors."""
     src = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).where((F.length("_t") >= least_chars) & F.col("_k").isNotNull())
 
     def work(batches):
         a, b = _coefficients(masks * rows)
         for batch in batches:
-            at, w1, w2, found = [], [], [], []
+            at, w1, w2, found, sketch = [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 words = word_list(t)
                 if len(words) < k:
@@ -102,13 +112,15 @@ def fingerprints(df: DataFrame, key: str, text: str, masks: int = MASKS, rows: i
                 at.append(i)
                 w1.append(d >> 64)
                 w2.append(d & (1 << 64) - 1)
-                found.append(anchors(shingles(words, k), a, b, rows))
+                key_words, bits = anchors(shingles(words, k), a, b, rows)
+                found.append(key_words)
+                sketch.append(bits)
             flat = np.concatenate(found) if found else np.empty(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * masks), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(w1, np.uint64).view(np.int64)), pa.array(np.array(w2, np.uint64).view(np.int64)), lists], names=["_k", "w1", "w2", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(w1, np.uint64).view(np.int64)), pa.array(np.array(w2, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(np.array(sketch, np.uint64).reshape(-1, 2)[:, j]).view(np.int64)) for j in (0, 1)), lists], names=["_k", "w1", "w2", "s1", "s2", "anchors"])
 
     kind = src.schema["_k"].dataType.simpleString()
-    return src.mapInArrow(work, f"_k {kind}, w1 bigint, w2 bigint, anchors array<bigint>").withColumnRenamed("_k", key)
+    return src.mapInArrow(work, f"_k {kind}, w1 bigint, w2 bigint, s1 bigint, s2 bigint, anchors array<bigint>").withColumnRenamed("_k", key)
 
 
 def triple_sets(df: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
@@ -134,12 +146,16 @@ def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, **
     members = cut(words.join(reps, ["w1", "w2"]).select(F.col("_id").alias(key), "rep"))
     copies = cut(members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("_id")))
     # a record given twice has the same anchors twice: the aggregates below don't mind
-    at = sized_join(prints.select("_id", "anchors"), copies, ["_id"], "left_anti", 2_000_000).select(F.col("_id").alias("rep"), F.explode("anchors").alias("anchor"))
-    met = cut(at.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo <> hi"))
-    # two fingerprints at an anchor are a pair at once; only larger anchors are joined
+    at = sized_join(prints.select("_id", "s1", "s2", "anchors"), copies, ["_id"], "left_anti", 2_000_000).select(F.col("_id").alias("rep"), "s1", "s2", F.explode("anchors").alias("anchor"))
+    far = lambda x, y: F.bit_count(x) + F.bit_count(y) <= FAR
+    met = at.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"), F.bit_xor("s1").alias("x1"), F.bit_xor("s2").alias("x2"))
+    # two fingerprints at an anchor are a pair at once, and the xor of their sketches tells their
+    # distance; only larger anchors are joined
+    met = cut(met.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("lo") != F.col("hi")) & far(F.col("x1"), F.col("x2")))))
     two = met.where("n = 2").select(F.col("lo").alias("rep_a"), F.col("hi").alias("rep_b"))
     full = cut(sized_join(at, met.where("n > 2").select("anchor"), ["anchor"], "left_semi", 2_000_000).distinct())
-    many = full.select("anchor", F.col("rep").alias("rep_a")).join(full.select("anchor", F.col("rep").alias("rep_b")), "anchor").where("rep_a < rep_b").select("rep_a", "rep_b")
+    many = full.select("anchor", F.col("rep").alias("rep_a"), F.col("s1").alias("a1"), F.col("s2").alias("a2")).join(full.select("anchor", F.col("rep").alias("rep_b"), F.col("s1").alias("b1"), F.col("s2").alias("b2")), "anchor")
+    many = many.where((F.col("rep_a") < F.col("rep_b")) & far(F.col("a1").bitwiseXOR(F.col("b1")), F.col("a2").bitwiseXOR(F.col("b2")))).select("rep_a", "rep_b")
     candidates = cut(two.unionByName(many).distinct())
     ids = cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("_id")).distinct())
     texts = sized_join(df.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where(F.length("_t") >= how.get("least_chars", LEAST_CHARS)), ids, ["_id"], "left_semi", 2_000_000)
