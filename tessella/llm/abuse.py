@@ -52,37 +52,48 @@ _end = re.compile(r"(?<=[.!?؟।])[)\"”»'’]*\s+|(?<=[。！？])|\n{2,}")
 _spaced_letters = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._\-]){3,}[^\W\d_](?![^\W_])")
 
 
-def folded(text: str) -> str:
-    t = _runs.sub(r"\1", visual_form(text).lower())
-    if not t.isascii():
-        t = _accents.sub("", unicodedata.normalize("NFD", t)).replace("đ", "d")
-    return t
+_words: dict[str, tuple[str, ...]] = {}
+
+
+def _term(word: str) -> tuple[str, ...]:
+    """A word as terms: runs of one letter as one, no accents, signs read as letters; letters of
+    scripts without spaces in pairs. Done once per distinct word."""
+    if word.isdigit():
+        return ()
+    w = _runs.sub(r"\1", word)
+    if not w.isascii():
+        w = _accents.sub("", unicodedata.normalize("NFD", w)).replace("đ", "d")
+    if not w.isalpha():
+        w = _stars.sub("*", w) if "*" in w else w.replace(".", "").translate(_leet)
+    if len(w) > 1 and _unspaced.search(w):
+        return tuple(w[i : i + 2] for i in range(len(w) - 1))
+    return (w,) if w else ()
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences of a folded text. A line that ends well before the widest one ends a sentence."""
-    t = folded(text)
+    """Sentences of a text in one form and lower case. A line that ends well before the widest one
+    ends a sentence."""
+    t = visual_form(text).lower()
+    if _spaced_letters.search(t):
+        t = _spaced_letters.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), t)
     lines = t.split("\n")
     if len(lines) > 1:
         width = max(map(len, lines)) * 0.7
-        t = "".join(x + ("\n\n" if len(x) < width else " ") for x in lines)
+        t = "".join([x + ("\n\n" if len(x) < width else " ") for x in lines])
     return [x for x in _end.split(t) if x and not x.isspace()]
 
 
 def terms(sentence: str) -> tuple[str, ...]:
     out: list[str] = []
-    if _spaced_letters.search(sentence):
-        sentence = _spaced_letters.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), sentence)
-    wide = _unspaced.search(sentence) is not None
+    known = _words
     for w in _token.findall(sentence):
-        if not w.isalpha():
-            if w.isdigit():
-                continue
-            w = _stars.sub("*", w) if "*" in w else w.replace(".", "").translate(_leet)
-        if wide and len(w) > 1 and _unspaced.search(w):
-            out += [w[i : i + 2] for i in range(len(w) - 1)]
-        else:
-            out.append(w)
+        try:
+            out += known[w]
+        except KeyError:
+            if len(known) >= 2 * MEMORY:
+                known.clear()
+            known[w] = _term(w)
+            out += known[w]
     return tuple(out)
 
 
@@ -190,23 +201,23 @@ class Model:
         names = list(self.index.terms)
         sums = np.add.reduceat(hits, self.index.start[:-1]) if len(names) else np.empty(0)
         share = sums / np.diff(self.index.start)
-        self.telling = frozenset(names[i] for i in np.flatnonzero(share >= TELLING))
+        told = [names[i] for i in np.flatnonzero(share >= TELLING)]
+        self.telling = frozenset(x for x in told if " " not in x)
+        self.telling_pairs = frozenset(tuple(x.split(" ")) for x in told if " " in x)
 
     def _share(self, near: list[tuple[float, int]], own: int = -1) -> float:
         p = s = 0.0
         for c, i in [*near, *([(1.0, own)] if own >= 0 else [])]:
             a, b = self.votes[i]
-            n = c * c * min(1.0, 5 / (a + b)) if a + b > 5 else c * c  # a sentence seen often has a few votes, not hundreds
-            p += n * b
-            s += n * (a + b)
+            p += c * c * b
+            s += c * c * (a + b)
         return p / s if s else 0.0
 
     def score(self, t: tuple[str, ...]) -> tuple[float, int]:
         """The vote and the nearest prototype of a sentence; (0, -1) if none is within reach."""
-        gs = grams(t)
-        if self.telling.isdisjoint(gs):
+        if self.telling.isdisjoint(t) and self.telling_pairs.isdisjoint(zip(t, t[1:], strict=False)):
             return 0.0, -1
-        ids, v = self.index.vector(gs)
+        ids, v = self.index.vector(grams(t))
         near = self.index.search(ids, v, NEIGHBOURS, LEAST_COSINE)
         proto = next((i for s, i in near if self.prototype[i] and s >= REACH), -1)
         return (self._share(near), proto) if proto >= 0 else (0.0, -1)
