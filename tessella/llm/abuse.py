@@ -37,7 +37,7 @@ from .forms import visual_form
 
 #: Bounds of the sample that the index is made of.
 LABELLED_POSITIVE, LABELLED_NEGATIVE = 1500, 2500
-NEIGHBOURS, LEAST_COSINE, REACH, LEAST_SHARE, PROTOTYPE, TELLING, BLOCK = 20, 0.25, 0.3, 0.5, 0.56, 0.25, 64
+NEIGHBOURS, LEAST_COSINE, REACH, LEAST_SHARE, PROTOTYPE, TELLING, BLOCK = 20, 0.25, 0.3, 0.62, 0.56, 0.25, 64
 #: Sentences whose score a worker remembers; the memory only saves time.
 MEMORY = 200_000
 

@@ -39,17 +39,17 @@ _table = str.maketrans(LOOKALIKES | dict.fromkeys(HYPHENS, "-"))
 _margin = re.compile("^ +| +$", re.M)
 
 
+#: Whatever a text must have at least one of to change, besides decomposed or compatibility forms.
+_special = re.compile(f"[{IGNORABLE}{BLANKS}{HYPHENS}{''.join(LOOKALIKES)}\r\u0085\u2028\u2029]")
+
+
 def visual_form(text: str) -> str:
     """The text as it looks: case and accents stay, encodings of the same sight become one."""
-    if not text.isascii():
-        text = _ignorable.sub("", text)
-        if not unicodedata.is_normalized("NFKC", text):
-            text = unicodedata.normalize("NFKC", _blank.sub(" ", text))
+    if _special.search(text) or not (text.isascii() or unicodedata.is_normalized("NFKC", text)):
+        text = _newline.sub("\n", _ignorable.sub("", text))
+        text = unicodedata.normalize("NFKC", _blank.sub(" ", text))
         if _alike.search(text):
             text = unicodedata.normalize("NFC", text.translate(_table))
-    if "\r" in text or not text.isascii():
-        text = _newline.sub("\n", text)
-    text = _blank.sub(" ", text)
     if " \n" in text or "\n " in text:
         text = _margin.sub("", text)
     return text.strip(" \n")
