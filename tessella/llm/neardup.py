@@ -6,7 +6,7 @@ places in which they differ. The covering code is a fixed family of masks, each
 anchors of a fingerprint are the words that it reads under the masks. Two fingerprints whose distance
 is within the threshold agree under some mask, so they are replicated to a common anchor; with masks
 of ``ROWS`` places of ``SYMBOLS`` the chance that a pair of similarity s shares no anchor is
-(1 - s^ROWS)^MASKS: 5 % at 0.5, 1e-3 at 0.6, 2e-6 at 0.7. Pairs that meet at an anchor, and
+(1 - s^ROWS)^MASKS: 15 % at 0.5, 0.8 % at 0.6, 2e-5 at 0.7. Pairs that meet at an anchor, and
 whose sketches (a bit of each value) are not far apart, are compared exactly, on the whole sets of triples.
 
 Exact copies (same words) are one class with one representative, so they never meet at an anchor; the
@@ -34,7 +34,7 @@ from .forms import canonical_form
 from .quality import MARKS
 
 #: Places of a mask, masks, least similarity, least characters of a text.
-ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 4, 48, 0.5, 200, 3
+ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 5, 60, 0.5, 200, 3
 SYMBOLS = ROWS * MASKS
 #: Bits of the sketch, and the distance beyond which a pair is not compared: of pairs of similarity
 #: 0.5 some 0.4 % are farther, of 0.6 one in 10^5.
