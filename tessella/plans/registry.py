@@ -1,11 +1,240 @@
-"""The queries of the core and their SQL."""
+"""The queries of the core, each over its whole tables; their SQL is in :mod:`.oracles`.
+
+``documents`` are pages (one row, page 1), cut into passages of 450 words; the labels of
+``banking_ontology`` are the batch of questions; ``chunks``, ``facts`` and ``doc_manifest`` are a
+ready-made index."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import answer, corpus, graph, ontology, retrieval
+from ..session import cut, table
+from . import oracles
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", "text").where("text is not null")
+
+
+def _passages(s: SparkSession, d: str) -> DataFrame:
+    return corpus.chunk_words(table(s, d, "documents"), "doc_id", "text")
+
+
+def _questions(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "banking_ontology").select(F.col("concept_no").alias("query_id"), F.col("concept_label").alias("question"))
+
+
+def _index(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "chunks").select("id", "document", "page", "chunk_on_page", "text", "quality_score")
+    return c.where("text is not null").dropDuplicates(["id"]).withColumnRenamed("id", "chunk_id")
+
+
+def _text(out: str, f):
+    return lambda s, d: _docs(s, d).select("doc_id", f(F.col("text")).alias(out))
+
+
+def _listed(out: str, f):
+    return lambda s, d: _docs(s, d).select("doc_id", F.array_join(f(F.col("text")), " ").alias(out))
+
+
+def sentence_split(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def chunk_words(s, d):
+    return _passages(s, d).select("doc_id", "chunk_on_page", "chunk_id", F.size(T.words(F.col("text"))).alias("n_words"), F.md5("text").alias("hash"))
+
+
+def chunk_merge(s, d):
+    return answer.merge_overlapping(_passages(s, d), ["doc_id"], ["chunk_on_page"], "text").select("doc_id", F.md5("text").alias("hash"))
+
+
+def char_ngrams(s, d):
+    return _docs(s, d).select("doc_id", T.char_ngrams(F.col("text")).alias("g")).select("doc_id", F.size("g").alias("grams"), F.size(F.array_distinct("g")).alias("distinct_grams"))
+
+
+def bm25_topk(analyser: str = "basic", k: int = 5):
+    return lambda s, d: retrieval.top_k(retrieval.bm25(_passages(s, d), _questions(s, d), analyser), k).select("query_id", "rank", "chunk_id", "score")
+
+
+def minmax(s, d):
+    return retrieval.minmax(retrieval.bm25(_passages(s, d), _questions(s, d))).select("query_id", "chunk_id", "norm")
+
+
+def feature_df(s, d):
+    return retrieval.features(_passages(s, d), "chunk_id", "text").groupBy(F.substring("feature", 1, 1).alias("kind")).agg(F.countDistinct("feature").alias("features"), F.count("*").alias("pairs"), F.round(F.sum("tf"), 3).alias("weight"))
+
+
+def sparse_topk(s, d):
+    return retrieval.top_k(retrieval.sparse_cosine(_passages(s, d), _questions(s, d)), 5).select("query_id", "rank", "chunk_id", "score")
+
+
+def hybrid_topk(s, d):
+    return retrieval.hybrid(_passages(s, d), _questions(s, d))
+
+
+def dense_topk(s, d):
+    v = table(s, d, "embeddings")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense(v, q, "vec_id", "embedding")
+
+
+def _ranked(s, d):
+    top = retrieval.top_k(retrieval.bm25(_passages(s, d), _questions(s, d)), 5)
+    return cut(top.join(_passages(s, d).select("chunk_id", "doc_id", "chunk_on_page", "text"), "chunk_id").join(_questions(s, d), "query_id"))
+
+
+def bonuses(s, d):
+    r = _ranked(s, d)
+    return r.select("query_id", "chunk_id", retrieval.phrase_bonus(F.col("question"), F.col("text")).alias("phrase"), retrieval.focus_bonus(F.col("question"), F.col("text")).alias("focus"), graph.overlap(F.col("question"), F.col("text")).alias("overlap"))
+
+
+def best_sentences(s, d):
+    return answer.best_sentences(_ranked(s, d))
+
+
+def context_pack(s, d):
+    r = _ranked(s, d).select("query_id", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text")).alias("block"))
+    return answer.packed_context(r).select("query_id", "rank", F.length("block").alias("chars"), F.md5("block").alias("hash"))
+
+
+def citations(s, d):
+    c = table(s, d, "chunks").select("id", "document", "page", "chunk_on_page", "text").where("text is not null").dropDuplicates(["id"])
+    return c.select("id", answer.citation(F.col("document"), F.col("page"), F.col("chunk_on_page")).alias("citation"), F.substring(T.clean_text(F.col("text")), 1, 420).alias("preview"))
+
+
+def inspect_stats(s, d):
+    f, m = table(s, d, "facts"), table(s, d, "doc_manifest").dropDuplicates(["id"])
+    a = m.agg(F.count("*").alias("documents"), F.sum("chunks").alias("chunks"), F.count_if(F.col("quality_status") == "review").alias("review"), F.count_if(F.col("document_number").isNull()).alias("unnumbered"))
+    return a.select(*a.columns, F.lit(f.count()).alias("facts"))
+
+
+def entity_members(s, d):
+    """Units are documents, entities the objects of their facts."""
+    f = table(s, d, "facts").where("object_id is not null and subject_id is not null")
+    return f.groupBy(F.col("subject_id").alias("unit"), F.col("object_id").alias("key")).agg(F.count("*").alias("n"))
+
+
+def _edges(s, d):
+    return graph.edges(entity_members(s, d))
+
+
+def label_propagation(s, d):
+    return graph.label_propagation(_edges(s, d))
+
+
+def community_table(s, d):
+    e = cut(_edges(s, d))
+    return graph.communities(graph.label_propagation(e), graph.degrees(e))
+
+
+def seed_entities(s, d):
+    """Concepts whose folded label stands in the question or shares words with it."""
+    c = table(s, d, "banking_ontology").select(F.col("id").alias("key"), F.col("concept_label").alias("name"))
+    q = _questions(s, d)
+    words = lambda x: F.explode(F.array_distinct(T.tokens_folded(x)))
+    hit = q.select("query_id", "question", words(F.col("question")).alias("w")).join(c.select("key", "name", words(F.col("name")).alias("w")), "w").groupBy("query_id", "question", "key", "name").agg(F.count("*").alias("n"))
+    x = hit.withColumn("score", F.round(F.col("n") / F.size(F.array_distinct(T.tokens_folded(F.col("question")))) + F.when(F.contains(T.normalized(F.col("question")), T.normalized(F.col("name"))), 0.95).otherwise(0.0), 6))
+    return retrieval.top_k(x, 8, tie="key").select("query_id", "rank", "key", "score")
+
+
+def local_retrieve(s, d):
+    seeds = cut(seed_entities(s, d)).select("query_id", "key", F.col("score").alias("seed"))
+    m = cut(entity_members(s, d))
+    return retrieval.top_k(graph.local_scores(seeds, m, graph.edges(m)), 7, tie="unit").select("query_id", "rank", "unit", "score")
+
+
+def entity_table(s, d):
+    return graph.entities(_docs(s, d), "doc_id", "text").select("doc_id", "key", "name", "n", "rank")
+
+
+def mode_choice(s, d):
+    return _questions(s, d).select("query_id", graph.choose_mode(F.col("question")).alias("mode"), graph.stripped_question(F.col("question")).alias("stripped"))
+
+
+def query_rewrite(s, d):
+    return retrieval.rewrites(_questions(s, d))
+
+
+def concept_match(s, d):
+    return ontology.find_concepts(_docs(s, d), "doc_id", "text", table(s, d, "banking_ontology"))
+
+
+def query_semantics(s, d):
+    q = _questions(s, d)
+    return ontology.find_concepts(q, "query_id", "question", table(s, d, "banking_ontology")).select("query_id", F.lit("concept").alias("kind"), F.col("concept").alias("value")).unionByName(ontology.intents(q, "query_id", "question").select("query_id", F.lit("intent").alias("kind"), F.col("predicate").alias("value")))
+
+
+def legal_refs(s, d):
+    return _docs(s, d).select("doc_id", F.posexplode(T.legal_refs(F.col("text"))).alias("pos", "ref"))
+
+
+def filename_refs(s, d):
+    return table(s, d, "doc_manifest").select("filename").distinct().select("filename", T.filename_ref(F.col("filename")).alias("ref"))
+
+
+def doc_quality(s, d):
+    return corpus.document_quality(_docs(s, d), "doc_id", "text")
+
+
+def document_stats(s, d):
+    return corpus.document_stats(table(s, d, "chunks"))
+
+
+def sentence_predicates(s, d):
+    return ontology.sentence_predicates(_docs(s, d), "doc_id", "text").select("doc_id", "pos", "predicate")
+
+
+def sentence_facts(s, d):
+    return ontology.sentence_facts(_docs(s, d), "doc_id", "text", table(s, d, "banking_ontology")).drop("sentence")
+
+
+def predicate_counts(s, d):
+    return table(s, d, "facts").groupBy("predicate_name").agg(F.count("*").alias("facts"), F.countDistinct("subject_id").alias("subjects"))
+
+
+def _ontology(s, d):
+    q, c = _questions(s, d), _index(s, d)
+    return ontology.ontology_scores(q, table(s, d, "facts"), c, table(s, d, "banking_ontology"), table(s, d, "doc_manifest"))
+
+
+def ontology_topk(s, d):
+    q, c = _questions(s, d), _index(s, d)
+    ont = retrieval.minmax(cut(_ontology(s, d)))
+    kw = retrieval.minmax(cut(retrieval.bm25(c, q, "folded")))
+    kw, ont = (ontology.routed(x, q, c, table(s, d, "doc_manifest")) for x in (kw, ont))
+    return ontology.ontology_rank(kw, ont, c.select("chunk_id", "quality_score"))
+
+
+def concept_check(s, d):
+    return ontology.invalid_concepts(table(s, d, "banking_ontology"))
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "bm25_topk": bm25_topk(), "bm25_dual": bm25_topk("dual"), "bm25_folded": bm25_topk("folded"), "minmax": minmax,
+        "clean_text": _text("clean", T.clean_text), "clean_text_dehyphen": _text("clean", T.clean_text_dehyphen), "ocr_repair": _text("repaired", T.repair_ocr),
+        "accent_fold": _text("folded", lambda x: T.fold(F.lower(x))), "normalized": _text("form", T.normalized), "text_quality": _text("quality", T.text_quality),
+        "tokens_basic": _listed("toks", T.tokens), "tokens_dual": _listed("toks", T.tokens_dual), "tokens_folded": _listed("toks", T.tokens_folded),
+        "token_bigrams": _listed("pairs", lambda x: T.bigrams(T.tokens_dual(x))), "char_ngrams": char_ngrams,
+        "doc_type": _text("kind", T.document_type), "promulgation_date": _text("dated", T.first_date),
+        "sentence_split": sentence_split, "chunk_words": chunk_words, "chunk_merge": chunk_merge,
+        "min_page_filter": lambda s, d: corpus.page_counts(table(s, d, "documents"), "text"),
+        "term_counts": lambda s, d: corpus.term_counts(_passages(s, d)), "doc_freq": lambda s, d: corpus.doc_freq(_passages(s, d)),
+        "corpus_stats": lambda s, d: corpus.corpus_stats(_passages(s, d)), "document_stats": document_stats, "doc_quality": doc_quality,
+        "article_segments": lambda s, d: corpus.article_segments(_docs(s, d), "doc_id", "text"), "article_carry": lambda s, d: corpus.carried_articles(table(s, d, "chunks")),
+        "legal_refs": legal_refs, "filename_refs": filename_refs,
+        "query_rewrite": query_rewrite, "feature_df": feature_df, "sparse_topk": sparse_topk, "bonuses": bonuses, "hybrid_topk": hybrid_topk, "dense_topk": dense_topk,
+        "entity_table": entity_table, "entity_members": entity_members, "cooc_edges": _edges, "weighted_degree": lambda s, d: graph.degrees(_edges(s, d)),
+        "label_propagation": label_propagation, "community_table": community_table, "seed_entities": seed_entities, "local_retrieve": local_retrieve, "mode_choice": mode_choice,
+        "concept_match": concept_match, "concept_check": concept_check, "query_semantics": query_semantics, "sentence_predicates": sentence_predicates, "sentence_facts": sentence_facts,
+        "predicate_counts": predicate_counts, "ontology_scores": _ontology, "ontology_topk": ontology_topk,
+        "best_sentences": best_sentences, "context_pack": context_pack, "citations": citations, "inspect_stats": inspect_stats,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracles.oracle_sql()
