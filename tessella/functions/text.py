@@ -28,6 +28,11 @@ def fold_map() -> tuple[str, str]:
     return "".join(a), "".join(b)
 
 
+def folded(x: str) -> str:
+    """:func:`fold` of a constant."""
+    return x.translate(str.maketrans(*fold_map()))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
 
@@ -76,13 +81,19 @@ ANALYSERS = {"basic": tokens, "dual": tokens_dual, "folded": tokens_folded}
 
 
 def bigrams(t: Column) -> Column:
-    n = F.size(t)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i))))
+    """Neighbouring pairs; ``t`` is read a few times, so it should be a column, not an expression."""
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def squeezed(x: Column) -> Column:
+    """Folded lower-case text with single blanks, the ground of :func:`char_ngrams`."""
+    return F.regexp_replace(strip(fold(F.lower(x))), f"{BLANK}+", " ")
 
 
-def char_ngrams(x: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams of the folded lower-case text without those that begin or end in a blank."""
-    s = F.regexp_replace(strip(fold(F.lower(x))), f"{BLANK}+", " ")
+def char_ngrams(s: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams of a squeezed text without those that begin or end in a blank. ``s`` is read
+    once a gram, so it has to be a column, not an expression."""
     out = []
     for k in range(low, high + 1):
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1))), lambda i, k=k: F.substring(s, i, F.lit(k)))

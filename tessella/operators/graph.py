@@ -18,7 +18,7 @@ def mentions(x: Column) -> Column:
     legal = F.regexp_extract_all(x, F.lit(r"(?iuU)\b((?:Điều|Khoản|Mục)\s+\d+[a-z]?|Chương\s+[IVXLC\d]+|(?:Nghị\s+định|Thông\s+tư|Quyết\s+định)\s+\d+/\d{4}/[A-ZĐ/-]+)\b"), F.lit(1))
     short = F.regexp_extract_all(x, F.lit(r"(?U)\b([A-ZĐ]{2,}(?:[-/][A-Z0-9Đ]+)*)\b"), F.lit(1))
     low = T.fold(F.lower(x))
-    domain = F.filter(F.array(*map(F.lit, lexicon.DOMAIN)), lambda p: F.contains(low, T.fold(p)))
+    domain = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(T.folded(p))), F.lit(p)) for p in lexicon.DOMAIN]))
     capital = F.filter(F.regexp_extract_all(x, F.lit(r"(?U)\b(\p{Lu}[\w/-]*(?:\s+(?:[\p{Lu}0-9][\w/-]*|và|của|cho|về|trong|theo|tại)){0,5})"), F.lit(1)), lambda p: F.length(p).between(4, 90))
     return F.concat(legal, short, domain, capital)
 

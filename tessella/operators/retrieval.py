@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..session import sized_join
+from ..session import cut, sized_join
 
 K1, B, DIMS = 1.5, 0.75, 2048
 
@@ -65,9 +65,10 @@ def rewrites(questions: DataFrame) -> DataFrame:
 
 def features(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, feature, tf)``: words and pairs of words by 1, character n-grams by 0.2."""
-    toks = T.tokens_dual(F.col(text))
+    df = df.select(key, T.tokens_dual(F.col(text)).alias("_toks"), T.squeezed(F.col(text)).alias("_s"))
+    toks = F.col("_toks")
     plain = F.concat(F.transform(toks, lambda t: F.concat(F.lit("w:"), t)), F.transform(T.bigrams(toks), lambda t: F.concat(F.lit("b:"), t)))
-    grams = F.transform(T.char_ngrams(F.col(text)), lambda g: F.concat(F.lit("c:"), g))
+    grams = F.transform(T.char_ngrams(F.col("_s")), lambda g: F.concat(F.lit("c:"), g))
     x = df.select(key, F.explode(F.concat(plain, grams)).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
     return x.select(key, "feature", F.when(F.col("feature").startswith("c:"), F.col("n") * 0.2).otherwise(F.col("n") * 1.0).alias("tf"))
 
@@ -88,7 +89,7 @@ def hashed_vectors(feats: DataFrame, key: str, feature_df: DataFrame, total: int
 
 def sparse_cosine(chunks: DataFrame, questions: DataFrame, dims: int = DIMS) -> DataFrame:
     """``(query_id, chunk_id, score)``: cosine of hashed vectors, for pairs that share a bucket."""
-    f = features(chunks, "chunk_id", "text")
+    f = cut(features(chunks, "chunk_id", "text"))
     n = chunks.count()
     df = f.groupBy("feature").agg(F.count("*").alias("df"))
     vec = hashed_vectors(f, "chunk_id", df, n, dims)
@@ -96,10 +97,9 @@ def sparse_cosine(chunks: DataFrame, questions: DataFrame, dims: int = DIMS) ->
     return vec.join(q, "idx").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("val") * F.col("qval")), 6).alias("score"))
 
 
-def phrase_bonus(question: Column, text: Column) -> Column:
-    """0.60 for the whole folded question in the text, 0.08, 0.05 and 0.02 for each of its runs of 4, 3
-    and 2 words; the runs up to 0.45."""
-    q, t = T.normalized(question), T.normalized(text)
+def phrase_bonus(q: Column, t: Column) -> Column:
+    """0.60 for the whole question in the text, 0.08, 0.05 and 0.02 for each of its runs of 4, 3 and 2
+    words; the runs up to 0.45. Both are columns of normalised text."""
     ws = F.filter(F.split(q, " "), lambda w: w != "")
     total = F.lit(0.0)
     for n, w in ((4, 0.08), (3, 0.05), (2, 0.02)):
@@ -108,11 +108,16 @@ def phrase_bonus(question: Column, text: Column) -> Column:
     return F.round(F.when((q != "") & F.contains(t, q), 0.60).otherwise(0.0) + F.least(total, F.lit(0.45)), 6)
 
 
-def focus_bonus(question: Column, text: Column) -> Column:
-    q, t = T.normalized(question), T.normalized(text)
+def focus_bonus(q: Column, t: Column) -> Column:
+    """2 for each phrase of focus in both; columns of normalised text."""
     return sum((F.when(F.contains(q, F.lit(p)) & F.contains(t, F.lit(p)), 2.0).otherwise(0.0) for p in lexicon.FOCUS), F.lit(0.0))
 
 
+def with_normal(df: DataFrame) -> DataFrame:
+    """``_nq`` and ``_nt``, the normalised question and text."""
+    return df.withColumn("_nq", T.normalized(F.col("question"))).withColumn("_nt", T.normalized(F.col("text")))
+
+
 def hybrid(chunks: DataFrame, questions: DataFrame, candidates: int = 30, k: int = 6, weights: tuple = (0.45, 0.55)) -> DataFrame:
     """BM25 and cosine over all variants of the question, fused after minmax, plus bonuses; the best
     candidates are ranked again with coverage, density and the bonuses once more."""
@@ -125,12 +130,13 @@ def hybrid(chunks: DataFrame, questions: DataFrame, candidates: int = 30, k: int
     x = kw.join(sem, ["query_id", "chunk_id"], "full").na.fill(0.0, ["keyword", "semantic"])
     x = x.withColumn("base", F.round(F.col("keyword") * weights[0] + F.col("semantic") * weights[1], 6))
     # the bonuses need the texts: they are read for the pairs that a bonus can still lift over the cut
-    x = top_k(x, candidates * 4, "base").drop("rank").join(questions, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    x = x.withColumn("bonus", phrase_bonus(F.col("question"), F.col("text")) + focus_bonus(F.col("question"), F.col("text"))).withColumn("first", F.round(F.col("base") + F.col("bonus"), 6))
+    asked = questions.select("query_id", T.normalized(F.col("question")).alias("_nq"), F.array_distinct(T.tokens_folded(F.col("question"))).alias("_qs"))
+    texts = chunks.select("chunk_id", T.normalized(F.col("text")).alias("_nt"), F.array_distinct(T.tokens_folded(F.col("text"))).alias("_ts"))
+    x = cut(top_k(x, candidates * 2, "base").drop("rank").join(asked, "query_id").join(texts, "chunk_id"))
+    x = x.withColumn("bonus", phrase_bonus(F.col("_nq"), F.col("_nt")) + focus_bonus(F.col("_nq"), F.col("_nt"))).withColumn("first", F.round(F.col("base") + F.col("bonus"), 6))
     x = top_k(x, candidates, "first").drop("rank")
-    qs, ts = F.array_distinct(T.tokens_folded(F.col("question"))), T.tokens_folded(F.col("text"))
-    common = F.size(F.array_intersect(qs, ts))
-    x = x.withColumn("score", F.round(F.col("first") + 0.25 * common / F.greatest(F.size(qs), F.lit(1)) + 0.10 * common / F.greatest(F.size(F.array_distinct(ts)), F.lit(1)) + F.col("bonus"), 6))
+    common = F.size(F.array_intersect("_qs", "_ts"))
+    x = x.withColumn("score", F.round(F.col("first") + 0.25 * common / F.greatest(F.size("_qs"), F.lit(1)) + 0.10 * common / F.greatest(F.size("_ts"), F.lit(1)) + F.col("bonus"), 6))
     return top_k(x, k).select("query_id", "rank", "chunk_id", "score", "keyword", "semantic")
 
 

@@ -102,13 +102,6 @@ def _intents():
     return " UNION ALL ".join(f"SELECT query_id, '{p}' AS predicate FROM questions WHERE {' OR '.join(map(hit, hints))}" for p, hints in lexicon.INTENTS.items())
 
 
-def _bonus(q, t):
-    nq, nt = normalized(q), normalized(t)
-    ws = f"list_filter(string_split({nq}, ' '), lambda w: w <> '')"
-    runs = " + ".join(f"{w} * len(list_filter(list_distinct(list_transform(range(1, len({ws}) - {n - 2}), lambda i: array_to_string({ws}[i : i + {n - 1}], ' '))), lambda r: contains({nt}, r)))" for n, w in ((4, 0.08), (3, 0.05), (2, 0.02)))
-    return f"round(CASE WHEN {nq} <> '' AND contains({nt}, {nq}) THEN 0.60 ELSE 0 END + least({runs}, 0.45), 6)"
-
-
 def oracle_sql() -> dict:
     d = lambda out, x: f"WITH {DOCS} SELECT doc_id, {x} AS {out} FROM docs"
     joined = lambda x: f"array_to_string({x}, ' ')"
@@ -147,8 +140,6 @@ def oracle_sql() -> dict:
         "filename_refs": f"SELECT DISTINCT filename, CASE WHEN {part(1)} <> '' THEN {part(1)} || '/' || {part(2)} || '/' || CASE {part(3)} WHEN 'ND' THEN 'NĐ' WHEN 'QD' THEN 'QĐ' ELSE {part(3)} END || '-' || {part(4)} END AS ref FROM doc_manifest",
         "minmax": f"""WITH {PASSAGES}, {QUESTIONS}, {bm25(tokens)}, m AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM scores GROUP BY query_id)
             SELECT query_id, chunk_id, CASE WHEN hi = lo THEN 1.0 ELSE round((score - lo) / (hi - lo), 6) END AS norm FROM scores JOIN m USING (query_id)""",
-        "bonuses": f"""WITH {RANKED} SELECT query_id, chunk_id, {_bonus('question', 'text')} AS phrase, {' + '.join(f"CASE WHEN contains({normalized('question')}, '{p}') AND contains({normalized('text')}, '{p}') THEN 2.0 ELSE 0 END" for p in lexicon.FOCUS)} AS focus,
-            round(CASE WHEN len({folded('question')}) = 0 OR len({folded('text')}) = 0 THEN 0 ELSE len(list_intersect(list_distinct({folded('question')}), {folded('text')})) / greatest(len(list_distinct({folded('question')})), 1) + CASE WHEN contains({normalized('text')}, {normalized('question')}) THEN 0.35 ELSE 0 END END, 6) AS overlap FROM ranked""",
         "context_pack": f"""WITH {RANKED}, b AS (SELECT query_id, rank, '[' || rank || '] ' || text AS block FROM ranked), c AS (SELECT *, coalesce(sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM b),
             t AS (SELECT query_id, rank, substring(block, 1, 6000 - before) AS block FROM c WHERE before < 6000) SELECT query_id, rank, length(block) AS chars, md5(block) AS hash FROM t""",
         "best_sentences": f"""WITH {RANKED}, s0 AS (SELECT query_id, question, rank, {sentences('text')} AS s FROM ranked),

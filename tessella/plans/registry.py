@@ -52,8 +52,12 @@ def chunk_merge(s, d):
     return answer.merge_overlapping(_passages(s, d), ["doc_id"], ["chunk_on_page"], "text").select("doc_id", F.md5("text").alias("hash"))
 
 
+def token_bigrams(s, d):
+    return _docs(s, d).select("doc_id", T.tokens_dual(F.col("text")).alias("t")).select("doc_id", F.array_join(T.bigrams(F.col("t")), " ").alias("pairs"))
+
+
 def char_ngrams(s, d):
-    return _docs(s, d).select("doc_id", T.char_ngrams(F.col("text")).alias("g")).select("doc_id", F.size("g").alias("grams"), F.size(F.array_distinct("g")).alias("distinct_grams"))
+    return _docs(s, d).select("doc_id", T.squeezed(F.col("text")).alias("s")).select("doc_id", T.char_ngrams(F.col("s")).alias("g")).select("doc_id", F.size("g").alias("grams"), F.size(F.array_distinct("g")).alias("distinct_grams"))
 
 
 def bm25_topk(analyser: str = "basic", k: int = 5):
@@ -88,8 +92,8 @@ def _ranked(s, d):
 
 
 def bonuses(s, d):
-    r = _ranked(s, d)
-    return r.select("query_id", "chunk_id", retrieval.phrase_bonus(F.col("question"), F.col("text")).alias("phrase"), retrieval.focus_bonus(F.col("question"), F.col("text")).alias("focus"), graph.overlap(F.col("question"), F.col("text")).alias("overlap"))
+    r = retrieval.with_normal(_ranked(s, d))
+    return r.select("query_id", "chunk_id", retrieval.phrase_bonus(F.col("_nq"), F.col("_nt")).alias("phrase"), retrieval.focus_bonus(F.col("_nq"), F.col("_nt")).alias("focus"), graph.overlap(F.col("question"), F.col("text")).alias("overlap"))
 
 
 def best_sentences(s, d):
@@ -219,7 +223,7 @@ def queries() -> dict:
         "clean_text": _text("clean", T.clean_text), "clean_text_dehyphen": _text("clean", T.clean_text_dehyphen), "ocr_repair": _text("repaired", T.repair_ocr),
         "accent_fold": _text("folded", lambda x: T.fold(F.lower(x))), "normalized": _text("form", T.normalized), "text_quality": _text("quality", T.text_quality),
         "tokens_basic": _listed("toks", T.tokens), "tokens_dual": _listed("toks", T.tokens_dual), "tokens_folded": _listed("toks", T.tokens_folded),
-        "token_bigrams": _listed("pairs", lambda x: T.bigrams(T.tokens_dual(x))), "char_ngrams": char_ngrams,
+        "token_bigrams": token_bigrams, "char_ngrams": char_ngrams,
         "doc_type": _text("kind", T.document_type), "promulgation_date": _text("dated", T.first_date),
         "sentence_split": sentence_split, "chunk_words": chunk_words, "chunk_merge": chunk_merge,
         "min_page_filter": lambda s, d: corpus.page_counts(table(s, d, "documents"), "text"),
