@@ -97,13 +97,17 @@ def sparse_cosine(chunks: DataFrame, questions: DataFrame, dims: int = DIMS) ->
     return vec.join(q, "idx").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("val") * F.col("qval")), 6).alias("score"))
 
 
+def _run(ws: Column, n: int):
+    return lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")
+
+
 def phrase_bonus(q: Column, t: Column) -> Column:
     """0.60 for the whole question in the text, 0.08, 0.05 and 0.02 for each of its runs of 4, 3 and 2
     words; the runs up to 0.45. Both are columns of normalised text."""
     ws = F.filter(F.split(q, " "), lambda w: w != "")
     total = F.lit(0.0)
     for n, w in ((4, 0.08), (3, 0.05), (2, 0.02)):
-        runs = F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(ws, i, F.lit(n)), " ")))
+        runs = F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), _run(ws, n)))
         total = total + F.size(F.filter(F.array_distinct(runs), lambda r: F.contains(t, r))) * w
     return F.round(F.when((q != "") & F.contains(t, q), 0.60).otherwise(0.0) + F.least(total, F.lit(0.45)), 6)
 
