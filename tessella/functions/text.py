@@ -91,18 +91,15 @@ def squeezed(x: Column) -> Column:
     return F.regexp_replace(strip(fold(F.lower(x))), f"{BLANK}+", " ")
 
 
-def _from(s: Column, k: int):
-    return lambda i: F.substring(s, i, F.lit(k))
+def char_ngrams(s: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams of a squeezed text without those that begin or end in a blank. In Arrow
+    batches: a built-in substring counts characters from the start each time."""
 
+    @F.pandas_udf("array<string>")
+    def grams(texts):
+        return texts.map(lambda t: [t[i : i + k] for k in range(low, high + 1) for i in range(len(t) - k + 1) if t[i] != " " and t[i + k - 1] != " "], na_action="ignore")
 
-def char_ngrams(s: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams of a squeezed text without those that begin or end in a blank. ``s`` is read
-    once a gram, so it has to be a column, not an expression."""
-    out = []
-    for k in range(low, high + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1))), _from(s, k))
-        out.append(F.when(F.length(s) < k, F.array().cast("array<string>")).otherwise(F.filter(grams, lambda g: ~g.startswith(" ") & ~g.endswith(" "))))
-    return F.concat(*out)
+    return grams(s)
 
 
 def sentences(x: Column, wide: bool = True) -> Column:

@@ -41,12 +41,14 @@ def tokens(x):
     return f"list_filter({raw_words(f'lower({x})')}, lambda t: length(t) > 1)"
 
 
-def dual(x):
-    return f"flatten(list_transform({tokens(x)}, lambda t: CASE WHEN {fold('t')} <> t THEN [t, {fold('t')}] ELSE [t] END))"
+def folded(x):
+    """Folded as one text: tokens hold no blanks."""
+    t = fold(f"array_to_string({tokens(x)}, ' ')")
+    return f"list_filter(string_split({t}, ' '), lambda t: t <> '')"
 
 
-def folded(x):
-    return f"list_transform({tokens(x)}, lambda t: {fold('t')})"
+def dual(x):
+    return f"flatten(list_transform(list_zip({tokens(x)}, {folded(x)}), lambda p: CASE WHEN p[1] <> p[2] THEN [p[1], p[2]] ELSE [p[1]] END))"
 
 
 def normalized(x):
