@@ -116,7 +116,8 @@ def text_quality(x: Column) -> Column:
     good = F.filter(ws, lambda w: (F.length(w) >= 3) & (F.length(F.regexp_replace(w, r"[^\p{L}]+", "")) >= F.length(w) * 0.8))
     plausible = F.size(good) / F.greatest(F.size(ws), F.lit(1))
     score = F.lit(0.55) * alpha + F.lit(0.45) * F.least(F.lit(1.0), plausible / 0.62)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
+    # rounded as a binary number: F.round goes by the decimal digits, which differ at a tie
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * 1000 + 0.5) / 1000
 
 
 def legal_refs(x: Column) -> Column:
