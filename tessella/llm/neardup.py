@@ -6,8 +6,9 @@ places in which they differ. The covering code is a fixed family of masks, each
 anchors of a fingerprint are the words that it reads under the masks. Two fingerprints whose distance
 is within the threshold agree under some mask, so they are replicated to a common anchor; with masks
 of ``ROWS`` places of ``SYMBOLS`` the chance that a pair of similarity s shares no anchor is
-(1 - s^ROWS)^MASKS: 15 % at 0.5, 0.8 % at 0.6, 2e-5 at 0.7. Pairs that meet at an anchor, and
-whose sketches (a bit of each value) are not far apart, are compared exactly, on the whole sets of triples.
+(1 - s^ROWS)^MASKS: 9e-5 at 0.5, 2e-9 at 0.6. Pairs that meet at an anchor, and whose sketches (a
+bit of each value) are not far apart, are compared exactly, on the whole sets of triples. The masks
+are taken in rounds, so that the anchors of only one round are on disk at a time.
 
 Exact copies (same words) are one class with one representative, so they never meet at an anchor; the
 pairs of ``pairs`` are expanded from the classes, those of ``classes`` are not.
@@ -21,6 +22,7 @@ twice count once; ties go to the smaller id; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -34,11 +36,14 @@ from .forms import canonical_form
 from .quality import MARKS
 
 #: Places of a mask, masks, least similarity, least characters of a text.
-ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 5, 60, 0.5, 200, 3
+ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 4, 144, 0.5, 200, 3
 SYMBOLS = ROWS * MASKS
-#: Bits of the sketch, and the distance beyond which a pair is not compared: of pairs of similarity
-#: 0.5 some 0.4 % are farther, of 0.6 one in 10^5.
-SKETCH, FAR = 128, 45
+#: Masks of a round.
+ROUND = 24
+#: Bits of the sketch, and the distance beyond which a pair is not compared: the distance of a pair of
+#: similarity 0.5 is binomial with mean 64, so 5e-6 of them are farther; nearly all unlike pairs are.
+SKETCH, FAR = 256, 95
+PARTS = [f"s{j + 1}" for j in range(SKETCH // 64)]
 _word = re.compile(f"(?:[^\\W_]|[{MARKS}])+")
 
 
@@ -77,8 +82,8 @@ def _word_hash(w: str) -> int:
 
 
 def anchors(h: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit word a mask, of the min-hash values at its places; and the lowest bits of the first
-    128 values as two words, a sketch whose Hamming distance tells far pairs apart cheaply."""
+    """One 32-bit word a mask, of the min-hash values at its places; and a bit of each of the first
+    256 values as four words, a sketch whose Hamming distance tells far pairs apart cheaply."""
     low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     h = (h >> np.uint64(32)).astype(np.uint32)
     for k in range(0, len(h), 256):  # in pieces that stay in the cache, whatever the length of the text
@@ -93,11 +98,11 @@ def anchors(h: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> tuple[np.
     bits = np.zeros(SKETCH, np.uint8)
     some = (low[:SKETCH] * np.uint32(0x85EBCA6B)) >> np.uint32(31)
     bits[: len(some)] = some
-    return key ^ (key >> np.uint64(31)), np.packbits(bits).view(np.uint64)
+    return (key >> np.uint64(32)).astype(np.uint32), np.packbits(bits).view(np.uint64)
 
 
 def fingerprints(df: DataFrame, key: str, text: str, masks: int = MASKS, rows: int = ROWS, least_chars: int = LEAST_CHARS, k: int = SHINGLE) -> DataFrame:
-    """``(key, w1, w2, s1, s2, anchors)``: 128 bits of the word list, the sketch, the anchors."""
+    """``(key, w1, w2, s1, .. s4, anchors)``: 128 bits of the word list, the sketch, the anchors."""
     src = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).where((F.length("_t") >= least_chars) & F.col("_k").isNotNull())
 
     def work(batches):
@@ -115,12 +120,12 @@ def fingerprints(df: DataFrame, key: str, text: str, masks: int = MASKS, rows: i
                 key_words, bits = anchors(shingles(words, k), a, b, rows)
                 found.append(key_words)
                 sketch.append(bits)
-            flat = np.concatenate(found) if found else np.empty(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * masks), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(w1, np.uint64).view(np.int64)), pa.array(np.array(w2, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(np.array(sketch, np.uint64).reshape(-1, 2)[:, j]).view(np.int64)) for j in (0, 1)), lists], names=["_k", "w1", "w2", "s1", "s2", "anchors"])
+            flat = np.concatenate(found) if found else np.empty(0, np.uint32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * masks), pa.array(flat.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(w1, np.uint64).view(np.int64)), pa.array(np.array(w2, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(np.array(sketch, np.uint64).reshape(-1, len(PARTS))[:, j]).view(np.int64)) for j in range(len(PARTS))), lists], names=["_k", "w1", "w2", *PARTS, "anchors"])
 
     kind = src.schema["_k"].dataType.simpleString()
-    return src.mapInArrow(work, f"_k {kind}, w1 bigint, w2 bigint, s1 bigint, s2 bigint, anchors array<bigint>").withColumnRenamed("_k", key)
+    return src.mapInArrow(work, f"_k {kind}, w1 bigint, w2 bigint, {", ".join(f"{s} bigint" for s in PARTS)}, anchors array<int>").withColumnRenamed("_k", key)
 
 
 def triple_sets(df: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
@@ -136,6 +141,29 @@ def triple_sets(df: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFra
     return src.mapInArrow(work, f"_k {kind}, h binary").withColumnRenamed("_k", key)
 
 
+def _meeting(prints: DataFrame, copies: DataFrame, first: int, masks: int) -> DataFrame:
+    """``(rep_a, rep_b)``: representatives that meet at an anchor of these masks and are not far apart."""
+    # a record given twice has the same anchors twice: the aggregates below don't mind
+    at = sized_join(prints.select("_id", *PARTS, F.slice("anchors", first + 1, masks).alias("anchors")), copies, ["_id"], "left_anti", 2_000_000)
+    at = at.select(F.col("_id").alias("rep"), *PARTS, F.posexplode("anchors").alias("mask", "word")).select("rep", *PARTS, (F.shiftleft(F.col("mask").cast("bigint"), 32) + F.col("word")).alias("anchor"))
+    near = lambda bits: sum((F.bit_count(x) for x in bits), F.lit(0)) <= FAR
+    met = at.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"), *[F.bit_xor(s).alias(s) for s in PARTS])
+    # two fingerprints at an anchor are a pair at once, and the xor of their sketches tells their
+    # distance; only larger anchors are joined
+    met = cut(met.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("lo") != F.col("hi")) & near(map(F.col, PARTS)))).select("anchor", "lo", "hi", "n"))
+    two = met.where("n = 2").select(F.col("lo").alias("rep_a"), F.col("hi").alias("rep_b"))
+    full = cut(sized_join(at, met.where("n > 2").select("anchor"), ["anchor"], "left_semi", 2_000_000).distinct())
+    side = lambda x: full.select("anchor", F.col("rep").alias(f"rep_{x}"), *[F.col(s).alias(f"{x}{s}") for s in PARTS])
+    many = side("a").join(side("b"), "anchor").where((F.col("rep_a") < F.col("rep_b")) & near(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}")) for s in PARTS))
+    return two.unionByName(many.select("rep_a", "rep_b")).distinct()
+
+
+def _free(spark) -> None:
+    """Let Spark drop the shuffle files of finished rounds now, not when the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, **how) -> tuple[DataFrame, DataFrame]:
     """``(links, members)``: links ``(rep_a, rep_b, similarity)`` between representatives of classes
     of equal word lists, and members ``(key, rep)`` of every class."""
@@ -145,18 +173,13 @@ def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, **
     reps = words.groupBy("w1", "w2").agg(F.min("_id").alias("rep"))
     members = cut(words.join(reps, ["w1", "w2"]).select(F.col("_id").alias(key), "rep"))
     copies = cut(members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("_id")))
-    # a record given twice has the same anchors twice: the aggregates below don't mind
-    at = sized_join(prints.select("_id", "s1", "s2", "anchors"), copies, ["_id"], "left_anti", 2_000_000).select(F.col("_id").alias("rep"), "s1", "s2", F.explode("anchors").alias("anchor"))
-    far = lambda x, y: F.bit_count(x) + F.bit_count(y) <= FAR
-    met = at.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"), F.bit_xor("s1").alias("x1"), F.bit_xor("s2").alias("x2"))
-    # two fingerprints at an anchor are a pair at once, and the xor of their sketches tells their
-    # distance; only larger anchors are joined
-    met = cut(met.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("lo") != F.col("hi")) & far(F.col("x1"), F.col("x2")))))
-    two = met.where("n = 2").select(F.col("lo").alias("rep_a"), F.col("hi").alias("rep_b"))
-    full = cut(sized_join(at, met.where("n > 2").select("anchor"), ["anchor"], "left_semi", 2_000_000).distinct())
-    many = full.select("anchor", F.col("rep").alias("rep_a"), F.col("s1").alias("a1"), F.col("s2").alias("a2")).join(full.select("anchor", F.col("rep").alias("rep_b"), F.col("s1").alias("b1"), F.col("s2").alias("b2")), "anchor")
-    many = many.where((F.col("rep_a") < F.col("rep_b")) & far(F.col("a1").bitwiseXOR(F.col("b1")), F.col("a2").bitwiseXOR(F.col("b2")))).select("rep_a", "rep_b")
-    candidates = cut(two.unionByName(many).distinct())
+    masks = how.get("masks", MASKS)
+    candidates = None
+    for first in range(0, masks, ROUND):
+        met = cut(_meeting(prints, copies, first, min(ROUND, masks - first)))
+        candidates = met if candidates is None else candidates.unionByName(met)
+        _free(df.sparkSession)
+    candidates = cut(candidates.distinct())
     ids = cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("_id")).distinct())
     texts = sized_join(df.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where(F.length("_t") >= how.get("least_chars", LEAST_CHARS)), ids, ["_id"], "left_semi", 2_000_000)
     sets = cut(triple_sets(texts, "_id", "_t", k).dropDuplicates(["_id"]))

@@ -198,6 +198,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert groups[500] == groups[0] == 0 and len(groups) == len(texts)
 
 
+def test_pairs_at_one_half_are_met(spark):
+    # 400 pairs of 300 triples, 200 shared, so each is at just 0.5
+    r = np.random.default_rng(4)
+    a, b = neardup._coefficients(neardup.SYMBOLS)
+    lost = 0
+    for _ in range(400):
+        h = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+        (x, p), (y, q) = (neardup.anchors(np.sort(s), a, b, neardup.ROWS) for s in (h[:300], h[100:]))
+        lost += not (x == y).any() or sum(int(z).bit_count() for z in p ^ q) > neardup.FAR
+    assert lost == 0
+
+
 def test_block_max_search_is_exact():
     r = random.Random(3)
     rows = [[r.choice("abcdefghijklmnop") + r.choice("xyz") for _ in range(12)] for _ in range(700)]
