@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..session import cut, sized_join
+from ..session import BROADCAST_ROWS, cut, sized_join
 
 K1, B, DIMS = 1.5, 0.75, 2048
 
@@ -101,14 +101,19 @@ def _run(ws: Column, n: int):
     return lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")
 
 
-def phrase_bonus(q: Column, t: Column) -> Column:
-    """0.60 for the whole question in the text, 0.08, 0.05 and 0.02 for each of its runs of 4, 3 and 2
-    words; the runs up to 0.45. Both are columns of normalised text."""
+def phrase_runs(q: Column, n: int) -> Column:
+    """The distinct runs of n words of a normalised question."""
     ws = F.filter(F.split(q, " "), lambda w: w != "")
+    return F.array_distinct(F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), _run(ws, n))))
+
+
+def phrase_bonus(q: Column, t: Column, runs: dict | None = None) -> Column:
+    """0.60 for the whole question in the text, 0.08, 0.05 and 0.02 for each of its runs of 4, 3 and 2
+    words; the runs up to 0.45. Both are columns of normalised text; runs, if given, holds the
+    columns of the runs of n words."""
     total = F.lit(0.0)
     for n, w in ((4, 0.08), (3, 0.05), (2, 0.02)):
-        runs = F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), _run(ws, n)))
-        total = total + F.size(F.filter(F.array_distinct(runs), lambda r: F.contains(t, r))) * w
+        total = total + F.size(F.filter(runs[n] if runs else phrase_runs(q, n), lambda r: F.contains(t, r))) * w
     return F.round(F.when((q != "") & F.contains(t, q), 0.60).otherwise(0.0) + F.least(total, F.lit(0.45)), 6)
 
 
@@ -117,6 +122,21 @@ def focus_bonus(q: Column, t: Column) -> Column:
     return sum((F.when(F.contains(q, F.lit(p)) & F.contains(t, F.lit(p)), 2.0).otherwise(0.0) for p in lexicon.FOCUS), F.lit(0.0))
 
 
+def pair_bonuses(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(query_id, chunk_id, bonus)`` of all pairs with a bonus, from ``(chunk_id, _nt)`` and
+    ``(query_id, _nq)``. The questions go to the texts. A text without a run of two words of the
+    question, the whole question or one of its phrases of focus has no bonus."""
+    q = F.col("_nq")
+    focus = F.array_compact(F.array(*[F.when(F.contains(q, F.lit(p)), F.lit(p)) for p in lexicon.FOCUS]))
+    whole = F.when(q != "", F.array(q)).otherwise(F.array().cast("array<string>"))
+    asked = cut(asked.select("query_id", "_nq", *[phrase_runs(q, n).alias(f"_r{n}") for n in (2, 3, 4)]).withColumn("_any", F.array_union(F.array_union("_r2", whole), focus)))
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    x = texts.crossJoin(asked).where(F.exists("_any", lambda r: F.contains(F.col("_nt"), r)))
+    bonus = phrase_bonus(q, F.col("_nt"), {n: F.col(f"_r{n}") for n in (2, 3, 4)}) + focus_bonus(q, F.col("_nt"))
+    return x.select("query_id", "chunk_id", bonus.alias("bonus"))
+
+
 def with_normal(df: DataFrame) -> DataFrame:
     """``_nq`` and ``_nt``, the normalised question and text."""
     return df.withColumn("_nq", T.normalized(F.col("question"))).withColumn("_nt", T.normalized(F.col("text")))
@@ -133,12 +153,12 @@ def hybrid(chunks: DataFrame, questions: DataFrame, candidates: int = 30, k: int
     sem = minmax(best(sparse_cosine(chunks, vq), "sem")).select("query_id", "chunk_id", F.col("norm").alias("semantic"))
     x = kw.join(sem, ["query_id", "chunk_id"], "full").na.fill(0.0, ["keyword", "semantic"])
     x = x.withColumn("base", F.round(F.col("keyword") * weights[0] + F.col("semantic") * weights[1], 6))
-    # the bonuses need the texts: they are read for the pairs that a bonus can still lift over the cut
+    # a bonus can lift a pair from any place over the cut: all pairs get theirs first
     asked = questions.select("query_id", T.normalized(F.col("question")).alias("_nq"), F.array_distinct(T.tokens_folded(F.col("question"))).alias("_qs"))
-    texts = chunks.select("chunk_id", T.normalized(F.col("text")).alias("_nt"), F.array_distinct(T.tokens_folded(F.col("text"))).alias("_ts"))
-    x = cut(top_k(x, candidates * 2, "base").drop("rank").join(asked, "query_id").join(texts, "chunk_id"))
-    x = x.withColumn("bonus", phrase_bonus(F.col("_nq"), F.col("_nt")) + focus_bonus(F.col("_nq"), F.col("_nt"))).withColumn("first", F.round(F.col("base") + F.col("bonus"), 6))
-    x = top_k(x, candidates, "first").drop("rank")
+    bonus = pair_bonuses(chunks.select("chunk_id", T.normalized(F.col("text")).alias("_nt")), asked.select("query_id", "_nq"))
+    x = x.join(bonus, ["query_id", "chunk_id"], "left").na.fill(0.0, ["bonus"]).withColumn("first", F.round(F.col("base") + F.col("bonus"), 6))
+    texts = chunks.select("chunk_id", F.array_distinct(T.tokens_folded(F.col("text"))).alias("_ts"))
+    x = sized_join(texts, cut(top_k(x, candidates, "first").drop("rank")), ["chunk_id"]).join(asked.select("query_id", "_qs"), "query_id")
     common = F.size(F.array_intersect("_qs", "_ts"))
     x = x.withColumn("score", F.round(F.col("first") + 0.25 * common / F.greatest(F.size("_qs"), F.lit(1)) + 0.10 * common / F.greatest(F.size("_ts"), F.lit(1)) + F.col("bonus"), 6))
     return top_k(x, k).select("query_id", "rank", "chunk_id", "score", "keyword", "semantic")

@@ -87,6 +87,19 @@ def test_phrase_and_focus(spark):
     assert r[0] == pytest.approx(0.6 + min(0.45, 3 * 0.08 + 4 * 0.05 + 5 * 0.02)) and r[1] == 2.0
 
 
+def test_hybrid_bonus_lifts_a_pair_from_any_base_rank(spark):
+    # the words of the question in another order rank high by base; the whole question stands once in
+    # a long text, the last by base
+    rows = [(i, "vu nghia dinh quy vien gia", None) for i in range(80)] + [(500, " ".join(f"khac{i}" for i in range(300)) + " gia vien quy dinh nghia vu " + " ".join(f"nua{i}" for i in range(300)), None)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, text string, x string")
+    q = spark.createDataFrame([(1, "Gia viên quy định nghĩa vụ")], "query_id bigint, question string")
+    got = {r["rank"]: r for r in retrieval.hybrid(chunks, q).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] and got[1]["chunk_id"] == 500 and got[1]["keyword"] < got[2]["keyword"]
+    asked, texts = spark.createDataFrame([(1, "tham gia vien"), (2, "nguyen tac"), (3, "x"), (4, "")], "query_id int, _nq string"), spark.createDataFrame([(1, "tham gia"), (2, "nguyen tac tham gia vien"), (3, "axb"), (4, "")], "chunk_id int, _nt string")
+    want = texts.crossJoin(asked).select("query_id", "chunk_id", (retrieval.phrase_bonus(F.col("_nq"), F.col("_nt")) + retrieval.focus_bonus(F.col("_nq"), F.col("_nt"))).alias("bonus")).where("bonus > 0")
+    assert sorted(retrieval.pair_bonuses(texts, asked).collect()) == sorted(want.collect())
+
+
 def test_dense_ties_and_zero(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 0.0])], "vec_id bigint, embedding array<float>")
     q = v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
