@@ -13,6 +13,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noise(table(spark, d, "chunks").select("id", "source", "document", "page", "text"))
 
 
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "chunks").select("id", "source", "document", "page", "text"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated.repeated_lines(table(spark, d, "chunks").select("id", "source", "document", "text")).select("id", "line_no")
 
@@ -99,7 +103,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_sentences": p4_sentences,
+        "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_clean": p2_clean, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_sentences": p4_sentences,
         "p5_found": p5_found, "p5_forms": p5_forms,
         "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_report": p9_report,
         "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,

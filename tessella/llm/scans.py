@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, sized_join
-from .forms import visual_form
+from .forms import _newline, visual_form
 from .pieces import HEADING
 from .quality import _mojibake
 
@@ -59,6 +59,10 @@ _running = re.compile(r"\S\s+[—·]\s+\S")
 _number = re.compile(r"(?<![^\W_])\d[\d.,:/-]*(?![^\W_])")
 _closing = re.compile(r"[.!?;:,…][”\"»’)]*$")
 _heading = re.compile(HEADING)
+#: Lines that stay lines: items of a list and rows of a table.
+_item = re.compile(r"(?:[-•*–·]|\(?(?:\d{1,2}|[a-zđ])[.)])\s|.*(?:\t| \| )")
+#: The end of a line and the sign after it with no blank between: a hyphen that stays, signs written without blanks.
+_unspaced = re.compile("[^\\W\\d_][-\u2010\u2011][^\\W\\d_]|.?[\u0e00-\u0e7f\u2e80-\u9fff\uff00-\uffef]{2}$")
 _classes = [("vv", "w"), ("ri", "n"), ("cl", "d"), ("li", "h"), ("rn", "m"), ("ii", "u")]
 _folded = str.maketrans({"c": "e", "g": "e", "6": "e", "0": "o", "b": "h", "f": "t", "1": "i", "!": "i", "l": "i", "j": "i", "|": "i", "5": "s", "4": "a", "q": "a", "đ": "d"})
 _not_skeleton = re.compile(r"[^a-zß-\U0010ffff0-9!|]+")
@@ -177,9 +181,8 @@ def marks(df: DataFrame, frequent: set[str]) -> DataFrame:
                 lines = [x.strip() for x in v.split("\n")]
                 last = len(lines) - 1
                 for k, x in enumerate(lines):
-                    if len(x) <= 16 and (m := _bare.match(x) or _page_line.match(x)):
-                        n = next((g for g in m.groups() if g), x)
-                        if m.re is _page_line or (page is not None and int(n) == page):
+                    if len(x) <= 16 and (_bare.match(x) or _page_line.match(x)):
+                        if (n := is_page_line(x, page)) is not None:
                             add(i, "page_no", n)
                     elif readable and 12 <= len(x) <= 200 and not _closing.search(x):
                         form = _running.search(x) is not None
@@ -193,13 +196,111 @@ def marks(df: DataFrame, frequent: set[str]) -> DataFrame:
     return src.mapInArrow(work, "id {}, document {}, source {}, page {}, what string, a string, b string, c string".format(*kinds))
 
 
-def noise(df: DataFrame) -> DataFrame:
-    """``(id, kind)`` for every chunk and kind of noise."""
+def evidence(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the second pass finds, the word counts and the misreadings."""
     counts = cut(word_counts(df, "text"))
     wrong = cut(misreadings(counts))
     frequent = {r["key"] for r in counts.where("key not like '%-%'").join(wrong.withColumnRenamed("word", "key"), "key", "left_anti").orderBy(F.desc("n"), "key").limit(FREQUENT).collect()}
-    found = cut(marks(df, frequent))
-    return kinds_of(found, counts, wrong)
+    return cut(marks(df, frequent)), counts, wrong
+
+
+def noise(df: DataFrame) -> DataFrame:
+    """``(id, kind)`` for every chunk and kind of noise."""
+    return kinds_of(*evidence(df))
+
+
+def repairs(found: DataFrame, counts: DataFrame, wrong: DataFrame) -> DataFrame:
+    """``(id, fixes)``: what is wrong in a chunk, as arrays ``(what, a, b, c, to)``."""
+    page_no = found.where("what = 'page_no'").select("id", "what", "a", "b", "c", F.lit(None).cast("string").alias("to"))
+    misread = sized_join(found.where("what = 'word'"), wrong.withColumnRenamed("word", "a"), ["a"]).select("id", "what", "a", "b", "c", F.col("correction").alias("to"))
+    breaks = found.where("what = 'break'")
+    broken = sized_join(breaks, cut(judge_breaks(breaks, counts)), ["a", "b", "c"]).select("id", "what", "a", "b", "c", F.col("word").alias("to"))
+    lines = found.where("what = 'line'")
+    header = lines.withColumn("k", F.xxhash64("a")).join(header_lines(lines).distinct(), ["id", "k"], "left_semi").select("id", F.lit("line").alias("what"), "a", *[F.lit(None).cast("string").alias(c) for c in ("b", "c", "to")])
+    fixes = page_no.unionByName(misread).unionByName(broken).unionByName(header).distinct()
+    return fixes.groupBy("id").agg(F.collect_list(F.struct("what", "a", "b", "c", "to")).alias("fixes"))  # a text's own
+
+
+def paragraphs(df: DataFrame) -> DataFrame:
+    """``(id, text)`` for every chunk: without the header and page-number lines found, broken words
+    joined, misread words corrected, and the lines of a paragraph joined by blanks. Paragraphs end at
+    blank lines, headings and lists begin a line of their own. Null stays null."""
+    fixes = cut(repairs(*evidence(df)))
+    texts = df.select("id", "page", F.col("text").cast("string").alias("text")).dropDuplicates(["id"])
+    x = sized_join(texts, fixes, ["id"], "left", 20_000).select("id", "page", "text", "fixes")
+
+    def work(batches):
+        for b in batches:
+            out = [None if t is None else mended(t, page, f or []) for page, t, f in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "text"])
+
+    return x.mapInArrow(work, f"id {x.schema['id'].dataType.simpleString()}, text string")
+
+
+def is_page_line(line: str, page: int | None) -> str | None:
+    """The number, if the line holds nothing but the page number."""
+    if len(line) <= 16 and (m := _bare.match(line) or _page_line.match(line)):
+        n = next((g for g in m.groups() if g), line)
+        if m.re is _page_line or (page is not None and int(n) == page):
+            return n
+    return None
+
+
+def _like(word: str, pattern: str) -> str:
+    """The word in the case of the pattern."""
+    if len(pattern) > 1 and pattern.upper() == pattern and pattern.lower() != pattern:
+        return word.upper()
+    return word[:1].upper() + word[1:] if pattern[:1].isupper() else word
+
+
+def mended(text: str, page: int | None, fixes: list[dict]) -> str:
+    """A text without the noise that ``fixes`` names."""
+    of = lambda what: [f for f in fixes if f["what"] == what]
+    heads, words = {f["a"] for f in of("line")}, {f["a"]: f["to"] for f in of("word")}
+    breaks = {(f["a"], f["b"], f["c"]): f["to"] for f in of("break")}
+    low = lambda x: visual_form(x or "").lower()
+    text = _newline.sub("\n", text)
+    if breaks:
+        # the second half goes up to its first half, from the next line or from the one after a
+        # header or page number; it is taken from the end so that places stay right
+        for m in reversed(list(_break.finditer(text))):
+            a, b, c = low(m[2]), low(m[3]), low(m[5])
+            to = None if m[1] or m[4] else breaks.get((a, b, c))
+            if to is None:
+                continue
+            k = 3 if b and to == a + b else 5
+            start, end = m.span(k)
+            whole = m[2] + m[k]
+            while end < len(text) and text[end] in ".,;:!?)”\"»’":
+                whole, end = whole + text[end], end + 1
+            text = text[: m.start(2)] + whole + text[m.end(2) + 1 : start] + text[end:].lstrip(" \t")
+    numbered, kept = bool(of("page_no")), []
+    for line in text.split("\n"):
+        line = line.strip()
+        if line and (numbered or heads or words):
+            v = visual_form(line)
+            if numbered and is_page_line(v, page) is not None:
+                continue
+            if heads and 12 <= len(v) <= 200 and skeleton(v) in heads:
+                continue
+            if any(w in words and w not in _words(line.lower()) for w in _words(v.lower())):
+                line = v
+        kept.append(line)
+    if words:
+        swap = lambda m: _like(words[low(m[0])], m[0]) if low(m[0]) in words else m[0]
+        kept = [_word.sub(swap, x) for x in kept]
+    out, new = [], True
+    for line in kept:
+        if not line:
+            new = True
+            continue
+        alone = _heading.match(line) is not None
+        if new or alone or _item.match(line):
+            out.append(line)
+        else:
+            out[-1] += ("" if _unspaced.match(out[-1][-2:] + line[0]) else " ") + line
+        new = alone and len(line) <= 80 and not _closing.search(line)
+    return "\n\n".join(out)
 
 
 def kinds_of(found: DataFrame, counts: DataFrame, wrong: DataFrame) -> DataFrame:
@@ -229,10 +330,10 @@ def judge_breaks(breaks: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def header_lines(lines: DataFrame) -> DataFrame:
-    """``(id, a)``: lines that are a running header of their document: repeated on other pages of it,
+    """``(id, k)``, k the hash of the skeleton: lines that are a running header of their document: repeated on other pages of it,
     or of the form of a running head, and no property of the source (under 3 documents have it)."""
     k = lines.select("id", F.coalesce(F.col("document"), F.lit("")).alias("document"), "source", "page", F.xxhash64("a").alias("k"), (F.col("b") == "r").alias("r")).distinct()
     per_doc = k.groupBy("source", "k", "document").agg(F.countDistinct("page").alias("pages"), F.max("r").alias("r"))
     docs = per_doc.groupBy("source", "k").agg(F.count("*").alias("docs"))
     good = cut(per_doc.join(docs, ["source", "k"]).where("docs < 3 and (r or pages >= 3)").select("source", "k", "document"))
-    return sized_join(k, good, ["source", "k", "document"], "left_semi").select("id")
+    return sized_join(k, good, ["source", "k", "document"], "left_semi").select("id", "k")

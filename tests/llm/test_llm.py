@@ -172,6 +172,18 @@ def test_scan_noise(spark):
     assert not {k for i, k in got if i == 102} and not any(i < 100 for i, _ in got)
 
 
+def test_scan_repair(spark):
+    body = "the customer must keep the original passbook at the counter of the branch office today"
+    rows = [(i, "s", f"d{i % 9}", i % 5 + 1, (body + ".\n") * 4, "en") for i in range(40)]
+    rows += [(100, "s", "dx", 1, f"Lund — Custody of the loan\n{body}.\nthe pass-\nbook, of the Cust0mer\n\nis a follow-\nup pass-\nPage 1\nbook\n1. item", "en"), (101, "s", "dx", 2, f"Lund — Custody of thc loan   2\n{body}.", "en"), (103, "s", "dx", 4, None, "en"), (104, "s", "dx", 5, "一二\n三四", "zh"), (104, "s", "dx", 5, "一二\n三四", "zh")]
+    rows += [(200 + i, "s", f"f{i}", 1, f"{body} and a follow-up", "en") for i in range(5)]
+    out = scans.paragraphs(chunks(spark, rows)).collect()
+    got = {r["id"]: r["text"] for r in out}
+    assert len(out) == len(got) == 49 and got[0] == " ".join([body + "."] * 4)
+    assert got[100] == f"{body}. the passbook, of the Customer\n\nis a follow-up passbook\n\n1. item"
+    assert got[101] == f"{body}." and got[103] is None and got[104] == "一二三四"
+
+
 def test_near_duplicates_against_brute_force(spark):
     r = random.Random(5)
     words = [f"w{i}" for i in range(400)]
