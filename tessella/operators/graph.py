@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..session import cut
+from ..session import BROADCAST_ROWS, cut
 
 PER_UNIT = 12
 
@@ -82,6 +82,49 @@ def communities(label: DataFrame, degree: DataFrame, most: int = 12) -> DataFram
     return size.join(top, "label")
 
 
+def seeds_of(questions: DataFrame, names: DataFrame, limit: int = 8) -> DataFrame:
+    """``(query_id, key, seed)``: the entities of ``(key, name, mentions)`` nearest to each question: the
+    overlap of question and name, 0.6 if the key stands in the question and, for what is above 0, a
+    fortieth of the mentions up to 0.25. Entities of shared words are joined by word; keys that are
+    part of a question, also of its words, by containment."""
+    ask = questions.select("query_id", "question", T.fold(F.lower(F.col("question"))).alias("_fq"), F.array_distinct(T.tokens_folded(F.col("question"))).alias("_qs"))
+    by_word = ask.select("query_id", F.explode("_qs").alias("w")).join(names.select("key", F.explode(F.array_distinct(T.tokens_folded(F.col("name")))).alias("w")), "w").select("query_id", "key")
+    # the whole of a question in a name shares its words, unless it has none
+    part = names.select("key").join(F.broadcast(ask.select("query_id", "_fq")) if questions.count() <= BROADCAST_ROWS else ask.select("query_id", "_fq"), F.contains(F.col("_fq"), F.col("key"))).select("query_id", "key")
+    x = by_word.unionByName(part).distinct().join(names, "key").join(ask, "query_id")
+    name_score = overlap(F.col("question"), F.col("name")) + F.when(F.contains(F.col("_fq"), F.col("key")), 0.6).otherwise(0.0)
+    x = x.withColumn("_s", name_score).where("_s > 0").select("query_id", "key", F.round(F.col("_s") + F.least(F.col("mentions") / 40.0, F.lit(0.25)), 6).alias("seed"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("seed"), "key")
+    return x.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+
+
+def local(questions: DataFrame, passages: DataFrame, found: DataFrame, keywords: DataFrame, k: int = 7, candidates: int = 40) -> DataFrame:
+    """Local retrieval of ``(chunk_id, text)`` by their entities ``(chunk_id, key, name, n, rank)`` and
+    the BM25 scores ``keywords``. Questions without a seed take the first three entities of each of
+    their k best passages, by 0.35 a time. A fifth of the scores of the best ``candidates`` joins the
+    graph score; graph and keywords after minmax, and the overlap, make the rank."""
+    from .retrieval import minmax, top_k
+
+    members = found.select(F.col("chunk_id").alias("unit"), "key", "n")
+    names = cut(found.groupBy("key").agg(F.min_by("name", F.struct(F.length("name"), F.col("name"))).alias("name"), F.sum("n").alias("mentions")))
+    seeds = cut(seeds_of(questions, names))
+    best = cut(top_k(keywords, max(candidates, k)))
+    missing = best.where(F.col("rank") <= k).join(seeds.select("query_id").distinct(), "query_id", "left_anti")
+    fallback = missing.select("query_id", "chunk_id").join(found.where("rank <= 3").select("chunk_id", "key"), "chunk_id").select("query_id", "key", F.lit(0.35).alias("seed"))
+    graph = local_scores(seeds.unionByName(fallback), members, cut(edges(members))).withColumnRenamed("unit", "chunk_id")
+    best = best.where(F.col("rank") <= candidates)
+    graph = graph.unionByName(best.select("query_id", "chunk_id", (F.col("score") * 0.2).alias("score"))).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    x = minmax(cut(graph)).select("query_id", "chunk_id", F.col("norm").alias("graph")).join(minmax(keywords).select("query_id", "chunk_id", F.col("norm").alias("keyword")), ["query_id", "chunk_id"], "left").na.fill(0.0, ["keyword"])
+    # every candidate has a graph score, as the best passages by keyword have; a passage is at most
+    # 1.35 * 0.25 better by its overlap, so only those near the k best need their texts
+    x = cut(x.withColumn("base", F.round(F.col("graph") * 0.60 + F.col("keyword") * 0.40, 6)))
+    least = top_k(x, k, "base").groupBy("query_id").agg(F.min("base").alias("_least"))
+    near = cut(x.join(least, "query_id").where(F.col("base") + 0.3375 >= F.col("_least") - 1e-5).select("query_id", "chunk_id", "base"))
+    y = near.join(passages.select("chunk_id", "text"), "chunk_id").join(questions.select("query_id", "question"), "query_id")
+    y = y.select("query_id", "chunk_id", F.round(F.col("base") + 0.25 * overlap(F.col("question"), F.col("text")), 6).alias("score"))
+    return top_k(y, k).select("query_id", "rank", "chunk_id", "score")
+
+
 def local_scores(seeds: DataFrame, members: DataFrame, e: DataFrame, neighbours: int = 8) -> DataFrame:
     """``(query_id, unit, score)``: seed times count, plus 0.35 of seed times edge times count of the
     neighbours with the heaviest edges."""

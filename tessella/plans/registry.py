@@ -146,9 +146,8 @@ def seed_entities(s, d):
 
 
 def local_retrieve(s, d):
-    seeds = cut(seed_entities(s, d)).select("query_id", "key", F.col("score").alias("seed"))
-    m = cut(entity_members(s, d))
-    return retrieval.top_k(graph.local_scores(seeds, m, graph.edges(m)), 7, tie="unit").select("query_id", "rank", "unit", "score")
+    p, q = cut(_passages(s, d).select("chunk_id", "text")), _questions(s, d)
+    return graph.local(q, p, cut(graph.entities(p, "chunk_id", "text")), cut(retrieval.bm25(p, q)))
 
 
 def entity_table(s, d):

@@ -113,6 +113,26 @@ def test_edges_conserve_weight(spark):
     assert {(r["source"], r["target"]) for r in e.collect()} == {("x", "y"), ("x", "z"), ("y", "z")}
 
 
+def test_local_retrieval_by_hand(spark):
+    p = spark.createDataFrame([(1, "alpha one"), (2, "beta two"), (3, "gamma alpha"), (4, "delta")], "chunk_id bigint, text string")
+    q = spark.createDataFrame([(1, "Alpha"), (2, "two"), (3, "none")], "query_id bigint, question string")
+    found = spark.createDataFrame([(1, "alpha", "Alpha", 2, 1), (1, "omega", "Omega", 1, 2), (4, "omega", "Omega", 3, 1), (2, "omega", "Omega", 1, 1)], "chunk_id bigint, key string, name string, n int, rank int")
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in graph.local(q, p, found, retrieval.bm25(p, q)).collect()}
+    kw = {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieval.bm25(p, q).collect()}
+    # question 1: seed 1 + .35 + .6 + 2/40; its neighbour omega by the edge of weight 1
+    seed = 2.0
+    g = {1: seed * 2 + 0.35 * seed + 0.2 * kw[1, 1], 2: 0.35 * seed, 4: 0.35 * seed * 3, 3: 0.2 * kw[1, 3]}
+    norm = lambda x: (x - min(g.values())) / (max(g.values()) - min(g.values()))
+    for c in g:
+        # both keyword scores are equal, so both are 1
+        assert got[1, c] == pytest.approx(0.6 * norm(g[c]) + (0.4 + 0.25 * 1.35 if c in (1, 3) else 0), abs=1e-5)
+    # question 2 has no entity: the first entities of its best passage are its seeds
+    g2 = {2: 0.35 + 0.2 * kw[2, 2], 1: 0.35 + 0.35 * 0.35 * 2, 4: 3 * 0.35}
+    lo, hi = min(g2.values()), max(g2.values())
+    assert {c for i, c in got if i == 2} == {1, 2, 4} and got[2, 4] == pytest.approx(0.6 * (g2[4] - lo) / (hi - lo), abs=1e-5)
+    assert not any(i == 3 for i, _ in got)
+
+
 def test_label_propagation_against_python(spark):
     rows = [("a", "b", 2.0), ("b", "c", 1.0), ("c", "d", 3.0)]
     e = spark.createDataFrame(rows, "source string, target string, weight double")
