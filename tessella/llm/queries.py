@@ -56,7 +56,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
-    return forms.canonicalise(table(spark, d, "chunks").select("id", "text"), "text", "form").select("id", "form").dropDuplicates(["id"])
+    """The form of every chunk and of every alias, an alias once for each concept and spelling."""
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("tab"), "id", "text").dropDuplicates(["id"])
+    names = table(spark, d, "banking_ontology").select(F.lit("banking_ontology").alias("tab"), F.col("concept_no").alias("id"), F.explode("aliases").alias("text")).distinct()
+    return forms.canonicalise(chunks.unionByName(names), "text", "form").select("tab", "id", "form")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import abuse, bpe, forms, neardup, packing, pieces, quality, repeated, scans, sentences
+from tessella.llm import abuse, bpe, forms, neardup, packing, pieces, quality, queries, repeated, scans, sentences
 from tessella.session import session
 
 
@@ -40,6 +40,13 @@ def test_lookalike_pairs(spark):
     assert forms.canonicalise(chunks(spark, rows), "text", "extra").where("id = 2").first()["extra"] == "copa del rey"
 
 
+def test_forms_of_chunks_and_aliases(spark, tmp_path):
+    chunks(spark, [(1, "a", "d", 1, "Сора del rey", "es"), (1, "a", "d", 1, "Сора del rey", "es"), (2, "a", "d", 1, None, None)]).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(1, ["Copa", "Сора"]), (3, None)], "concept_no bigint, aliases array<string>").write.parquet(f"{tmp_path}/banking_ontology.parquet")
+    got = sorted(map(tuple, queries.p5_forms(spark, str(tmp_path)).collect()), key=str)
+    assert got == [("banking_ontology", 1, "copa"), ("banking_ontology", 1, "copa"), ("chunks", 1, "copa del rey"), ("chunks", 2, None)]
+
+
 def test_bpe_against_the_library():
     import tiktoken
 
