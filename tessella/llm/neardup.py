@@ -211,15 +211,11 @@ def similar_pairs(df: DataFrame, key: str, text: str, **how) -> DataFrame:
     return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def similar_groups(df: DataFrame, key: str, text: str, rounds: int = 30, **how) -> DataFrame:
-    """``(key, group_id, links)``: one row a record with a fingerprint; the group is the smallest id
-    that it is linked to over any number of links (minimum labels, with the labels of labels, until
-    nothing changes), links counts the classes linked to its own."""
-    links, members = similar_classes(df, key, text, **how)
-    links, members = cut(links.select("rep_a", "rep_b")), members
-    both = links.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).unionByName(links.select(F.col("rep_b").alias("u"), F.col("rep_a").alias("v")))
+def connected(both: DataFrame) -> DataFrame:
+    """``(u, g)``: the smallest node that each node of the links ``(u, v)``, given both ways, is linked
+    to over any number of links: minimum labels, with the labels of labels, until nothing changes."""
     label = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("g")))
-    for _ in range(rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(label.select(F.col("u").alias("v"), F.col("g").alias("gv")), "v").groupBy("u").agg(F.min("gv").alias("gn"))
         step = label.join(near, "u").select("u", F.least("g", "gn").alias("g"))
         jump = step.alias("s").join(label.select(F.col("u").alias("g"), F.col("g").alias("gg")), "g", "left").select("u", F.coalesce(F.least("g", "gg"), F.col("g")).alias("g"))
@@ -227,7 +223,16 @@ def similar_groups(df: DataFrame, key: str, text: str, rounds: int = 30, **how)
         changed = new.join(label.withColumnRenamed("g", "old"), "u").where("g <> old").limit(1).count()
         label = new
         if not changed:
-            break
+            return label
+
+
+def similar_groups(df: DataFrame, key: str, text: str, **how) -> DataFrame:
+    """``(key, group_id, links)``: one row a record with a fingerprint; the group is the smallest id
+    that it is linked to over any number of links, links counts the classes linked to its own."""
+    links, members = similar_classes(df, key, text, **how)
+    links = cut(links.select("rep_a", "rep_b"))
+    both = links.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).unionByName(links.select(F.col("rep_b").alias("u"), F.col("rep_a").alias("v")))
+    label = connected(both)
     degree = both.groupBy("u").agg(F.count("*").alias("links"))
     out = members.join(label.join(degree, "u").withColumnRenamed("u", "rep"), "rep", "left")
     return out.select(key, F.coalesce("g", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

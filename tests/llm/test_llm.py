@@ -229,6 +229,14 @@ def test_pairs_at_one_half_are_met(spark):
     assert lost == 0
 
 
+def test_connected_runs_until_nothing_changes(spark):
+    path = list(range(1, 301))
+    random.Random(6).shuffle(path)
+    pairs = [*zip(path, path[1:], strict=False), (500, 501)]
+    got = {r["u"]: r["g"] for r in neardup.connected(spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "u bigint, v bigint")).collect()}
+    assert got == dict.fromkeys(path, 1) | {500: 500, 501: 500}
+
+
 def test_block_max_search_is_exact():
     r = random.Random(3)
     rows = [[r.choice("abcdefghijklmnop") + r.choice("xyz") for _ in range(12)] for _ in range(700)]
