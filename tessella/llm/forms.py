@@ -16,14 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of Cyrillic and Greek whose printed shape equals a Latin letter.
+# Letters of Cyrillic, Greek and other blocks whose printed shape equals a Latin letter.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
     "У": "Y", "Ѕ": "S", "І": "I", "Ј": "J", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
     "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ь": "b", "ӏ": "l", "Ԍ": "G",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ι": "i", "α": "a", "ρ": "p", "ϲ": "c", "ϳ": "j",
-    "ɡ": "g", "ı": "i", "ꓲ": "I",
+    "ɡ": "g", "ı": "i", "ꓲ": "I", "Ð": "Đ", "Ɖ": "Đ",
 }
 # Hyphens drawn alike.
 HYPHENS = "‐‑⁃﹣－"
@@ -40,16 +40,20 @@ _margin = re.compile("^ +| +$", re.M)
 
 
 #: Whatever a text must have at least one of to change, besides decomposed or compatibility forms.
-_special = re.compile(f"[{IGNORABLE}{BLANKS}{HYPHENS}{''.join(LOOKALIKES)}\r\u0085\u2028\u2029]")
+_special = re.compile(f"[{IGNORABLE}{BLANKS}{HYPHENS}{''.join(LOOKALIKES)}\u0370-\u052f\u1f00-\u1fff\r\u0085\u2028\u2029]")
 
 
 def visual_form(text: str) -> str:
     """The text as it looks: case and accents stay, encodings of the same sight become one."""
     if _special.search(text) or not (text.isascii() or unicodedata.is_normalized("NFKC", text)):
         text = _newline.sub("\n", _ignorable.sub("", text))
-        text = unicodedata.normalize("NFKC", _blank.sub(" ", text))
+        text = _blank.sub(" ", text)
+        # a letter and its accents are told apart before look-alikes are exchanged, as a letter of
+        # another script with an accent may be one character that has no look-alike of its own
+        text = unicodedata.normalize("NFKD", text)
         if _alike.search(text):
-            text = unicodedata.normalize("NFC", text.translate(_table))
+            text = text.translate(_table)
+        text = unicodedata.normalize("NFKC", text)
     if " \n" in text or "\n " in text:
         text = _margin.sub("", text)
     return text.strip(" \n")
