@@ -61,7 +61,12 @@ def visual_form(text: str) -> str:
 
 def canonical_form(text: str) -> str:
     """:func:`visual_form` with full case folding, for comparisons that ignore case."""
-    return visual_form(unicodedata.normalize("NFKC", visual_form(text).casefold()))
+    folded = visual_form(text).casefold()
+    if folded.isascii():
+        return folded
+    if not unicodedata.is_normalized("NFKC", folded):
+        folded = unicodedata.normalize("NFKC", folded)
+    return visual_form(folded) if _special.search(folded) else folded
 
 
 def canonicalise(df: DataFrame, column: str, out: str, fold_case: bool = True) -> DataFrame:

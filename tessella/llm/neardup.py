@@ -39,74 +39,85 @@ from .quality import MARKS
 ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 4, 144, 0.5, 200, 3
 SYMBOLS = ROWS * MASKS
 #: Masks of a round.
-ROUND = 24
+ROUND = 12
 #: Bits of the sketch, and the distance beyond which a pair is not compared: the distance of a pair of
 #: similarity 0.5 is binomial with mean 64, so 5e-6 of them are farther; nearly all unlike pairs are.
 SKETCH, FAR = 256, 95
 PARTS = [f"s{j + 1}" for j in range(SKETCH // 64)]
-_word = re.compile(f"(?:[^\\W_]|[{MARKS}])+")
+_word = re.compile(f"[\\w{MARKS}]+")
+_MIX, _S29, _S30, _S32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(29), np.uint64(30), np.uint64(32)
 
 
-
-def _coefficients(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(seed)
-    return r.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
+def _coefficients(n: int, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
 
 
 def word_list(text: str) -> list[str]:
-    return _word.findall(canonical_form(text))
-
-
-def shingles(words: list[str], k: int = SHINGLE) -> np.ndarray:
-    """The distinct 64-bit hashes of all runs of k words, sorted."""
-    ids = np.fromiter((_word_hash(w) for w in words), np.uint64, len(words))
-    if len(ids) < k:
-        return np.empty(0, np.uint64)
-    h = ids[: len(ids) - k + 1].copy()
-    for j in range(1, k):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[j : len(ids) - k + 1 + j]
-    h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return _word.findall(canonical_form(text).replace("_", " "))
 
 
 _hashes: dict[str, int] = {}
+#: Words whose hash a worker remembers; the memory only saves time.
+MEMORY = 500_000
 
 
-def _word_hash(w: str) -> int:
-    h = _hashes.get(w)
-    if h is None:
-        if len(_hashes) > 500_000:
+def _word_hashes(words: list[str]) -> np.ndarray:
+    ids = list(map(_hashes.get, words))
+    if None in ids:
+        if len(_hashes) > MEMORY:
             _hashes.clear()
-        h = _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    return h
+        for i, h in enumerate(ids):
+            if h is None:
+                ids[i] = _hashes[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+    return np.array(ids, np.uint64)
+
+
+def shingles(words: list[str], k: int = SHINGLE) -> np.ndarray:
+    """The distinct 64-bit hashes of all runs of k words, sorted."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    ids = _word_hashes(words)
+    h = ids[:n].copy()
+    for j in range(1, k):
+        h ^= h >> _S29
+        h *= _MIX
+        h += ids[j : n + j]
+    h ^= h >> _S32
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def anchors(h: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(h: np.ndarray, a: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """One 32-bit word a mask, of the min-hash values at its places; and a bit of each of the first
-    256 values as four words, a sketch whose Hamming distance tells far pairs apart cheaply."""
+    256 values as four words, a sketch whose Hamming distance tells far pairs apart cheaply. The
+    shingles are hashed already, so a value is the least product with an odd number of its own."""
     low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
-    h = (h >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(h), 256):  # in pieces that stay in the cache, whatever the length of the text
-        x = h[k : k + 256, None] * a
-        x += b
-        x ^= x >> np.uint32(15)
-        np.minimum(low, x.min(axis=0), out=low)
+    h = (h >> _S32).astype(np.uint32)
+    room = np.empty((min(64, len(h)), len(a)), np.uint32)  # a piece that stays in the cache, whatever the length of the text
+    for k in range(0, len(h), 64):
+        part = h[k : k + 64, None]
+        np.minimum(low, np.minimum.reduce(np.multiply(part, a, out=room[: len(part)]), axis=0), out=low)
     out = low.reshape(-1, rows)
-    key = np.arange(1, len(out) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key = np.arange(1, len(out) + 1, dtype=np.uint64) * _MIX
     for j in range(rows):
-        key = (key ^ (key >> np.uint64(30)) ^ out[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
+        key = (key ^ (key >> _S30) ^ out[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
     bits = np.zeros(SKETCH, np.uint8)
-    some = (low[:SKETCH] * np.uint32(0x85EBCA6B)) >> np.uint32(31)
+    some = low[:SKETCH]
+    some = ((some ^ (some >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(31)
     bits[: len(some)] = some
-    return (key >> np.uint64(32)).astype(np.uint32), np.packbits(bits).view(np.uint64)
+    return (key >> _S32).astype(np.uint32), np.packbits(bits).view(np.uint64)
 
 
 def fingerprints(df: DataFrame, key: str, text: str, masks: int = MASKS, rows: int = ROWS, least_chars: int = LEAST_CHARS, k: int = SHINGLE) -> DataFrame:
-    """``(key, w1, w2, s1, .. s4, anchors)``: 128 bits of the word list, the sketch, the anchors."""
+    """``(key, w1, w2, s1, .. s4, anchors0, ..)``: 128 bits of the word list, the sketch, the anchors by
+    round, so that a round reads its own only."""
+    rounds = [(y, min(y + ROUND, masks)) for y in range(0, masks, ROUND)]
+    names = [f"anchors{i}" for i in range(len(rounds))]
     src = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).where((F.length("_t") >= least_chars) & F.col("_k").isNotNull())
 
     def work(batches):
-        a, b = _coefficients(masks * rows)
+        a = _coefficients(masks * rows)
         for batch in batches:
             at, w1, w2, found, sketch = [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
@@ -117,15 +128,15 @@ def fingerprints(df: DataFrame, key: str, text: str, masks: int = MASKS, rows: i
                 at.append(i)
                 w1.append(d >> 64)
                 w2.append(d & (1 << 64) - 1)
-                key_words, bits = anchors(shingles(words, k), a, b, rows)
+                key_words, bits = anchors(shingles(words, k), a, rows)
                 found.append(key_words)
                 sketch.append(bits)
-            flat = np.concatenate(found) if found else np.empty(0, np.uint32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * masks), pa.array(flat.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(w1, np.uint64).view(np.int64)), pa.array(np.array(w2, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(np.array(sketch, np.uint64).reshape(-1, len(PARTS))[:, j]).view(np.int64)) for j in range(len(PARTS))), lists], names=["_k", "w1", "w2", *PARTS, "anchors"])
+            flat = np.array(found, np.uint32).view(np.int32).reshape(len(at), masks)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (z - y)), pa.array(flat[:, y:z].ravel())) for y, z in rounds]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(w1, np.uint64).view(np.int64)), pa.array(np.array(w2, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(np.array(sketch, np.uint64).reshape(-1, len(PARTS))[:, j]).view(np.int64)) for j in range(len(PARTS))), *lists], names=["_k", "w1", "w2", *PARTS, *names])
 
     kind = src.schema["_k"].dataType.simpleString()
-    return src.mapInArrow(work, f"_k {kind}, w1 bigint, w2 bigint, {", ".join(f"{s} bigint" for s in PARTS)}, anchors array<int>").withColumnRenamed("_k", key)
+    return src.mapInArrow(work, f"_k {kind}, w1 bigint, w2 bigint, {", ".join(f"{s} bigint" for s in PARTS)}, {", ".join(f"{s} array<int>" for s in names)}").withColumnRenamed("_k", key)
 
 
 def triple_sets(df: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
@@ -141,10 +152,10 @@ def triple_sets(df: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFra
     return src.mapInArrow(work, f"_k {kind}, h binary").withColumnRenamed("_k", key)
 
 
-def _meeting(prints: DataFrame, copies: DataFrame, first: int, masks: int) -> DataFrame:
-    """``(rep_a, rep_b)``: representatives that meet at an anchor of these masks and are not far apart."""
+def _meeting(prints: DataFrame, copies: DataFrame, column: str) -> DataFrame:
+    """``(rep_a, rep_b)``: representatives that meet at an anchor of this round and are not far apart."""
     # a record given twice has the same anchors twice: the aggregates below don't mind
-    at = sized_join(prints.select("_id", *PARTS, F.slice("anchors", first + 1, masks).alias("anchors")), copies, ["_id"], "left_anti", 2_000_000)
+    at = sized_join(prints.select("_id", *PARTS, F.col(column).alias("anchors")), copies, ["_id"], "left_anti", 2_000_000)
     at = at.select(F.col("_id").alias("rep"), *PARTS, F.posexplode("anchors").alias("mask", "word")).select("rep", *PARTS, (F.shiftleft(F.col("mask").cast("bigint"), 32) + F.col("word")).alias("anchor"))
     near = lambda bits: sum((F.bit_count(x) for x in bits), F.lit(0)) <= FAR
     met = at.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"), *[F.bit_xor(s).alias(s) for s in PARTS])
@@ -173,10 +184,9 @@ def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, **
     reps = words.groupBy("w1", "w2").agg(F.min("_id").alias("rep"))
     members = cut(words.join(reps, ["w1", "w2"]).select(F.col("_id").alias(key), "rep"))
     copies = cut(members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("_id")))
-    masks = how.get("masks", MASKS)
     candidates = None
-    for first in range(0, masks, ROUND):
-        met = cut(_meeting(prints, copies, first, min(ROUND, masks - first)))
+    for column in [c for c in prints.columns if c.startswith("anchors")]:
+        met = cut(_meeting(prints, copies, column))
         candidates = met if candidates is None else candidates.unionByName(met)
         _free(df.sparkSession)
     candidates = cut(candidates.distinct())
