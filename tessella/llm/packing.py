@@ -6,10 +6,15 @@ own, which costs at most about one half-empty container a block. In a block:
 1. items over the capacity are cut into full containers and a rest;
 2. large items (over 1/8 of the capacity) are put into groups of equal cardinality, rounded up to
    the largest of their group (linear grouping);
-3. configurations of these few sizes are chosen one after another, each the fullest that the
-   remaining groups allow (exact bounded knapsack over the capacity), and used as often as they fit;
-4. actual items, largest of the group first, take the places of the rounded ones;
-5. small items go, by falling size, into the container that they leave with the least room.
+3. the fewest containers for these few sizes are a linear program over all configurations; it is
+   solved by column generation, the most valuable configuration of each step being an exact
+   knapsack over the capacity, and every configuration is used as often as the solution says, less
+   the fractions;
+4. actual items, largest of the group first, take the places of the rounded ones; the last place of
+   a container takes the largest item that fits the room which the rounding left, and so on until
+   none fits;
+5. what is left, small items mostly, goes by falling size into the container that it leaves with the
+   least room.
 
 Cases: null, empty and zero-size items take no room and are dealt over the block's containers in
 turn; repeated keys are separate items; an empty table gives no rows.
@@ -17,33 +22,95 @@ turn; repeated keys are separate items; an empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUPS, LARGE, BLOCK = 24, 8, 20_000
-
-
-def _fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:
-    """How many of each size make the fullest container, by bounded knapsack; a bit set of
-    reachable sums a size, then the way back."""
-    reach = [1]
-    mask = (1 << capacity + 1) - 1
-    for s, n in zip(sizes, left, strict=True):
-        now = reach[-1]
-        k, n = 1, min(n, capacity // s)
-        while n > 0:
-            k = min(k, n)
-            now |= now << k * s & mask
-            n -= k
-            k *= 2
-        reach.append(now)
-    total, take = reach[-1].bit_length() - 1, [0] * len(sizes)
+GROUPS, LARGE, BLOCK = 12, 8, 20_000
+#: Steps of the column generation at most; what an unfinished solution leaves goes to step 5.
+STEPS = 2000
+
+
+def _most_valuable(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of the highest value: how many of each size, by an exact knapsack."""
+    best = np.zeros(capacity + 1)
+    taken = []
+    for s, v in zip(sizes, values, strict=True):
+        take = np.zeros(capacity + 1, np.int64)
+        if v > 1e-12:
+            before = best.copy()
+            for k in range(1, capacity // s + 1):
+                more = before[: capacity + 1 - k * s] + k * v
+                at = more > best[k * s :] + 1e-12
+                best[k * s :][at] = more[at]
+                take[k * s :][at] = k
+        taken.append(take)
+    out, room = np.zeros(len(sizes)), capacity
     for i in range(len(sizes) - 1, -1, -1):
-        while not reach[i] >> total & 1:
-            total -= sizes[i]
-            take[i] += 1
-    return take
+        out[i] = taken[i][room]
+        room -= int(out[i]) * sizes[i]
+    return float(best[capacity]), out
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and how often each is used in the best fractional solution, rounded down."""
+    m = len(sizes)
+    basis = np.diag([float(capacity // s) for s in sizes])
+    inverse, need = np.linalg.inv(basis), np.array(counts, float)
+    x = inverse @ need
+    for step in range(1, STEPS + 1):
+        value, column = _most_valuable(sizes, np.ones(m) @ inverse, capacity)
+        if value <= 1 + 1e-7:
+            break
+        d = inverse @ column
+        ratio = np.full(m, np.inf)
+        ratio[d > 1e-9] = x[d > 1e-9] / d[d > 1e-9]
+        q = int(np.argmin(ratio))
+        times = ratio[q]
+        x -= times * d
+        x[q] = times
+        basis[:, q] = column
+        row = inverse[q] / d[q]
+        inverse -= np.outer(d, row)
+        inverse[q] = row
+        if step % 50 == 0:  # rounding errors do not add up
+            inverse = np.linalg.inv(basis)
+            x = inverse @ need
+    return [(tuple(int(n) for n in basis[:, j]), int(x[j] + 1e-6)) for j in range(m)]
+
+
+class _Sizes:
+    """Things by size, with a bit set of the sizes there are."""
+
+    def __init__(self):
+        self.of: dict[int, list] = {}
+        self.present = 0
+
+    def add(self, size: int, thing) -> None:
+        if size in self.of:
+            self.of[size].append(thing)
+        else:
+            self.of[size] = [thing]
+            self.present |= 1 << size
+
+    def _pop(self, size: int):
+        stack = self.of[size]
+        thing = stack.pop()
+        if not stack:
+            del self.of[size]
+            self.present &= ~(1 << size)
+        return size, thing
+
+    def largest(self, limit: int):
+        """The largest of at most ``limit``, or None."""
+        some = self.present & (1 << limit + 1) - 1
+        return self._pop(some.bit_length() - 1) if some else None
+
+    def smallest(self, limit: int):
+        """The smallest of at least ``limit``, or None."""
+        some = self.present >> limit
+        return self._pop(limit + (some & -some).bit_length() - 1) if some else None
 
 
 def pack(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int]]], int]:
@@ -61,44 +128,44 @@ def pack(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int
         elif not n:
             empty.append(i)
     rest.sort(key=lambda x: (-x[0], x[1]))
-    large = [x for x in rest if x[0] * LARGE > capacity]
-    small = rest[len(large) :]
+    left = _Sizes()
+    for n, i, a in reversed(rest):
+        left.add(n, (i, a))
+    large = [n for n, _, _ in rest if n * LARGE > capacity]
     bins: list[list[tuple[int, int, int]]] = []
-    room: list[int] = []
+    rooms = _Sizes()
     if large:
         g = -(-len(large) // GROUPS)
-        merged: dict[int, list] = {}
+        counts: dict[int, int] = {}
         for k in range(0, len(large), g):
-            merged.setdefault(large[k][0], []).extend(large[k : k + g])
-        tops = list(merged)
-        queues = [merged[t][::-1] for t in tops]
-        while any(queues):
-            take = _fullest(tops, [len(q) for q in queues], capacity)
-            times = min(len(q) // t for q, t in zip(queues, take, strict=True) if t)
+            counts[large[k]] = counts.get(large[k], 0) + len(large[k : k + g])
+        tops = list(counts)
+        for config, times in sorted(configurations(tops, list(counts.values()), capacity), reverse=True):
+            places = [s for s, n in zip(tops, config, strict=True) for _ in range(n)]
             for _ in range(times):
-                items = [q.pop() for q, t in zip(queues, take, strict=True) for _ in range(t)]
-                bins.append([(i, a, n) for n, i, a in items])
-                room.append(capacity - sum(n for n, _, _ in items))
-    by_room: dict[int, list[int]] = {}
-    present = 0
-    for b, r in enumerate(room):
-        if r:
-            by_room.setdefault(r, []).append(b)
-            present |= 1 << r
-    for n, i, a in small:
-        fitting = present >> n
-        if fitting:
-            r = n + (fitting & -fitting).bit_length() - 1
-            b = by_room[r].pop()
-            if not by_room[r]:
-                present &= ~(1 << r)
-        else:
-            b, r = len(bins), capacity
+                content, room = [], capacity
+                for s in [*places[:-1], capacity]:
+                    while (got := left.largest(min(s, room))) is not None:
+                        n, (i, a) = got
+                        content.append((i, a, n))
+                        room -= n
+                        if s < capacity:
+                            break
+                if content:
+                    if room:
+                        rooms.add(room, len(bins))
+                    bins.append(content)
+    while (got := left.largest(capacity)) is not None:
+        n, (i, a) = got
+        found = rooms.smallest(n)
+        if found is None:
+            room, b = capacity, len(bins)
             bins.append([])
+        else:
+            room, b = found
         bins[b].append((i, a, n))
-        if r := r - n:
-            by_room.setdefault(r, []).append(b)
-            present |= 1 << r
+        if room > n:
+            rooms.add(room - n, b)
     bins = full + bins
     if empty and not bins:
         bins.append([])
@@ -107,19 +174,20 @@ def pack(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int
     return bins, len(bins)
 
 
-def fill_containers(items: DataFrame, packs: DataFrame, key: str, size: str, block: int = BLOCK) -> DataFrame:
+def fill_containers(items: DataFrame, packs: DataFrame, key: str, size: str, block: int = BLOCK, rows: int | None = None) -> DataFrame:
     """``(pack_name, container_id, key, piece_no, start_token, tokens)`` for every item and pack.
-    ``items`` needs ``key`` and an integral ``size``; ``packs`` is a small table of capacities."""
-    rows = [(r["pack_name"], int(r["capacity_tokens"])) for r in packs.limit(1001).collect()]
-    if len(rows) > 1000:
+    ``items`` needs ``key`` and an integral ``size``; ``packs`` is a small table of capacities; ``rows``
+    is the number of items, if known without computing their sizes."""
+    kinds_of_packs = [(r["pack_name"], int(r["capacity_tokens"])) for r in packs.limit(1001).collect()]
+    if len(kinds_of_packs) > 1000:
         raise ValueError("packs: a small table is expected")
-    if any(c < 1 for _, c in rows):
+    if any(c < 1 for _, c in kinds_of_packs):
         raise ValueError("packs: a capacity under 1 holds nothing")
     kind = items.schema[key].dataType.simpleString()
-    packed = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).alias("cap")) for n, c in rows])
-    blocks = max(1, -(-items.count() // block))
+    packed = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).alias("cap")) for n, c in kinds_of_packs])
+    blocks = max(1, -(-(items.count() if rows is None else rows) // block))
     src = items.select(F.col(key).alias("_k"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("_n"))
-    src = src.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(blocks)).cast("int"))
+    src = src.withColumn("_b", F.pmod(F.xxhash64("_k", "_n"), F.lit(blocks)).cast("int"))
     src = src.withColumn("_p", F.explode(packed)).select("_k", "_n", "_b", "_p.pack_name", "_p.cap")
     src = src.repartition("pack_name", "_b").sortWithinPartitions("pack_name", "_b", "_k", "_n")
 

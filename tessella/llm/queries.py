@@ -83,8 +83,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    items = bpe.count_tokens(table(spark, d, "documents"), "doc_id", "text")
-    return packing.fill_containers(items, table(spark, d, "pack_limits"), "doc_id", "tokens")
+    documents = table(spark, d, "documents")
+    items = bpe.count_tokens(documents, "doc_id", "text")
+    return packing.fill_containers(items, table(spark, d, "pack_limits"), "doc_id", "tokens", rows=documents.count())
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
