@@ -58,3 +58,13 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     if small.count() <= rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row for each ``key``. Only keys that stand more than once are gathered with
+    their other columns, so whole texts are not shuffled for the few rows delivered twice. A null
+    key is a key."""
+    k = F.coalesce(F.xxhash64(key), F.lit(0))  # equal keys have equal hashes: what is single by hash is single
+    twice = cut(df.select(k.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
+    x = df.withColumn("_h", k)
+    return sized_join(x, twice, ["_h"], "left_anti").unionByName(sized_join(x, twice, ["_h"], "left_semi").dropDuplicates([key])).drop("_h")
