@@ -10,8 +10,14 @@ A label holds for a document, not for its sentences, and some are wrong. Sentenc
 documents are therefore voted on by their own neighbours first; those that keep a majority are the
 prototypes. A sentence is a case if a prototype is within reach and the distance-weighted vote of
 its neighbours passes :data:`LEAST_SHARE`; the vote is the score, the nearest prototype the evidence.
-Only sentences with a telling term, one that stands mostly in prototypes, are searched at all: without
-one a sentence has the words of ordinary sentences only, and scores 0.
+The examples of each class weigh as many sentences as the sample stands for, so a vote is an estimate
+of the share of positive labels near a sentence, whatever the size of the sample.
+
+A sentence beyond the reach of every prototype has the score 0 by definition. Most are ruled out
+without a search, and exactly: the prototypes stand in blocks of a few alike ones, each with the
+largest weight of a term, and a sentence whose sum of these weights is under the reach in every block
+cannot have a cosine within it. The sums of a batch of documents are taken at once, first over one
+block of all prototypes, then over the small ones for what is left.
 
 Terms are words and pairs of words of a folded text: one form of look-alike letters, no case, no
 accents, runs of one letter as one, figures and signs inside words read as letters, letters of
@@ -27,6 +33,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,27 +44,27 @@ from .forms import visual_form
 
 #: Bounds of the sample that the index is made of.
 LABELLED_POSITIVE, LABELLED_NEGATIVE = 1500, 2500
-NEIGHBOURS, LEAST_COSINE, REACH, LEAST_SHARE, PROTOTYPE, TELLING, BLOCK = 20, 0.25, 0.3, 0.62, 0.56, 0.25, 64
-#: Sentences whose score a worker remembers; the memory only saves time.
-MEMORY = 200_000
+NEIGHBOURS, LEAST_COSINE, REACH, LEAST_SHARE, PROTOTYPE, BLOCK = 20, 0.25, 0.3, 0.62, 0.56, 64
+#: Prototypes of a block of bounds, and documents whose sums are taken at once.
+ALIKE, AT_ONCE = 8, 200
+#: Words and sentences that a worker remembers; the memory only saves time.
+MEMORY = 300_000
 
 # Figures and signs that stand for letters inside words.
 _leet = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i", "|": "i"})
 _token = re.compile(r"[^\W_]+(?:[*$@!|.]{1,3}(?=[^\W_])[^\W_]+)*[*$@]*|[*$@]+[^\W_]+")
 _runs = re.compile(r"([^\W\d_])\1{2,}")
-_accents = re.compile("[̀-ͯ]+")
+_accents = re.compile("[\u0300-\u036f]+")
 _stars = re.compile(r"\*+")
-_unspaced = re.compile("[฀-๿぀-ヿ㐀-鿿]")
-_end = re.compile(r"(?<=[.!?؟।])[)\"”»'’]*\s+|(?<=[。！？])|\n{2,}")
+_unspaced = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
+_wide_end = re.compile("(?<=[\u3002\uff01\uff1f])")
+_closers, _ends = ")\"”»'’", (".", "!", "?", "؟", "।")
 _spaced_letters = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._\-]){3,}[^\W\d_](?![^\W_])")
 
 
-_words: dict[str, tuple[str, ...]] = {}
-
-
 def _term(word: str) -> tuple[str, ...]:
     """A word as terms: runs of one letter as one, no accents, signs read as letters; letters of
-    scripts without spaces in pairs. Done once per distinct word."""
+    scripts without spaces in pairs."""
     if word.isdigit():
         return ()
     w = _runs.sub(r"\1", word)
@@ -70,31 +77,49 @@ def _term(word: str) -> tuple[str, ...]:
     return (w,) if w else ()
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences of a text in one form and lower case. A line that ends well before the widest one
-    ends a sentence."""
+@lru_cache(maxsize=MEMORY)
+def _read(chunk: str) -> list[tuple[str, tuple[str, ...], bool]]:
+    """What stands between two blanks, as parts ``(text, terms, ends a sentence)``; mostly one."""
+    parts = [x for x in _wide_end.split(chunk) if x]
+    out = [(x, tuple(t for w in _token.findall(x) for t in _term(w)), True) for x in parts]
+    if parts and parts[-1][-1] not in "。！？":
+        out[-1] = (*out[-1][:2], parts[-1].rstrip(_closers).endswith(_ends))
+    return out
+
+
+def _lines(text: str) -> list[tuple[str, bool]]:
+    """The lines of a text in one form and lower case, and whether each ends a sentence: one that ends
+    well before the widest one does."""
     t = visual_form(text).lower()
     if _spaced_letters.search(t):
         t = _spaced_letters.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), t)
     lines = t.split("\n")
-    if len(lines) > 1:
-        width = max(map(len, lines)) * 0.7
-        t = "".join([x + ("\n\n" if len(x) < width else " ") for x in lines])
-    return [x for x in _end.split(t) if x and not x.isspace()]
-
-
-def terms(sentence: str) -> tuple[str, ...]:
-    out: list[str] = []
-    known = _words
-    for w in _token.findall(sentence):
-        try:
-            out += known[w]
-        except KeyError:
-            if len(known) >= 2 * MEMORY:
-                known.clear()
-            known[w] = _term(w)
-            out += known[w]
-    return tuple(out)
+    width = max(map(len, lines)) * 0.7 if len(lines) > 1 else 0
+    return [(x, len(x) < width) for x in lines]
+
+
+def sentences(text: str) -> list[tuple[str, tuple[str, ...]]]:
+    """Sentences of a text with their terms; a sentence of no words is one too."""
+    out: list[tuple[str, tuple[str, ...]]] = []
+    words: list[str] = []
+    ts: list[str] = []
+
+    def close():
+        out.append((" ".join(words), tuple(ts)))
+        words.clear()
+        ts.clear()
+
+    for line, short in _lines(text):
+        for chunk in line.split():
+            for part, terms, ends in _read(chunk):
+                words.append(part)
+                ts.extend(terms)
+                if ends:
+                    close()
+        if short:
+            close()
+    close()
+    return out
 
 
 def grams(ts: tuple[str, ...]) -> list[str]:
@@ -105,31 +130,27 @@ class BlockMaxIndex:
     """Unit TF-IDF vectors; ``search`` gives the exact k nearest by cosine."""
 
     def __init__(self, rows: list[list[str]]):
-        counts = [Counter(r) for r in rows]
-        df = Counter(t for c in counts for t in c)
         self.n = len(rows)
-        self.terms = {t: i for i, t in enumerate(df)}
-        self.idf = np.log1p(self.n / np.fromiter(df.values(), np.float64, len(df))) if df else np.empty(0)
+        self.terms: dict[str, int] = {}
+        number = self.terms.setdefault
+        flat = np.array([number(g, len(self.terms)) for r in rows for g in r], np.int64)
+        size = len(self.terms)
+        pair, count = np.unique(np.repeat(np.arange(self.n), [len(r) for r in rows]) * max(size, 1) + flat, return_counts=True)
+        d, t = pair // max(size, 1), pair % max(size, 1)
+        self.idf = np.log1p(self.n / np.maximum(np.bincount(t, minlength=size), 1)) if size else np.empty(0)
         self.unknown = math.log1p(self.n)
-        size = sum(map(len, counts))
-        t, d, w = np.empty(size, np.int32), np.empty(size, np.int32), np.empty(size, np.float32)
-        k = 0
-        for i, c in enumerate(counts):
-            ids = np.fromiter((self.terms[x] for x in c), np.int32, len(c))
-            v = (1 + np.log(np.fromiter(c.values(), np.float64, len(c)))) * self.idf[ids]
-            e = k + len(ids)
-            t[k:e], d[k:e], w[k:e] = ids, i, v / (np.sqrt((v * v).sum()) or 1)
-            k = e
+        v = (1 + np.log(count)) * self.idf[t]
+        w = v / np.maximum(np.sqrt(np.bincount(d, v * v, self.n)), 1e-12)[d] if size else v
         order = np.lexsort((d, t))
-        t, self.docs, self.weights = t[order], d[order], w[order]
-        self.start = np.searchsorted(t, np.arange(len(df) + 1))
-        key = t.astype(np.int64) * (self.n // BLOCK + 1) + self.docs // BLOCK
+        t, self.docs, self.weights = t[order], d[order].astype(np.int32), w[order].astype(np.float32)
+        self.start = np.searchsorted(t, np.arange(size + 1))
+        key = t * (self.n // BLOCK + 1) + self.docs // BLOCK
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if size else np.empty(0, np.int64)
         self.block_max = np.maximum.reduceat(self.weights, first) if size else np.empty(0, np.float32)
         self.block_no = self.docs[first] // BLOCK
         self.block_from = first
-        self.block_to = np.r_[first[1:], size]
-        self.block_start = np.searchsorted(t[first], np.arange(len(df) + 1))
+        self.block_to = np.r_[first[1:], len(t)]
+        self.block_start = np.searchsorted(t[first], np.arange(size + 1))
 
     def vector(self, gs: list[str]) -> tuple[list[int], list[float]]:
         c = Counter(gs)
@@ -184,26 +205,66 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Model:
+    """The index, the votes of its examples and the prototypes among them, with the bounds that rule
+    sentences out. Prototypes are told by :meth:`keeps`, example by example, and set by :meth:`settle`."""
+
     def __init__(self, labelled: list[tuple[str, int]], positives_share: float = 1.0, negatives_share: float = 1.0):
-        votes: dict[tuple[str, ...], list[float]] = {}
+        votes: dict[str, list[float]] = {}
         for text, toxic in labelled:
-            for t in {terms(s) for s in sentences(text)} if text else ():
+            for t in {" ".join(ts) for _, ts in sentences(text)} if text else ():
                 if t:
                     votes.setdefault(t, [0.0, 0.0])[1 if toxic else 0] += 1 / (positives_share if toxic else negatives_share)
         self.examples = sorted(votes)  # like next to like, for blocks with sharp bounds
-        self.index = BlockMaxIndex([grams(t) for t in self.examples])
+        self.index = BlockMaxIndex([grams(tuple(t.split(" "))) for t in self.examples])
         self.votes = np.array([votes[t] for t in self.examples], np.float64).reshape(-1, 2)
+        self.asked = np.flatnonzero(self.votes[:, 1] > 0)
+        self.settle(np.empty(0, np.int64))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "scored")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.known, self.scored = {}, {}
+
+    def keeps(self, i: int) -> bool:
+        """Do the neighbours of an example of a positive document vote for it?"""
+        ids, v = self.index.vector(grams(tuple(self.examples[i].split(" "))))
+        return self._share(self.index.search(ids, v, NEIGHBOURS, LEAST_COSINE, i), own=i) >= PROTOTYPE
+
+    def settle(self, prototypes: np.ndarray) -> None:
+        ix = self.index
+        size, n = len(ix.terms), len(prototypes)
+        self.known, self.scored = {}, {}
         self.prototype = np.zeros(len(self.examples), bool)
-        for i in np.flatnonzero(self.votes[:, 1] > 0):
-            ids, v = self.index.vector(grams(self.examples[i]))
-            self.prototype[i] = self._share(self.index.search(ids, v, NEIGHBOURS, LEAST_COSINE, int(i)), own=int(i)) >= PROTOTYPE
-        hits = self.prototype[self.index.docs].astype(np.float64)
-        names = list(self.index.terms)
-        sums = np.add.reduceat(hits, self.index.start[:-1]) if len(names) else np.empty(0)
-        share = sums / np.diff(self.index.start)
-        told = [names[i] for i in np.flatnonzero(share >= TELLING)]
-        self.telling = frozenset(x for x in told if " " not in x)
-        self.telling_pairs = frozenset(tuple(x.split(" ")) for x in told if " " in x)
+        self.prototype[prototypes] = True
+        mine = self.prototype[ix.docs] if len(ix.docs) else np.empty(0, bool)
+        term = np.repeat(np.arange(size), np.diff(ix.start))[mine]
+        no = np.searchsorted(prototypes, ix.docs[mine])
+        self.near_docs, self.near_weights = no, ix.weights[mine]
+        self.near_start = np.searchsorted(term, np.arange(size + 1))
+        # words by number, pairs by the numbers of their words; the last number is that of unknown words
+        self.words = {t: k for k, t in enumerate(x for x in ix.terms if " " not in x)}
+        self.base = len(self.words) + 1
+        of_word = np.full(self.base, size)
+        pairs = []
+        for x, i in ix.terms.items():
+            if " " in x:
+                a, b = x.split(" ")
+                pairs.append((self.words[a] * self.base + self.words[b], i))
+            else:
+                of_word[self.words[x]] = i
+        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.of_word, self.pair_keys, self.of_pair = of_word, pairs[:, 0].copy(), pairs[:, 1].copy()
+        # the largest weight of every term in each block of prototypes; row 0 is that of all other terms
+        own, row = np.unique(term, return_inverse=True)
+        most = np.zeros((len(own) + 1, max(1, -(-n // ALIKE))), np.float32)
+        np.maximum.at(most, (row + 1, no // ALIKE), self.near_weights)
+        self.row = np.zeros(size + 1, np.int64)
+        self.row[own] = np.arange(1, len(own) + 1)
+        weight = np.r_[ix.idf, ix.unknown]
+        most[1:] *= weight[own][:, None]
+        self.most, self.highest, self.square = most, most.max(axis=1)[self.row], weight * weight
 
     def _share(self, near: list[tuple[float, int]], own: int = -1) -> float:
         p = s = 0.0
@@ -215,16 +276,99 @@ class Model:
 
     def score(self, t: tuple[str, ...]) -> tuple[float, int]:
         """The vote and the nearest prototype of a sentence; (0, -1) if none is within reach."""
-        if self.telling.isdisjoint(t) and self.telling_pairs.isdisjoint(zip(t, t[1:], strict=False)):
-            return 0.0, -1
         ids, v = self.index.vector(grams(t))
+        if not ids or not len(self.near_docs):
+            return 0.0, -1
+        at, of = _ranges(self.near_start[ids], self.near_start[np.array(ids) + 1])
+        if not len(at) or np.bincount(self.near_docs[at], np.array(v)[of] * self.near_weights[at]).max() < REACH - 1e-5:
+            return 0.0, -1
         near = self.index.search(ids, v, NEIGHBOURS, LEAST_COSINE)
         proto = next((i for s, i in near if self.prototype[i] and s >= REACH), -1)
         return (self._share(near), proto) if proto >= 0 else (0.0, -1)
 
+    def _numbers(self, text: str, out: list[int]) -> None:
+        """The words of a text by number, -1 at the end of each sentence but the last."""
+        known = self.known
+        for line, short in _lines(text):
+            for chunk in line.split():
+                try:
+                    out += known[chunk]
+                except KeyError:
+                    if len(known) >= MEMORY:
+                        known.clear()
+                    got: list[int] = []
+                    for _, terms, ends in _read(chunk):
+                        got += [self.words.get(x, self.base - 1) for x in terms]
+                        if ends:
+                            got.append(-1)
+                    known[chunk] = got
+                    out += got
+            if short:
+                out.append(-1)
+
+    def within_bounds(self, texts: list[str | None]) -> list[tuple[int, int]]:
+        """``(text, sentence)`` by number of all sentences that a prototype may be within reach of."""
+        flat: list[int] = []
+        first = []  # the number of the first sentence of each text
+        n = 0
+        for t in texts:
+            k = len(flat)
+            if t:
+                self._numbers(t, flat)
+            flat.append(-1)
+            first.append(n)
+            n += flat[k:].count(-1)
+        x = np.array(flat, np.int64)
+        end = x < 0
+        s = np.cumsum(end)[~end]
+        x = x[~end]
+        if not len(x) or not len(self.pair_keys):
+            return []
+        next_to = s[1:] == s[:-1]
+        key = (x[:-1] * self.base + x[1:])[next_to]
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        pair = np.where(self.pair_keys[at] == key, self.of_pair[at], len(self.index.terms))
+        term, of = np.r_[self.of_word[x], pair], np.r_[s, s[1:][next_to]]
+        words = np.maximum(np.bincount(s, minlength=n), 1)
+        # a term that stands m times weighs 1 + ln m: m at most, and of m its square is at least this share
+        norm = np.sqrt(np.bincount(of, self.square[term], n) * np.minimum(1, (1 + np.log(words)) ** 2 / words))
+        least = (REACH - 1e-4) * norm
+        high = self.highest[term]
+        alive = (np.bincount(of, high, n) >= least) & (norm > 0)
+        some = alive[of] & (high > 0)
+        term, of = term[some], of[some]
+        order = np.argsort(of, kind="stable")
+        term, of = term[order], of[order]
+        if not len(of):
+            return []
+        begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        sums = np.add.reduceat(self.most[self.row[term]], begin, axis=0).max(axis=1)
+        left = of[begin][sums >= least[of[begin]]]
+        doc = np.searchsorted(first, left, side="right") - 1
+        return [(int(d), int(k - first[d])) for d, k in zip(doc, left, strict=True)]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, str | None, str | None]]:
+        """Of every text the highest score, its sentence and the nearest prototype."""
+        out: list[tuple[float, str | None, str | None]] = [(0.0, None, None)] * len(texts)
+        cut: dict[int, list] = {}
+        for d, k in self.within_bounds(texts):
+            if d not in cut:
+                cut[d] = sentences(texts[d])
+            sentence, ts = cut[d][k]
+            got = self.scored.get(ts)
+            if got is None:
+                if len(self.scored) >= MEMORY:
+                    self.scored.clear()
+                got = self.scored[ts] = self.score(ts)
+            if got[0] > out[d][0]:
+                out[d] = (got[0], sentence, self.examples[got[1]])
+        return out
+
 
 def learn(documents: DataFrame, labels: DataFrame, positive: int = LABELLED_POSITIVE, negative: int = LABELLED_NEGATIVE) -> Model:
-    """The model of the bounded sample; every other step looks at all documents."""
+    """The model of the bounded sample; every other step looks at all documents. The votes on the
+    examples are taken by the executors; a flag of each comes back."""
+    spark = documents.sparkSession
     y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {int(r["toxic"] > 0): r["n"] for r in y.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     most = {1: positive, 0: negative}
@@ -232,7 +376,19 @@ def learn(documents: DataFrame, labels: DataFrame, positive: int = LABELLED_POSI
     sample = taken[0].unionByName(taken[1])
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").collect()
     share = {k: min(1.0, most[k] / sizes[k]) if sizes.get(k) else 1.0 for k in (0, 1)}
-    return Model(sorted((r["text"], int(r["toxic"] > 0)) for r in rows), share[1], share[0])
+    model = Model(sorted((r["text"], int(r["toxic"] > 0)) for r in rows), share[1], share[0])
+    if len(model.asked):
+        shared = spark.sparkContext.broadcast(model)
+
+        def ask(batches):
+            m = shared.value
+            for b in batches:
+                kept = [i for i in b.column(0).to_pylist() if m.keeps(int(m.asked[i]))]
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["id"])
+
+        kept = spark.range(0, len(model.asked), 1, 1 + len(model.asked) // 250).mapInArrow(ask, "id bigint").collect()
+        model.settle(np.sort(model.asked[[r["id"] for r in kept]]) if kept else np.empty(0, np.int64))
+    return model
 
 
 def scored(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,30 +396,14 @@ def scored(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
     nearest prototype; every row of ``documents`` has one."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     src = documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
-    memory: dict = {}
 
     def work(batches):
         m = shared.value
         for b in batches:
-            score, evidence, example = [], [], []
-            for t in b.column(1).to_pylist():
-                best, why, like = 0.0, None, None
-                for s in sentences(t) if t else ():
-                    ts = terms(s)
-                    if not ts:
-                        continue
-                    known = memory.get(ts)
-                    if known is None:
-                        known = m.score(ts)
-                        if len(memory) >= MEMORY:
-                            memory.clear()
-                        memory[ts] = known
-                    if known[0] > best:
-                        best, why, like = known[0], s, " ".join(m.examples[known[1]])
-                score.append(round(best, 6))
-                evidence.append(why)
-                example.append(like)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(evidence, pa.string()), pa.array(example, pa.string())], names=["_k", "score", "evidence", "example"])
+            for k in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(k, AT_ONCE)
+                got = m.scores(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([round(x[0], 6) for x in got], pa.float64()), *(pa.array([x[i] for x in got], pa.string()) for i in (1, 2))], names=["_k", "score", "evidence", "example"])
 
     kind = src.schema["_k"].dataType.simpleString()
     return src.mapInArrow(work, f"_k {kind}, score double, evidence string, example string").withColumnRenamed("_k", key)
