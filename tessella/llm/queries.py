@@ -18,15 +18,15 @@ def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeated.repeated_lines(table(spark, d, "chunks").select("id", "source", "document", "text")).select("id", "line_no")
+    return repeated.repeated_lines(table(spark, d, "chunks").select("id", "source", "document", "text"))
 
 
 def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return repeated.repeated_blocks(table(spark, d, "chunks").select("id", "source", "document", "text"))
+    return repeated.block_report(table(spark, d, "chunks").select("id", "source", "document", "text"))
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
-    return repeated.strip_repeated(table(spark, d, "chunks").select("id", "source", "document", "text").dropDuplicates(["id"])).select("id", "clean_text")
+    return repeated.strip_repeated(table(spark, d, "chunks").select("id", "source", "document", "text"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

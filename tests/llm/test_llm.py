@@ -120,9 +120,35 @@ def test_repeated_lines(spark):
     df = chunks(spark, rows)
     got = sorted(map(tuple, repeated.repeated_lines(df).select("id", "line_no").collect()))
     assert got == sorted((i, k) for i in range(8) for k in (2, 3))
-    assert {(r["lines"], r["documents"]) for r in repeated.repeated_blocks(df).collect()} == {(1, 8), (2, 8)}
-    assert repeated.strip_repeated(df.dropDuplicates(["id"])).where("id = 3").first()["clean_text"].count("\n") == 0
-    assert repeated.repeated_lines(chunks(spark, [])).count() == 0
+    assert [(r["source"], r["lines"], r["documents"]) for r in repeated.block_report(df).collect()] == [("s", 2, 8)]
+    clean = {r["id"]: r["clean_text"] for r in repeated.strip_repeated(df).collect()}
+    assert clean[3].count("\n") == 0 and clean[20] == share and clean[21] is None and len(clean) == 11
+    assert repeated.repeated_lines(chunks(spark, [])).count() == 0 and repeated.block_report(chunks(spark, [])).count() == 0
+
+
+def test_repeated_blocks_against_brute_force(spark):
+    r = random.Random(8)
+    pool = [f"{w} line of the notice that all of them share" for w in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh")]
+    texts = []
+    for i in range(30):
+        a, b = sorted(r.sample(range(8), 2))
+        texts.append([*pool[a:b], f"body of its own {'abcdefghijklmnopqrstuvwxyzäöüß'[i]} stands here", *r.choices(pool, k=r.randint(0, 3))])
+    df = chunks(spark, [(i, "s", f"d{i // 2}", 1, "\n".join(t), "en") for i, t in enumerate(texts)])
+
+    def documents(block):
+        return len({i // 2 for i, t in enumerate(texts) if any(t[k : k + len(block)] == block for k in range(len(t)))})
+
+    want = set()
+    for i, t in enumerate(texts):
+        end = 0
+        for a in range(len(t)):
+            n = max((n for n in range(len(t) - a + 1) if not n or documents(t[a : a + n]) >= 4), default=0)
+            if n and a + n > end:
+                want.add((i, a + 1, n))
+            end = max(end, a + n)
+    got = repeated.repeated_blocks(df).collect()
+    assert {(x["id"], x["start"], x["lines"]) for x in got} == want and max(n for *_, n in want) > 4
+    assert len({x["block"] for x in got}) == len({tuple(texts[i][a - 1 : a - 1 + n]) for i, a, n in want})
 
 
 def test_quality():
@@ -220,11 +246,11 @@ def test_near_duplicates_against_brute_force(spark):
 def test_pairs_at_one_half_are_met(spark):
     # 400 pairs of 300 triples, 200 shared, so each is at just 0.5
     r = np.random.default_rng(4)
-    a, b = neardup._coefficients(neardup.SYMBOLS)
+    a = neardup._coefficients(neardup.SYMBOLS)
     lost = 0
     for _ in range(400):
         h = r.integers(0, 1 << 63, 400, dtype=np.uint64)
-        (x, p), (y, q) = (neardup.anchors(np.sort(s), a, b, neardup.ROWS) for s in (h[:300], h[100:]))
+        (x, p), (y, q) = (neardup.anchors(np.sort(s), a, neardup.ROWS) for s in (h[:300], h[100:]))
         lost += not (x == y).any() or sum(int(z).bit_count() for z in p ^ q) > neardup.FAR
     assert lost == 0
 
