@@ -4,15 +4,15 @@
 LEGAL_NUMBER = r"(?:^|[^\p{L}\p{N}_])(?:SO\s*[:.]?\s*)?(\d{1,3}\s*(?:/\s*\d{4})?\s*/\s*(?:TT|ND|QD|NQ)\s*-\s*[A-Z-]*[A-Z])"
 FILE_NUMBER = r"(?:^|[^0-9])(\d{1,3})[._-](\d{4})[._-](TT|ND|QD|NQ)[._-]([A-Z]+)"
 DATE = r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
-ARTICLE = r"(?iu)đi[eề]u\s+(\d+[a-zđ]?)\s*[.:]?\s*"
+ARTICLE = r"(?iuU)\bđi[eề]u\s+(\d+[a-zđ]?)\s*[.:]?\s*"
 
 # Document types, in order.
 TYPES = {
-    "Circular": r"th[oô]ng\s+t[ưứ]|/TT-",
-    "Decree": r"ngh[iị]\s+[đd]ịnh|/(?:NĐ|ND)-",
-    "Decision": r"quy[eế]t\s+[đd]ịnh|/(?:QĐ|QD)-",
-    "Resolution": r"ngh[iị]\s+quy[eế]t|/NQ-",
-    "Law": r"lu[aậ]t",
+    "Circular": r"\bth[oô]ng\s+t[ưứ]\b|/TT-",
+    "Decree": r"\bngh[iị]\s+[đd]ịnh\b|/(?:NĐ|ND)-",
+    "Decision": r"\bquy[eế]t\s+[đd]ịnh\b|/(?:QĐ|QD)-",
+    "Resolution": r"\bngh[iị]\s+quy[eế]t\b|/NQ-",
+    "Law": r"\blu[aậ]t\b",
 }
 
 # Predicates of facts. "được" is written whole here, so that it matches.
@@ -25,6 +25,9 @@ PREDICATES = {
     "replaces": r"(thay\s+th[eế]|h[eế]t\s+hi[eệ]u\s+l[ưự]c)",
 }
 
+# Fixed value: words by which a sentence defines a term.
+DEFINING = r"(l[aà]|được\s+hiểu\s+là)"
+
 # Hints in questions for the predicate asked for.
 INTENTS = {
     "requires": ["phải", "trách nhiệm", "nghĩa vụ", "yêu cầu", "cần làm gì"],
@@ -68,6 +71,30 @@ STOP_KEYS = [
 GLOBAL_HINTS = ["bao quat", "chung", "comprehensive", "global", "khai quat", "overview", "so sanh", "summary", "toan bo", "toan dien", "tom tat", "tong hop", "tong quan"]
 FILLERS = ["cac", "chinh", "cua", "diem", "noi", "quy", "quy dinh", "tai lieu", "tom tat", "tong hop", "tong quan", "van ban"]
 
+# The class of capitals (a range of code points, so it holds accented small letters too), and
+# patterns of entities: references of law, abbreviations, capitalised phrases.
+CAPITALS = "A-ZÀ-ỸĐ"
+LEGAL_ENTITY = (
+    r"(?iuU)\b(?:Điều\s+\d+[a-z]?|Khoản\s+\d+[a-z]?|Mục\s+\d+[a-z]?|Chương\s+[IVXLC\d]+"
+    r"|Nghị\s+định\s+\d+/\d{4}/[A-ZĐ/-]+|Thông\s+tư\s+\d+/\d{4}/[A-ZĐ/-]+|Quyết\s+định\s+\d+/\d{4}/[A-ZĐ/-]+"
+    r"|Luật\s+[A-ZÀ-Ỹa-zà-ỹĐđ\s]{3,60})\b"
+)
+ABBREVIATION = r"(?U)\b[A-ZĐ]{2,}(?:[-/][A-Z0-9Đ]+)*\b"
+CAPITALISED = r"(?U)\b[A-ZÀ-ỸĐ][\wÀ-ỹĐđ/-]*(?:\s+(?:[A-ZÀ-ỸĐ0-9][\wÀ-ỹĐđ/-]*|và|của|cho|về|trong|theo|tại)){0,5}"
+
+# The known types of concepts, by group.
+ENTITY_TYPES = {
+    "LegalDocument": ["Law", "Decree", "Circular", "Decision", "Resolution", "OtherLegalDocument"],
+    "LegalSection": ["Chapter", "Section", "Article", "Clause", "Point"],
+    "Actor": ["Authority", "FinancialInstitution", "Organization", "Person", "DataRole"],
+    "Topic": ["BankingActivity", "Risk", "Control", "Data", "Payment", "Compliance"],
+    "Provision": ["Definition", "Requirement", "Prohibition", "Permission", "Right", "Exception"],
+}
+
+# Types of concepts that act, and the authorities that issue documents, in order.
+ACTORS = ["Authority", "FinancialInstitution", "Organization", "Person", "DataRole"]
+ISSUERS = ["state_bank", "government", "ministry_public_security"]
+
 # Misreadings of scans and what they stand for, in order.
 OCR_REWRITES = [
     (r"\bdu\s+li[eệ]u\b", "dữ liệu"), (r"\bdu\s+ligu\b", "dữ liệu"), (r"\bdir\s+ligu\b", "dữ liệu"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -33,6 +34,55 @@ def folded(x: str) -> str:
     return x.translate(str.maketrans(*fold_map()))
 
 
+_word = re.compile(r"\w+")
+_blank = re.compile(r"\s+")
+
+
+@lru_cache(maxsize=1)
+def _fold_table() -> dict:
+    return str.maketrans(*fold_map())
+
+
+@lru_cache(maxsize=200_000)
+def fold_text(x: str) -> str:
+    """:func:`fold` of one string, for work in Arrow batches."""
+    if x.isascii():
+        return x
+    return "".join(c for c in x.translate(_fold_table()) if unicodedata.category(c) != "Mn")
+
+
+def words_of(x: str) -> list[str]:
+    """:func:`tokens` of one string."""
+    return [t for t in _word.findall(x.lower()) if len(t) > 1]
+
+
+def words_dual(x: str) -> list[str]:
+    """:func:`tokens_dual` of one string."""
+    out = []
+    for t in words_of(x):
+        out.append(t)
+        if (f := fold_text(t)) != t:
+            out.append(f)
+    return out
+
+
+def words_folded(x: str) -> list[str]:
+    """:func:`tokens_folded` of one string."""
+    return [fold_text(t) for t in words_of(x)]
+
+
+#: The analysers for work in Arrow batches, by the names of :data:`ANALYSERS`.
+BATCH_ANALYSERS = {"basic": words_of, "dual": words_dual, "folded": words_folded}
+
+
+def squeezed_text(x: str) -> str:
+    """:func:`squeezed` of one string."""
+    x = x.lower()
+    if not x.isascii():
+        x = "".join(c for c in x.translate(_fold_table()) if unicodedata.category(c) != "Mn")
+    return _blank.sub(" ", x).strip()
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
 
@@ -45,7 +95,8 @@ def clean_text(x: Column) -> Column:
 
 def clean_text_dehyphen(x: Column) -> Column:
     """:func:`clean_text` after words broken by a hyphen at a line end are joined."""
-    return clean_text(F.regexp_replace(x, r"([\p{L}\p{N}_])-[ \t]*\n[ \t]*([\p{L}\p{N}_])", "$1$2"))
+    x = F.replace(x, F.lit("\0"), F.lit(" "))
+    return clean_text(F.regexp_replace(x, rf"(?<={WORD[:-1]})-{BLANK}*\n{BLANK}*(?={WORD[:-1]})", ""))
 
 
 def fold(x: Column) -> Column:
@@ -80,10 +131,10 @@ def normalized(x: Column) -> Column:
 ANALYSERS = {"basic": tokens, "dual": tokens_dual, "folded": tokens_folded}
 
 
-def bigrams(t: Column) -> Column:
+def bigrams(t: Column, sep: str = " ") -> Column:
     """Neighbouring pairs; ``t`` is read a few times, so it should be a column, not an expression."""
     n = F.greatest(F.size(t) - 1, F.lit(0))
-    return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(sep, a, b))
 
 
 def squeezed(x: Column) -> Column:
@@ -109,14 +160,14 @@ def sentences(x: Column, wide: bool = True) -> Column:
 
 
 def text_quality(x: Column) -> Column:
-    """0.55 times the share of letters, 0.45 times that of plausible words up to 0.62; three digits."""
+    """0.55 times the share of letters, 0.45 times that of plausible words up to 0.62; three digits, rounded half up."""
     body = F.regexp_replace(x, f"{BLANK}+", "")
     alpha = F.length(F.regexp_replace(body, r"[^\p{L}]+", "")) / F.greatest(F.length(body), F.lit(1))
     ws = F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
     good = F.filter(ws, lambda w: (F.length(w) >= 3) & (F.length(F.regexp_replace(w, r"[^\p{L}]+", "")) >= F.length(w) * 0.8))
     plausible = F.size(good) / F.greatest(F.size(ws), F.lit(1))
     score = F.lit(0.55) * alpha + F.lit(0.45) * F.least(F.lit(1.0), plausible / 0.62)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * 1000 + 0.5) / 1000
 
 
 def legal_refs(x: Column) -> Column:
@@ -145,15 +196,17 @@ def document_type(x: Column) -> Column:
     """The first of the ordered types whose pattern stands in the text."""
     out = F
     for name, pattern in lexicon.TYPES.items():
-        out = out.when(x.rlike(f"(?iu){pattern}"), name)
+        out = out.when(x.rlike(f"(?iuU){pattern}"), name)
     return out.otherwise("OtherLegalDocument")
 
 
 def repair_ocr(x: Column) -> Column:
     """Frequent misreadings of Vietnamese scans undone, in order; spacing of punctuation mended."""
-    x = F.replace(clean_text_dehyphen(x), F.lit("Ð"), F.lit("Đ"))
-    x = F.regexp_replace(x, r"(?U)\b(\p{Lu})\s(\p{Lu})\s(\p{Lu})\b", "$1$2$3")
+    x = F.translate(clean_text_dehyphen(x), "Ðð", "Đđ")
+    one = f"([{lexicon.CAPITALS}])"
+    x = F.regexp_replace(x, rf"(?U)\b{one}\s+{one}\s+{one}\b", "$1$2$3")
     for pattern, right in lexicon.OCR_REWRITES:
         x = F.regexp_replace(x, f"(?iuU){pattern}", right)
-    x = F.regexp_replace(x, r"\s+([,.;:!?)\]])", "$1")
-    return clean_text(F.regexp_replace(x, r"([(\[])\s+", "$1"))
+    x = F.regexp_replace(x, rf"{BLANK}+([,.;:!?])", "$1")
+    x = F.regexp_replace(x, rf"([(\[{{]){BLANK}+", "$1")
+    return clean_text_dehyphen(F.regexp_replace(x, rf"{BLANK}+([)\]}}])", "$1"))

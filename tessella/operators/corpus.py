@@ -12,13 +12,14 @@ CHUNK, OVERLAP, MIN_PAGE = 450, 80, 40
 
 def chunk_words(df: DataFrame, key: str, text: str, size: int = CHUNK, overlap: int = OVERLAP, min_chars: int = MIN_PAGE) -> DataFrame:
     """``(key, chunk_on_page, chunk_id, text)``: passages of ``size`` words that share ``overlap``
-    words; pages of under ``min_chars`` characters are left out. One narrow pass, no shuffle."""
+    words; pages of under ``min_chars`` characters are left out. One narrow pass, no shuffle. Ids are the
+    key times 2^20 plus the number of the passage, so they stay apart up to a million passages a text."""
     step = max(1, size - overlap)
     x = df.select(F.col(key), T.clean_text(F.col(text)).alias("_t")).where(F.length("_t") >= min_chars)
     x = x.select(key, T.words(F.col("_t")).alias("_w"))
     last = F.ceil(F.greatest(F.size("_w") - size, F.lit(0)) / step).cast("int")
     x = x.select(key, "_w", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
-    return x.select(key, (F.col("_i") + 1).alias("chunk_on_page"), (F.col(key) * 1000 + F.col("_i")).alias("chunk_id"), F.array_join(F.slice("_w", F.col("_i") * step + 1, F.lit(size)), " ").alias("text"))
+    return x.select(key, (F.col("_i") + 1).alias("chunk_on_page"), (F.shiftleft(F.col(key).cast("bigint"), 20) + F.col("_i")).alias("chunk_id"), F.array_join(F.slice("_w", F.col("_i") * step + 1, F.lit(size)), " ").alias("text"))
 
 
 def page_counts(df: DataFrame, text: str, min_chars: int = MIN_PAGE) -> DataFrame:
@@ -46,15 +47,17 @@ def document_stats(chunks: DataFrame) -> DataFrame:
     return c.groupBy("document").agg(F.countDistinct("page").alias("pages"), F.countDistinct(F.when(F.col("full"), F.col("page"))).alias("text_pages"), F.count("*").alias("chunks"))
 
 
-def article_segments(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, pos, article, segment)``: a text split at its article headings; what stands before the
-    first belongs to the last article of the rows before it, by key."""
+def article_segments(df: DataFrame, key: str, text: str, document: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """``(key, pos, article, segment)``: a text split before its article headings, which stay with their
+    segments. What stands before the first heading belongs to the last article of the pages before it
+    (of the same ``document``, by ``order``); without a document a text is on its own."""
     from ..functions.lexicon import ARTICLE
 
-    marked = F.regexp_replace(F.col(text), ARTICLE, "\u0001$1\u0002")
-    x = df.select(F.col(key), F.posexplode(F.split(marked, "\u0001")).alias("pos", "part"))
-    x = x.select(key, "pos", F.when(F.col("pos") > 0, F.regexp_extract("part", "^([^\u0002]*)\u0002", 1)).alias("article"), T.strip(F.regexp_replace("part", "^[^\u0002]*\u0002", "")).alias("segment"))
-    return x.where(F.length("segment") >= 20)
+    group, by = (document or key), (order or [])
+    x = df.select(*dict.fromkeys([key, group, *by]), F.posexplode(F.split(F.col(text), ARTICLE.replace(")", ")(?=", 1) + ")")).alias("pos", "segment"))
+    own = F.nullif(F.regexp_extract("segment", ARTICLE.replace(")", ")^", 1), 1), F.lit(""))
+    w = Window.partitionBy(group).orderBy(*by, key, "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return x.select(key, "pos", F.last(own, ignorenulls=True).over(w).alias("article"), "segment").where(F.length(T.strip(F.col("segment"))) >= 20)
 
 
 def carried_articles(chunks: DataFrame) -> DataFrame:

@@ -52,6 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut` that nothing reads any more, so that a job's steps do not add up on disk."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.rsplit("/", 1)[-1].startswith("cut-"):
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a broadcast of ``small`` only if it has at most ``rows`` rows, else by shuffle.
     ``small`` should be cheap to count, e.g. come from :func:`cut`."""

