@@ -17,7 +17,7 @@ A sentence beyond the reach of every prototype has the score 0 by definition. Mo
 without a search, and exactly: the prototypes stand in blocks of a few alike ones, each with the
 largest weight of a term, and a sentence whose sum of these weights is under the reach in every block
 cannot have a cosine within it. The sums of a batch of documents are taken at once, first over one
-block of all prototypes, then over the small ones for what is left.
+block of all prototypes, then for what is left over large blocks, small ones and single prototypes.
 
 Terms are words and pairs of words of a folded text: one form of look-alike letters, no case, no
 accents, runs of one letter as one, figures and signs inside words read as letters, letters of
@@ -34,6 +34,7 @@ import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ from .forms import visual_form
 #: Bounds of the sample that the index is made of.
 LABELLED_POSITIVE, LABELLED_NEGATIVE = 1500, 2500
 NEIGHBOURS, LEAST_COSINE, REACH, LEAST_SHARE, PROTOTYPE, BLOCK = 20, 0.25, 0.3, 0.62, 0.56, 64
-#: Prototypes of a block of bounds, and documents whose sums are taken at once.
-ALIKE, AT_ONCE = 8, 200
+#: Blocks of bounds are of so many prototypes or smaller blocks; documents whose sums are taken at once.
+ALIKE, AT_ONCE = 8, 500
 #: Words and sentences that a worker remembers; the memory only saves time.
 MEMORY = 300_000
 
@@ -59,6 +60,7 @@ _stars = re.compile(r"\*+")
 _unspaced = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
 _wide_end = re.compile("(?<=[\u3002\uff01\uff1f])")
 _closers, _ends = ")\"”»'’", (".", "!", "?", "؟", "।")
+_maybe_spaced = re.compile(r"[ ._\-][^\W\d_][ ._\-][^\W\d_][ ._\-]")
 _spaced_letters = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._\-]){3,}[^\W\d_](?![^\W_])")
 
 
@@ -77,6 +79,10 @@ def _term(word: str) -> tuple[str, ...]:
     return (w,) if w else ()
 
 
+#: Stands for the end of a sentence between two lines.
+END = "\0"
+
+
 @lru_cache(maxsize=MEMORY)
 def _read(chunk: str) -> list[tuple[str, tuple[str, ...], bool]]:
     """What stands between two blanks, as parts ``(text, terms, ends a sentence)``; mostly one."""
@@ -91,7 +97,9 @@ def _lines(text: str) -> list[tuple[str, bool]]:
     """The lines of a text in one form and lower case, and whether each ends a sentence: one that ends
     well before the widest one does."""
     t = visual_form(text).lower()
-    if _spaced_letters.search(t):
+    if END in t:
+        t = t.replace(END, " ")
+    if _maybe_spaced.search(t):
         t = _spaced_letters.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), t)
     lines = t.split("\n")
     width = max(map(len, lines)) * 0.7 if len(lines) > 1 else 0
@@ -166,9 +174,9 @@ class BlockMaxIndex:
         return ids, [y / norm for y in v]
 
     def search(self, ids: list[int], v: list[float], k: int, least: float, skip: int = -1) -> list[tuple[float, int]]:
-        if not ids:
+        if not len(ids):
             return []
-        ids, v = np.array(ids), np.array(v)
+        ids, v = np.asarray(ids), np.asarray(v)
         entries, of = _ranges(self.block_start[ids], self.block_start[ids + 1])
         no, y = self.block_no[entries], v[of]
         bound = np.bincount(no, y * self.block_max[entries], self.n // BLOCK + 1)
@@ -204,6 +212,43 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(of)) - (np.cumsum(n) - n)[of] + start[of], of
 
 
+class _Known(dict):
+    """What stands between two blanks by number, and of each number the words it holds, -1 where a sentence
+    ends. Words that the examples lack have numbers of their own, beyond those of the index."""
+
+    def __init__(self, words: dict[str, int]):
+        super().__init__()
+        self.index_words = words
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.words, self.flat, self.ends = dict(self.index_words), [-1], [0, 1]
+        self[END] = 0
+        self.arrays = np.array(self.flat), np.array(self.ends)
+
+    def __missing__(self, chunk: str) -> int:
+        number = self.words.setdefault
+        for _, terms, ends in _read(chunk):
+            self.flat += [number(x, len(self.words)) for x in terms]
+            if ends:
+                self.flat.append(-1)
+        self.ends.append(len(self.flat))
+        code = self[chunk] = len(self)
+        return code
+
+    def expand(self, codes: list[int]) -> np.ndarray:
+        """The words of all chunks, one after another."""
+        flat, ends = self.arrays
+        if len(ends) < len(self.ends):
+            new = len(ends)
+            flat = np.concatenate([flat, np.array(self.flat[len(flat) :], np.int64)])
+            ends = np.concatenate([ends, np.array(self.ends[new:], np.int64)])
+            self.arrays = flat, ends
+        at, _ = _ranges(ends[codes], ends[np.array(codes) + 1])
+        return flat[at]
+
+
 class Model:
     """The index, the votes of its examples and the prototypes among them, with the bounds that rule
     sentences out. Prototypes are told by :meth:`keeps`, example by example, and set by :meth:`settle`."""
@@ -221,11 +266,11 @@ class Model:
         self.settle(np.empty(0, np.int64))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "scored")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "scored", "levels", "highest")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.known, self.scored = {}, {}
+        self._bounds()
 
     def keeps(self, i: int) -> bool:
         """Do the neighbours of an example of a positive document vote for it?"""
@@ -234,8 +279,7 @@ class Model:
 
     def settle(self, prototypes: np.ndarray) -> None:
         ix = self.index
-        size, n = len(ix.terms), len(prototypes)
-        self.known, self.scored = {}, {}
+        size = len(ix.terms)
         self.prototype = np.zeros(len(self.examples), bool)
         self.prototype[prototypes] = True
         mine = self.prototype[ix.docs] if len(ix.docs) else np.empty(0, bool)
@@ -256,15 +300,25 @@ class Model:
                 of_word[self.words[x]] = i
         pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.of_word, self.pair_keys, self.of_pair = of_word, pairs[:, 0].copy(), pairs[:, 1].copy()
-        # the largest weight of every term in each block of prototypes; row 0 is that of all other terms
-        own, row = np.unique(term, return_inverse=True)
-        most = np.zeros((len(own) + 1, max(1, -(-n // ALIKE))), np.float32)
-        np.maximum.at(most, (row + 1, no // ALIKE), self.near_weights)
-        self.row = np.zeros(size + 1, np.int64)
+        own = np.unique(term)
+        self.row = np.zeros(size + 1, np.int64)  # row 0 of the bounds is that of all terms of no prototype
         self.row[own] = np.arange(1, len(own) + 1)
         weight = np.r_[ix.idf, ix.unknown]
-        most[1:] *= weight[own][:, None]
-        self.most, self.highest, self.square = most, most.max(axis=1)[self.row], weight * weight
+        self.weight, self.square, self.near_idf = weight, weight * weight, weight[own]
+        self._bounds()
+
+    def _bounds(self) -> None:
+        """The weights of every term in the prototypes, and the largest of each block of them: arrays of
+        rows by blocks by parts of a block, from single prototypes up."""
+        self.known, self.scored = _Known(self.words), {}
+        n = max(1, -(-int(self.prototype.sum()) // (ALIKE * ALIKE))) * ALIKE
+        x = np.zeros((len(self.near_idf) + 1, n * ALIKE), np.float32)
+        term = np.repeat(np.arange(len(self.near_start) - 1), np.diff(self.near_start))
+        x[self.row[term], self.near_docs] = self.near_weights * self.near_idf[self.row[term] - 1] if len(term) else 0
+        x = x.reshape(len(x), n, ALIKE)
+        y = x.max(axis=2).reshape(len(x), n // ALIKE, ALIKE)
+        self.levels = [y.max(axis=2), y, x]
+        self.highest = self.levels[0].max(axis=1)[self.row]
 
     def _share(self, near: list[tuple[float, int]], own: int = -1) -> float:
         p = s = 0.0
@@ -274,94 +328,110 @@ class Model:
             s += c * c * (a + b)
         return p / s if s else 0.0
 
-    def score(self, t: tuple[str, ...]) -> tuple[float, int]:
-        """The vote and the nearest prototype of a sentence; (0, -1) if none is within reach."""
-        ids, v = self.index.vector(grams(t))
-        if not ids or not len(self.near_docs):
+    def _vector(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of the index in a sentence of words by number, and their weights in its unit vector."""
+        size, last = len(self.index.terms), self.base - 1
+        words, m = np.unique(x, return_counts=True)
+        pairs, n = np.unique(x[:-1] << 32 | x[1:], return_counts=True)
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        key = np.where((a < last) & (b < last), a * self.base + b, -1)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        term = np.r_[self.of_word[np.minimum(words, last)], np.where(self.pair_keys[at] == key, self.of_pair[at], size)]
+        v = (1 + np.log(np.r_[m, n])) * self.weight[term]
+        known = term < size
+        return term[known], v[known] / np.sqrt((v * v).sum())
+
+    def score(self, words: tuple[int, ...]) -> tuple[float, int]:
+        """The vote and the nearest prototype of a sentence of words by number; (0, -1) if none is within reach."""
+        if not words or not len(self.near_docs) or not len(self.pair_keys):
             return 0.0, -1
-        at, of = _ranges(self.near_start[ids], self.near_start[np.array(ids) + 1])
-        if not len(at) or np.bincount(self.near_docs[at], np.array(v)[of] * self.near_weights[at]).max() < REACH - 1e-5:
+        ids, v = self._vector(np.array(words, np.int64))
+        at, of = _ranges(self.near_start[ids], self.near_start[ids + 1])
+        if not len(at) or np.bincount(self.near_docs[at], v[of] * self.near_weights[at]).max() < REACH - 1e-5:
             return 0.0, -1
         near = self.index.search(ids, v, NEIGHBOURS, LEAST_COSINE)
         proto = next((i for s, i in near if self.prototype[i] and s >= REACH), -1)
         return (self._share(near), proto) if proto >= 0 else (0.0, -1)
 
-    def _numbers(self, text: str, out: list[int]) -> None:
-        """The words of a text by number, -1 at the end of each sentence but the last."""
-        known = self.known
-        for line, short in _lines(text):
-            for chunk in line.split():
-                try:
-                    out += known[chunk]
-                except KeyError:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    got: list[int] = []
-                    for _, terms, ends in _read(chunk):
-                        got += [self.words.get(x, self.base - 1) for x in terms]
-                        if ends:
-                            got.append(-1)
-                    known[chunk] = got
-                    out += got
-            if short:
-                out.append(-1)
-
-    def within_bounds(self, texts: list[str | None]) -> list[tuple[int, int]]:
-        """``(text, sentence)`` by number of all sentences that a prototype may be within reach of."""
-        flat: list[int] = []
-        first = []  # the number of the first sentence of each text
-        n = 0
+    def numbers(self, terms: tuple[str, ...]) -> tuple[int, ...]:
+        number = self.known.words.setdefault
+        return tuple(number(x, len(self.known.words)) for x in terms)
+
+    def within_bounds(self, texts: list[str | None]) -> list[tuple[int, int, tuple[int, ...]]]:
+        """``(text, sentence, words)`` by number of all sentences that a prototype may be within reach of."""
+        if len(self.known) >= MEMORY:
+            self.known.reset()
+            self.scored.clear()
+        codes: list[int] = []
+        code = self.known.__getitem__
+        ends = []
         for t in texts:
-            k = len(flat)
             if t:
-                self._numbers(t, flat)
-            flat.append(-1)
-            first.append(n)
-            n += flat[k:].count(-1)
-        x = np.array(flat, np.int64)
-        end = x < 0
-        s = np.cumsum(end)[~end]
-        x = x[~end]
-        if not len(x) or not len(self.pair_keys):
+                lines = _lines(t)
+                codes.extend(map(code, " ".join([x + " " + END if short else x for x, short in lines]).split()))
+            codes.append(0)
+            ends.append(len(codes))
+        if not len(self.pair_keys):
             return []
-        next_to = s[1:] == s[:-1]
-        key = (x[:-1] * self.base + x[1:])[next_to]
+        x = self.known.expand(codes)
+        close = x < 0
+        number = np.cumsum(close)
+        # the number of the first sentence of each text: the ends before it
+        until = np.cumsum(np.diff(self.known.arrays[1])[codes])[np.array(ends) - 1]
+        first = np.r_[0, number[until - 1][:-1]] if len(ends) else np.empty(0, np.int64)
+        n = int(number[-1]) if len(number) else 0
+        s, x = number[~close], x[~close]
+        if not len(x):
+            return []
+        size, last = len(self.index.terms), self.base - 1
+        w = np.minimum(x, last)
+        next_to = (s[1:] == s[:-1]) & (w[1:] < last) & (w[:-1] < last)
+        key = (w[:-1] * self.base + w[1:])[next_to]
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        pair = np.where(self.pair_keys[at] == key, self.of_pair[at], len(self.index.terms))
-        term, of = np.r_[self.of_word[x], pair], np.r_[s, s[1:][next_to]]
+        term, of = np.r_[self.of_word[w], np.where(self.pair_keys[at] == key, self.of_pair[at], size)], np.r_[s, s[1:][next_to]]
         words = np.maximum(np.bincount(s, minlength=n), 1)
+        pairs = np.bincount(s[1:][s[1:] == s[:-1]], minlength=n) - np.bincount(s[1:][next_to], minlength=n)
         # a term that stands m times weighs 1 + ln m: m at most, and of m its square is at least this share
-        norm = np.sqrt(np.bincount(of, self.square[term], n) * np.minimum(1, (1 + np.log(words)) ** 2 / words))
+        norm = np.sqrt((np.bincount(of, self.square[term], n) + pairs * self.square[size]) * np.minimum(1, (1 + np.log(words)) ** 2 / words))
         least = (REACH - 1e-4) * norm
         high = self.highest[term]
-        alive = (np.bincount(of, high, n) >= least) & (norm > 0)
-        some = alive[of] & (high > 0)
+        some = high > 0
+        term, of = term[some], of[some]
+        alive = (np.bincount(of, high[some], n) >= least) & (norm > 0)
+        some = alive[of]
         term, of = term[some], of[some]
         order = np.argsort(of, kind="stable")
         term, of = term[order], of[order]
         if not len(of):
             return []
         begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        sums = np.add.reduceat(self.most[self.row[term]], begin, axis=0).max(axis=1)
-        left = of[begin][sums >= least[of[begin]]]
+        until = np.r_[begin[1:], len(of)]
+        sentence, row = of[begin], self.row[term]
+        i, block = np.nonzero(np.add.reduceat(self.levels[0][row], begin, axis=0) >= least[sentence][:, None])
+        for level in self.levels[1:]:
+            if not len(i):
+                return []
+            at, pair = _ranges(begin[i], until[i])
+            sums = np.add.reduceat(level[row[at], block[pair]], np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]), axis=0)
+            k, part = np.nonzero(sums >= least[sentence[i]][:, None])
+            i, block = i[k], block[k] * ALIKE + part
+        left = sentence[np.unique(i)]
         doc = np.searchsorted(first, left, side="right") - 1
-        return [(int(d), int(k - first[d])) for d, k in zip(doc, left, strict=True)]
+        a, b = np.searchsorted(s, left), np.searchsorted(s, left, side="right")
+        return [(int(d), int(k - first[d]), tuple(x[y:z].tolist())) for d, k, y, z in zip(doc, left, a, b, strict=True)]
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, str | None, str | None]]:
         """Of every text the highest score, its sentence and the nearest prototype."""
-        out: list[tuple[float, str | None, str | None]] = [(0.0, None, None)] * len(texts)
-        cut: dict[int, list] = {}
-        for d, k in self.within_bounds(texts):
-            if d not in cut:
-                cut[d] = sentences(texts[d])
-            sentence, ts = cut[d][k]
-            got = self.scored.get(ts)
+        best: dict[int, tuple[float, int, int]] = {}
+        for d, k, words in self.within_bounds(texts):
+            got = self.scored.get(words)
             if got is None:
-                if len(self.scored) >= MEMORY:
-                    self.scored.clear()
-                got = self.scored[ts] = self.score(ts)
-            if got[0] > out[d][0]:
-                out[d] = (got[0], sentence, self.examples[got[1]])
+                got = self.scored[words] = self.score(words)
+            if got[0] > best.get(d, (0.0,))[0]:
+                best[d] = (got[0], k, got[1])
+        out: list[tuple[float, str | None, str | None]] = [(0.0, None, None)] * len(texts)
+        for d, (score, k, i) in best.items():
+            out[d] = (score, sentences(texts[d])[k][0], self.examples[i])
         return out
 
 
