@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, sized_join
+from ..session import cut, drop, once, sized_join
 from .forms import canonical_form
 from .quality import MARKS
 
@@ -39,7 +40,7 @@ from .quality import MARKS
 ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 4, 144, 0.5, 200, 3
 SYMBOLS = ROWS * MASKS
 #: Masks of a round.
-ROUND = 12
+ROUND = 24
 #: Bits of the sketch, and the distance beyond which a pair is not compared: the distance of a pair of
 #: similarity 0.5 is binomial with mean 64, so 5e-6 of them are farther; nearly all unlike pairs are.
 SKETCH, FAR = 256, 95
@@ -184,15 +185,16 @@ def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, **
     reps = words.groupBy("w1", "w2").agg(F.min("_id").alias("rep"))
     members = cut(words.join(reps, ["w1", "w2"]).select(F.col("_id").alias(key), "rep"))
     copies = cut(members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("_id")))
-    candidates = None
+    rounds = []
     for column in [c for c in prints.columns if c.startswith("anchors")]:
-        met = cut(_meeting(prints, copies, column))
-        candidates = met if candidates is None else candidates.unionByName(met)
+        rounds.append(cut(_meeting(prints, copies, column)))
         _free(df.sparkSession)
-    candidates = cut(candidates.distinct())
+    candidates = cut(reduce(DataFrame.unionByName, rounds).distinct())
+    drop(prints, *rounds)
+    _free(df.sparkSession)
     ids = cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("_id")).distinct())
-    texts = sized_join(df.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where(F.length("_t") >= how.get("least_chars", LEAST_CHARS)), ids, ["_id"], "left_semi", 2_000_000)
-    sets = cut(triple_sets(texts, "_id", "_t", k).dropDuplicates(["_id"]))
+    texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where(F.length("_t") >= how.get("least_chars", LEAST_CHARS))
+    sets = cut(triple_sets(sized_join(once(texts, "_id"), ids, ["_id"], "left_semi", 2_000_000), "_id", "_t", k))
     pairs = candidates.join(sets.select(F.col("_id").alias("rep_a"), F.col("h").alias("ha")), "rep_a").join(sets.select(F.col("_id").alias("rep_b"), F.col("h").alias("hb")), "rep_b")
 
     def compare(batches):
