@@ -1,13 +1,16 @@
 """Problem 6: cutting oversized texts at natural boundaries.
 
-A text is parsed into a tree: sections (headings), paragraphs (blank lines), lines and list items,
-sentences, clauses, words, characters. Only nodes over the limit are opened; the parts that come
-out are merged again with their siblings, bottom-up, as long as they stay under the limit. Every
-piece but the first begins with the last ``overlap_chars`` characters of its predecessor.
+A text is parsed into a tree: chapters, sections, articles and clauses by the rank of their headings,
+paragraphs in them, items of lists in these (by indentation); below stand lines, sentences, clauses,
+words and characters, which are only looked at inside a node that is still too large. Only nodes over
+the limit are opened; the parts that come out are merged again with their siblings, bottom-up, as long
+as they stay under the limit. Every piece but the first begins with the last ``overlap_chars``
+characters of its predecessor, exactly, so an overlap may begin inside a word.
 
 Cases: null texts give no piece, texts under the limit one piece (the text itself, be it empty); an
-overlap of half the limit or more is shortened to half of it; a language without a row of limits
-takes the row ``und``. Rows repeated with the same id count once. Other columns pass through.
+overlap of half the limit or more cannot leave room for new text and is shortened to half the limit,
+which ``overlap_of`` reports; a language without a row of limits takes the row ``und``. Rows repeated
+with the same id count once. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -19,12 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, once, sized_join
+
 # Words that open a numbered heading, by language of the corpus.
 HEADING = r"(?:#{1,6} |(?:Điều|Khoản|Mục|Chương|Article|Section|Artikel|Abschnitt|Artículo|Sección|अनुच्छेद|धारा|المادة|ข้อ|มาตรา) ?\d|第 ?\d+ ?[条章節节])"
-#: Ways to open a node, outermost first; a cut is made after the match of the first group or at its start.
+# The same by rank, with chapters, outermost first.
+RANKS = [
+    r"(?:Chương|Chapter|Kapitel|Chapitre|Capítulo|अध्याय|الفصل|บทที่) ?[\dIVXLC]|第 ?\d+ ?章",
+    r"(?:Mục|Section|Abschnitt|Sección|धारा|القسم|หมวด) ?\d|第 ?\d+ ?[節节]",
+    r"(?:Điều|Article|Artikel|Artículo|अनुच्छेद|المادة|ข้อ|มาตรา) ?\d|第 ?\d+ ?[条條]",
+    r"(?:Khoản|Clause|Absatz|Alinéa|Apartado) ?\d",
+]
+_ranks = re.compile("|".join(f"({r})" for r in RANKS))
+_marks = re.compile(r"(#{1,6}) ")
+_item = re.compile(r"([ \t]*)(?:[-•*–·▪]|\(?(?:\d{1,3}|[a-zđ]|[ivx]{1,4})[.)])\s")
+#: Ranks of the nodes of a tree: headings from 1 (# marks) and 7 (words), paragraphs, items by indentation.
+WORDS, PARAGRAPH, ITEM = 7, 20, 21
+#: Ways to open a node that has no nodes below it, outermost first; a cut is made after the match.
 LEVELS = [
-    re.compile(rf"\n(?={HEADING})"),
-    re.compile(r"\n[ \t]*\n+"),
     re.compile(r"\n"),
     re.compile(r"(?:[.!?…][”\"»’)\]]*\s+)|(?:[。！？｡][”」』）]*)|(?:[।؟]\s*)"),
     re.compile(r"[;:,،；，、|]\s*"),
@@ -32,6 +47,31 @@ LEVELS = [
 ]
 
 
+def openers(text: str) -> list[tuple[int, int]]:
+    """``(start, rank)`` of all nodes of the tree of a text, by start: a node goes on to the next one of
+    its rank or above."""
+    out, at, blank, headed = [], 0, True, False
+    for line in text.split("\n"):
+        bare = line.lstrip()
+        rank = None
+        if not bare:
+            blank = True
+        elif m := _marks.match(bare):
+            rank = len(m[1])
+        elif m := _ranks.match(bare):
+            rank = WORDS + m.lastindex - 1
+        elif m := _item.match(line):
+            rank = ITEM + min(len(m[1].expandtabs(4)), 40)
+        elif blank or headed:
+            rank = PARAGRAPH
+        if rank is not None:
+            out.append((at, rank))
+        if bare:
+            blank, headed = False, rank is not None and rank < PARAGRAPH
+        at += len(line) + 1
+    return out
+
+
 def _merge(spans: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in spans:
@@ -43,6 +83,7 @@ def _merge(spans: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
 
 
 def _open(text: str, a: int, b: int, level: int, limit: int) -> list[tuple[int, int]]:
+    """The parts of a node without nodes below it."""
     if b - a <= limit:
         return [(a, b)]
     if level == len(LEVELS):
@@ -60,18 +101,36 @@ def _open(text: str, a: int, b: int, level: int, limit: int) -> list[tuple[int,
             spans.append((at, m.end()))
             at = m.end()
     spans.append((at, b))
-    parts = [p for s in spans for p in _open(text, *s, level + 1, limit)]
+    return _merge([p for s in spans for p in _open(text, *s, level + 1, limit)], limit)
+
+
+def _pack(text: str, a: int, b: int, nodes: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
+    """The parts of a node; ``nodes`` are those that begin inside it."""
+    if b - a <= limit:
+        return [(a, b)]
+    if not nodes:
+        return _open(text, a, b, 0, limit)
+    top = min(rank for _, rank in nodes)
+    cuts = [i for i, (_, rank) in enumerate(nodes) if rank == top]
+    parts = _pack(text, a, nodes[cuts[0]][0], nodes[: cuts[0]], limit) if nodes[cuts[0]][0] > a else []
+    for i, k in zip(cuts, [*cuts[1:], len(nodes)], strict=True):
+        parts += _pack(text, nodes[i][0], nodes[k][0] if k < len(nodes) else b, nodes[i + 1 : k], limit)
     return _merge(parts, limit)
 
 
+def overlap_of(max_chars: int, overlap_chars: int) -> int:
+    """The overlap that is used: at most half the limit."""
+    return min(overlap_chars, max_chars // 2)
+
+
 def cut_text(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int, int]]:
     """Pieces as ``(start, body, end)``: the piece is ``text[start:end]``, new from ``body`` on."""
     if len(text) <= max_chars:
         return [(0, 0, len(text))]
-    overlap = min(overlap_chars, max_chars // 2)
-    first, limit = max_chars, max(1, max_chars - overlap)
-    spans = _open(text, 0, len(text), 0, limit)
-    if len(spans) > 1 and spans[1][1] <= first:  # the first piece has no overlap to carry
+    overlap = overlap_of(max_chars, overlap_chars)
+    limit = max(1, max_chars - overlap)
+    spans = _pack(text, 0, len(text), openers(text), limit)
+    if len(spans) > 1 and spans[1][1] <= max_chars:  # the first piece has no overlap to carry
         spans[:2] = [(0, spans[1][1])]
     return [(max(0, a - overlap) if a else 0, a, b) for a, b in spans]
 
@@ -119,19 +178,21 @@ def recut_pages(df: DataFrame, limits: DataFrame, block: int = 256) -> DataFrame
     The new numbers are a running count in two steps (blocks of old numbers, then rows of a
     block), so that no page of any size is gathered in one place."""
     cols = ["id", "source", "document", "page", "chunk_on_page", "text", "lang"]
-    base = df.select(*cols).where("text is not null").dropDuplicates(["id"])
-    cutted = cut_oversized(base, limits)
-    n = cutted.groupBy("id").agg(F.count("*").alias("n"))
+    base = once(df.select(*cols).where("text is not null"), "id")
+    limited = with_limits(base, limits)
+    parts = cut(cut_oversized(base, limits))
+    n = parts.groupBy("id").agg(F.count("*").alias("n"))
     pos = base.select("id", "document", "page", "chunk_on_page").join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    pos = pos.withColumn("blk", F.coalesce(F.floor(F.col("chunk_on_page") / block), F.lit(-1)))
+    pos = cut(pos.withColumn("blk", F.coalesce(F.floor(F.col("chunk_on_page") / block), F.lit(-1))))
     page = ["document", "page"]
     sums = pos.groupBy(*page, "blk").agg(F.sum("n").alias("bn"))
     sums = sums.withColumn("before", F.coalesce(F.sum("bn").over(Window.partitionBy(*page).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = Window.partitionBy(*page, "blk").orderBy("chunk_on_page", "id").rowsBetween(Window.unboundedPreceding, -1)
     pos = pos.withColumn("inside", F.coalesce(F.sum("n").over(run), F.lit(0)))
     on = (pos.document.eqNullSafe(sums.document)) & (pos.page.eqNullSafe(sums.page)) & (pos.blk == sums.blk)
-    first = pos.join(sums, on).select(pos.id, (sums.before + pos.inside).alias("first"))
-    whole = with_limits(base, limits).where(F.length("text") <= F.col("_max")).select(*cols, F.lit(1).alias("piece_no"), F.lit(1).alias("start_pos"), F.col("text").alias("piece"))
-    parts = base.drop("text").join(cutted, "id").select(*[c for c in cols if c != "text"], "piece_no", "start_pos", "piece")
-    out = whole.drop("text").unionByName(parts).join(first, "id")
-    return out.select("id", "source", "document", "page", (F.col("first") + F.col("piece_no")).cast("int").alias("chunk_on_page"), "piece_no", "start_pos", F.col("piece").alias("text"))
+    first = cut(pos.join(sums, on).select(pos.id, (sums.before + pos.inside).alias("first")))
+    # the numbers (16 bytes a row) go to the texts, not the texts to the numbers
+    whole = limited.where(F.length("text") <= F.col("_max")).select("id", "source", "document", "page", F.lit(1).alias("piece_no"), F.lit(1).alias("start_pos"), "text")
+    cutted = sized_join(base.select("id", "source", "document", "page"), parts.select("id").distinct(), ["id"], "left_semi").join(parts.withColumnRenamed("piece", "text"), "id").select(*whole.columns)
+    out = sized_join(whole.unionByName(cutted), first, ["id"], rows=2_000_000)
+    return out.select("id", "source", "document", "page", (F.col("first") + F.col("piece_no")).cast("int").alias("chunk_on_page"), "piece_no", "start_pos", "text")

@@ -76,6 +76,18 @@ def test_pieces(text):
     assert pieces.cut_text("", 5, 2) == [(0, 0, 0)] and all(b - a <= 3 for a, _, b in pieces.cut_text("abcdefgh", 3, 9))
 
 
+def test_tree_of_a_text():
+    text = "# A\nintro\n\nChương I\nMục 1. x\nĐiều 1. y\nbody\n- one\n  - two\n- three\n\nnext\nĐiều 2. z"
+    assert [(text[a:].split("\n")[0].strip(), r) for a, r in pieces.openers(text)] == [("# A", 1), ("intro", 20), ("Chương I", 7), ("Mục 1. x", 8), ("Điều 1. y", 9), ("body", 20), ("- one", 21), ("- two", 23), ("- three", 21), ("next", 20), ("Điều 2. z", 9)]
+    articles = [f"Điều {i}. " + "chữ " * (5 + i % 3) for i in range(1, 30)]
+    text = "\n".join(articles)
+    out = pieces.cut_text(text, 120, 0)
+    assert all(text[b:].startswith("Điều") for _, b, _ in out) and len(out) < 20  # siblings share a piece, none is broken
+    text = "Điều 1. a\n" + "Khoản 1. " + "x " * 60 + "\nKhoản 2. y\nĐiều 2. b"
+    assert [text[b:e].split(" ")[0] for _, b, e in pieces.cut_text(text, 140, 0)] == ["Điều", "Khoản"]
+    assert pieces.overlap_of(100, 80) == 50
+
+
 def test_pieces_on_rows(spark):
     limits = spark.createDataFrame([("vi", 20, 5), ("und", 10, 2)], "lang string, max_chars int, overlap_chars int")
     rows = [(1, "s", "d", 1, "một hai ba bốn năm sáu bảy", "vi"), (2, "s", "d", 1, "một hai ba", "vi"), (3, "s", "d", 1, "a" * 11, None), (3, "s", "d", 1, "a" * 11, None), (4, "s", "d", 1, None, "vi"), (5, "s", "d", 1, "b" * 11, "xx")]
@@ -288,4 +300,13 @@ def test_abuse_scores(spark):
     assert len(got) == docs.count() and got[300] == got[301] == 0
     assert all(got[i] < abuse.LEAST_SHARE for i in range(60)) and all(got[i] >= abuse.LEAST_SHARE for i in (115, 116, 117, 118, 119, 302))
     assert abuse.rates(docs, abuse.scored(docs, model)).where("source = 's'").first()["documents"] == 82
-    assert abuse.learn(docs, labels.limit(0)).score(("a",)) == (0.0, -1)
+    empty = abuse.learn(docs, labels.limit(0))
+    assert empty.score(empty.numbers(("a",))) == (0.0, -1) and empty.scores(["a b", None]) == [(0.0, None, None)] * 2
+    # no sentence that the bounds rule out has a score, and vectors by number are those by word
+    for _, t, _ in rows:
+        left = {k for _, k, _ in model.within_bounds([t])}
+        for k, (_, ts) in enumerate(abuse.sentences(t)):
+            assert k in left or model.score(model.numbers(ts))[0] == 0
+            ids, v = model.index.vector(abuse.grams(ts))
+            a, b = model._vector(np.array(model.numbers(ts)))
+            assert dict(zip(a.tolist(), b.tolist(), strict=True)) == pytest.approx(dict(zip(ids, v, strict=True)))
