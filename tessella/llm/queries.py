@@ -30,11 +30,11 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.judged(table(spark, d, "chunks")).where("kind is not null").select("id", "kind")
+    return quality.judged(table(spark, d, "chunks"), lang="lang").where("kind is not null").select("id", "kind")
 
 
 def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.judged(table(spark, d, "chunks"))
+    return quality.judged(table(spark, d, "chunks"), lang="lang")
 
 
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
