@@ -130,7 +130,7 @@ def misreadings(counts: DataFrame) -> DataFrame:
         for b in batches:
             w, g, n = [], [], []
             for x, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if 3 <= len(x) <= 30 and "-" not in x:
+                if len(x) >= 3 and "-" not in x:
                     for y in corrections(x):
                         if _pure.match(y):
                             w.append(x)
