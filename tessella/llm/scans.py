@@ -34,7 +34,7 @@ from .quality import _mojibake
 # What a scanner takes for which letters: as read, then as printed.
 CONFUSIONS = {
     "0": "o", "1": "l i", "!": "i l", "|": "l i", "5": "s", "8": "b", "4": "a á ả ấ ạ", "6": "é ó ô ổ b", "9": "g",
-    "c": "e", "b": "h", "f": "t", "g": "ệ", "q": "ạ", "é": "ể ế", "u": "ư", "j": "ị í",
+    "c": "e", "b": "h", "f": "t", "g": "ệ ợ", "m": "rn", "q": "ạ", "é": "ể ế", "u": "ư", "j": "ị í",
     "ri": "n", "cl": "d", "li": "h", "rn": "m", "vv": "w", "ii": "ü",
 }
 #: A misreading is at most one in so many of its word; with a figure or sign inside it needs less proof.
@@ -54,6 +54,8 @@ _hyphened = re.compile(rf"[{_LATIN}]+(?:-[{_LATIN}]+)+")
 _break = re.compile(r"(-?)\b([^\W\d_]+)[-\u2010\u2011\u00ad][ \t\u00a0]*\n[ \t]*([^\W\d_]*)(?=(-?)[^\n]*(?:\n[ \t]*([^\W\d_]*))?)")
 _page_line = re.compile(r"(?:(?:page|p|trang|tr|seite|s|página|pág|pag)\.? ?(\d{1,4})(?: ?(?:of|/|von|de|sur) ?\d{1,4})?|[-–—\[(] ?(\d{1,4}) ?[-–—\])]|(\d{1,4}) ?/ ?\d{1,4}|第? ?(\d{1,4}) ?[页頁])$", re.I)
 _bare = re.compile(r"\d{1,4}$")
+_roman = re.compile(r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
+_roman_values = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _suffix = re.compile(r"(?:\s*\|\s*|\s{2,}|\s+)(?:(?:p|tr|page|trang|seite|s)\.?\s*)?\d{1,4}$", re.I)
 _running = re.compile(r"\S\s+[—·]\s+\S")
 _number = re.compile(r"(?<![^\W_])\d[\d.,:/-]*(?![^\W_])")
@@ -181,7 +183,7 @@ def marks(df: DataFrame, frequent: set[str]) -> DataFrame:
                 lines = [x.strip() for x in v.split("\n")]
                 last = len(lines) - 1
                 for k, x in enumerate(lines):
-                    if len(x) <= 16 and (_bare.match(x) or _page_line.match(x)):
+                    if len(x) <= 16 and (_bare.match(x) or _page_line.match(x) or _roman.match(x)):
                         if (n := is_page_line(x, page)) is not None:
                             add(i, "page_no", n)
                     elif readable and 12 <= len(x) <= 200 and not _closing.search(x):
@@ -243,9 +245,17 @@ def is_page_line(line: str, page: int | None) -> str | None:
         n = next((g for g in m.groups() if g), line)
         if m.re is _page_line or (page is not None and int(n) == page):
             return n
+    elif page is not None and len(line) <= 16 and _roman.match(line) and roman(line) == page:
+        return line
     return None
 
 
+def roman(number: str) -> int:
+    """The value of a Roman numeral under 100."""
+    v = [_roman_values[c] for c in number.lower()]
+    return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0], strict=True))
+
+
 def _like(word: str, pattern: str) -> str:
     """The word in the case of the pattern."""
     if len(pattern) > 1 and pattern.upper() == pattern and pattern.lower() != pattern:

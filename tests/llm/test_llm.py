@@ -2,6 +2,7 @@ import base64
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,24 @@ def test_abuse_scores(spark):
             ids, v = model.index.vector(abuse.grams(ts))
             a, b = model._vector(np.array(model.numbers(ts)))
             assert dict(zip(a.tolist(), b.tolist(), strict=True)) == pytest.approx(dict(zip(ids, v, strict=True)))
+
+
+def test_page_lines():
+    assert [scans.roman(x) for x in ("i", "iv", "IX", "xii", "xlii", "xc")] == [1, 4, 9, 12, 42, 90]
+    assert scans.is_page_line("iv", 4) and scans.is_page_line("XII", 12) and not scans.is_page_line("iv", 5) and not scans.is_page_line("ix", None)
+    assert scans.is_page_line("- 7 -", 1) and scans.is_page_line("7", 7) and not scans.is_page_line("7", 8) and not scans.is_page_line("mix", 1009)
+
+
+def test_batch_statistics_equal_those_of_one_text():
+    common = set("the bank must keep a record of each loan and report it to board within".split())
+    texts = ["The bank must keep a record of each loan. It must report it to the board within 5 days, and keep it. " * 3, "- one\n- two\n3) three\nfour …", "中文。中文。", "#&* ~~ <> " * 30, "a\tb; c\n1\t2; 3", "The bank must.", "thai ภาษาไทย", "a8Fk+/9" * 60]
+    s = quality.batch_statistics(pa.array(texts), pa.array(sorted(common)))
+    sure = quality.surely_prose(pa.array(texts), pa.array(texts), s)
+    for i, t in enumerate(texts):
+        one = quality.statistics(t, common)
+        assert s["words"][i] == one["words"] and s["symbols"][i] == pytest.approx(one["symbols"]) and s["mean_word"][i] == pytest.approx(one["mean_word"])
+        assert s["common"][i] == pytest.approx(one["common"]) and s["closed_lines"][i] == pytest.approx(one["closed_lines"]) and s["ends"][i] <= one["ends"]
+        assert not sure[i] or quality.judge(t, one, t)[0] is None
+    broken = quality.failures(s)
+    assert sure[0] and broken[0] == [] and {"few_words", "short_words", "ellipses"} - set(broken[1]) <= {"ellipses", "short_words"} and "signs" in broken[3]
+    assert s["bullet_lines"][1] == 0.75 and s["ellipsis_lines"][1] == 0.25
