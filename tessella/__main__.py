@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import answer, corpus, graph, retrieval
-from .session import session, sized_join
+from .session import cut, session, sized_join
 from .sources import files
 
 VARIANTS = ("keyword", "hybrid", "graph")
@@ -18,6 +18,9 @@ def build(spark: SparkSession, source: str, index: str, size: int = corpus.CHUNK
     """Passages, entities and edges of a folder of PDF files, or of Parquet pages (document, page, text)."""
     pages = spark.read.parquet(source) if source.endswith(".parquet") else files.extract_pages(files.discover(spark, source))
     pages = pages.select("document", "page", "text").withColumn("page_id", F.xxhash64("document", "page").bitwiseAND(F.lit((1 << 42) - 1)))
+    pages = cut(pages)
+    if pages.select("page_id").distinct().count() < pages.count():
+        raise ValueError("two pages of one document and number, or of equal ids")
     chunks = corpus.chunk_words(pages, "page_id", "text", size, overlap, min_chars).join(pages.select("page_id", "document", "page"), "page_id").drop("page_id")
     found = graph.entities(chunks, "chunk_id", "text")
     files.save_index(index, {"source": source, "size": str(size), "overlap": str(overlap)}, chunks=chunks, entities=found, edges=graph.edges(found.select(F.col("chunk_id").alias("unit"), "key", "n")))

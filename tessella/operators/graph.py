@@ -206,7 +206,7 @@ def _combined(questions: DataFrame, passages: DataFrame, graph: DataFrame, keywo
     least = top_k(x, k, "base").groupBy("query_id").agg(F.min("base").alias("_least"))
     near = cut(x.join(least, "query_id").where(F.col("base") + 0.3375 >= F.col("_least") - 1e-5).select("query_id", "chunk_id", "base"))
     y = sized_join(passages.select("chunk_id", "text"), near, ["chunk_id"]).join(questions.select("query_id", "question"), "query_id")
-    y = y.select("query_id", "chunk_id", F.round(F.col("base") + 0.25 * overlap(F.col("question"), F.col("text")), 6).alias("score"))
+    y = y.select("query_id", "chunk_id", F.round(F.col("base") + 0.25 * overlap(F.col("question"), F.col("text"), None), 6).alias("score"))
     return top_k(y, k).select("query_id", "rank", "chunk_id", "score")
 
 
@@ -258,9 +258,10 @@ def stripped_question(question: Column) -> Column:
     return F.array_join(T.tokens(q), " ")
 
 
-def overlap(question: Column, text: Column) -> Column:
+def overlap(question: Column, text: Column, digits: int | None = 6) -> Column:
     """The share of the question's words that the text has, plus 0.35 if it has the whole question."""
     q, t = F.array_distinct(T.tokens_folded(question)), T.tokens_folded(text)
     low = lambda x: T.fold(F.lower(x))
     whole = F.when(F.contains(low(text), low(question)), 0.35).otherwise(0.0)
-    return F.round(F.when((F.size(q) == 0) | (F.size(t) == 0), 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)) + whole), 6)
+    x = F.when((F.size(q) == 0) | (F.size(t) == 0), 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)) + whole)
+    return x if digits is None else F.round(x, digits)

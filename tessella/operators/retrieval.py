@@ -314,8 +314,12 @@ def bonuses(ranked: DataFrame) -> DataFrame:
     3 and 2 words, 0.45 at most; 2 for each phrase of focus in both."""
     x = ranked.select("query_id", "chunk_id", T.fold(F.lower("question")).alias("q"), T.tokens_folded(F.col("question")).alias("w"), T.fold(F.lower("text")).alias("t"))
     total = F.when((F.col("q") != "") & F.contains("t", "q"), WHOLE).otherwise(0.0)
+
+    def run(n: int):
+        return lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")
+
     for n, w in RUNS.items():
-        runs = F.when(F.size("w") < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice("w", i, F.lit(n)), " ")))
+        runs = F.when(F.size("w") < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), run(n)))
         total = total + F.size(F.filter(runs, lambda r: F.contains(F.col("t"), r))) * w
     focus = sum((F.when(F.contains("q", F.lit(p)) & F.contains("t", F.lit(p)), FOCUS).otherwise(0.0) for p in lexicon.FOCUS), F.lit(0.0))
     return x.select("query_id", "chunk_id", F.round(F.least(total, F.lit(MOST_PHRASE)), 6).alias("phrase"), focus.alias("focus"))

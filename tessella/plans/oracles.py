@@ -179,9 +179,19 @@ def concepts_in(source, key, text):
         WHERE alias <> '' AND contains(t, ' ' || alias || ' ') GROUP BY {key}, concept"""
 
 
+def words_of(name, source, key, text, *more):
+    """A table of folded words ``tw`` and folded lower text ``tl`` of a column, worked out once."""
+    return f"{name} AS MATERIALIZED (SELECT {', '.join([key, *more])}, {folded(text)} AS tw, {low(text)} AS tl FROM {source})"
+
+
 def overlap(q, t):
-    return f"""round(CASE WHEN len(list_distinct({folded(q)})) = 0 OR len({folded(t)}) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({folded(q)}), {folded(t)})) / greatest(len(list_distinct({folded(q)})), 1)
-        + CASE WHEN contains({low(t)}, {low(q)}) THEN 0.35 ELSE 0.0 END END, 6)"""
+    """Of two rows of :func:`words_of`, to six places."""
+    return f"round({raw_overlap(q, t)}, 6)"
+
+
+def raw_overlap(q, t):
+    return f"""CASE WHEN len({q}.tw) = 0 OR len({t}.tw) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({q}.tw), {t}.tw)) / greatest(len(list_distinct({q}.tw)), 1)
+        + CASE WHEN contains({t}.tl, {q}.tl) THEN 0.35 ELSE 0.0 END END"""
 
 
 def _variants():
@@ -255,8 +265,8 @@ def _concept_entities(questions=None):
 
 
 def _seeds():
-    part = f"contains({low('question')}, key)"
-    return f"""ns AS (SELECT query_id, key, mentions, {overlap('question', 'name')} + CASE WHEN {part} THEN 0.6 ELSE 0.0 END AS s FROM questions, names),
+    return f"""{words_of('qk', 'questions', 'query_id', 'question')}, {words_of('nk', 'names', 'key', 'name', 'mentions')},
+    ns AS (SELECT query_id, key, mentions, {overlap('qk', 'nk')} + CASE WHEN contains(qk.tl, key) THEN 0.6 ELSE 0.0 END AS s FROM qk, nk),
     sc AS (SELECT query_id, key, round(s + least(mentions / 40.0, 0.25), 6) AS seed FROM ns WHERE s > 0),
     seeds AS (SELECT query_id, key, seed FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seed DESC, key) AS r FROM sc) WHERE r <= 8)"""
 
@@ -269,7 +279,8 @@ def _combined(graph):
     gn AS (SELECT query_id, chunk_id, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS g FROM gr JOIN gm USING (query_id)),
     bn AS (SELECT query_id, chunk_id, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS b FROM scores JOIN bm USING (query_id)),
     ba AS (SELECT query_id, chunk_id, g * 0.60 + coalesce(b, 0.0) * 0.40 AS base FROM gn LEFT JOIN bn USING (query_id, chunk_id)),
-    fi AS (SELECT query_id, chunk_id, round(base + 0.25 * {overlap('question', 'text')}, 6) AS score FROM ba JOIN questions USING (query_id) JOIN passages USING (chunk_id))
+    {words_of('qo', 'questions', 'query_id', 'question')}, {words_of('pt', 'passages', 'chunk_id', 'text')},
+    fi AS (SELECT query_id, chunk_id, round(base + 0.25 * ({raw_overlap('qo', 'pt')}), 6) AS score FROM ba JOIN qo USING (query_id) JOIN pt USING (chunk_id))
     {top('fi', 7, 'query_id, rank, chunk_id, score')}"""
 
 
@@ -296,8 +307,8 @@ def _described():
     cs AS (SELECT label, string_agg(chunk_id::VARCHAR, ' ' ORDER BY r) AS chunks FROM bc GROUP BY label),
     ds AS (SELECT label, size, chunks, 'Entities: ' || entities || chr(10) || 'Key excerpts: ' || CASE WHEN length(e) > 900 THEN regexp_replace(substring(e, 1, 900), '(?s) [^ ]*$', '') ELSE coalesce(e, '') END AS summary
         FROM sz JOIN te USING (label) LEFT JOIN xe USING (label) LEFT JOIN cs USING (label)),
-    aq AS (SELECT query_id, {_stripped('question')} AS asked FROM questions),
-    co0 AS (SELECT query_id, label, round(CASE WHEN asked <> '' THEN {overlap('asked', 'summary')} ELSE 0.0 END + least(size / 80.0, 0.35), 6) AS score FROM aq, ds),
+    aq AS (SELECT query_id, {_stripped('question')} AS asked FROM questions), {words_of('ak', 'aq', 'query_id', 'asked', 'asked')}, {words_of('dk', 'ds', 'label', 'summary', 'size')},
+    co0 AS (SELECT query_id, label, round(CASE WHEN asked <> '' THEN {overlap('ak', 'dk')} ELSE 0.0 END + least(size / 80.0, 0.35), 6) AS score FROM ak, dk),
     co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS n FROM co0 WHERE score > 0) WHERE n <= 5)"""
 
 
@@ -320,7 +331,8 @@ def _ontology_rank():
     scaled = lambda name, source: f"{name} AS (SELECT query_id, chunk_id, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS v FROM {source} JOIN (SELECT query_id, min(score) AS lo, max(score) AS hi FROM {source} GROUP BY query_id) USING (query_id))"
     return rf"""{_ontology()}, {bm25(folded, 'ix')}, {scaled('k', 'scores')}, {scaled('o', 'os')},
     al2 AS (SELECT query_id, chunk_id, coalesce(k.v, 0.0) AS kw, coalesce(o.v, 0.0) AS ont FROM k FULL JOIN o USING (query_id, chunk_id)),
-    ca AS (SELECT al2.*, question, article, document, coalesce(quality_score, {quality('text')}) AS q, {normalized('substring(text, 1, 180)')} AS opening FROM al2 JOIN ix USING (chunk_id) JOIN questions USING (query_id)),
+    ck AS MATERIALIZED (SELECT chunk_id, article, document, coalesce(quality_score, {quality('text')}) AS q, {normalized('substring(text, 1, 180)')} AS opening FROM ix),
+    ca AS (SELECT al2.*, question, article, document, q, opening FROM al2 JOIN ck USING (chunk_id) JOIN questions USING (query_id)),
     cb AS (SELECT * FROM ca WHERE query_id NOT IN (SELECT query_id FROM rt) OR (query_id, document) IN (SELECT (query_id, document) FROM rt)),
     fz AS (SELECT query_id, chunk_id, kw, ont, round((kw * 0.55 * CASE WHEN ont = 0 AND query_id IN (SELECT query_id FROM qc UNION SELECT query_id FROM qr) THEN 0.25 ELSE 1.0 END + ont * 0.45
         + CASE WHEN list_contains(regexp_extract_all(lower(question), 'đi[eề]u\s+([\p{{L}}\p{{N}}_]+)', 1), lower(article)) THEN 0.08 ELSE 0.0 END
@@ -381,7 +393,8 @@ def oracle_sql() -> dict:
     hashed = lambda source: f"SELECT query_id, length(context) AS chars, md5(context) AS hash FROM {source}"
     joined_blocks = lambda source: f"(SELECT query_id, string_agg(block, {sep} ORDER BY rank) AS context FROM {source} GROUP BY query_id)"
     lines = f"""z0 AS (SELECT query_id, question, rank, {sentences('text')} AS s FROM ranked), z1 AS (SELECT query_id, question, rank, unnest(s) AS sentence, unnest(range(0, len(s))) AS pos FROM z0),
-        z2 AS (SELECT *, len(list_intersect(list_distinct({dual('question')}), {dual('sentence')})) AS shared FROM z1),
+        zq AS MATERIALIZED (SELECT query_id, list_distinct({dual('question')}) AS qw FROM questions),
+        z2 AS (SELECT z1.*, len(list_intersect(qw, {dual('sentence')})) AS shared FROM z1 JOIN zq USING (query_id)),
         z3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank, lower(sentence) ORDER BY shared DESC, length(sentence), pos) AS d FROM z2) WHERE d = 1),
         z4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY shared DESC, length(sentence), pos) AS w FROM z3) WHERE shared > 0 OR w = 1),
         z5 AS (SELECT query_id, rank, '[' || rank || '] ' || sentence AS line, row_number() OVER (PARTITION BY query_id, rank ORDER BY shared DESC, length(sentence), pos) AS w FROM z4),
@@ -456,8 +469,9 @@ def oracle_sql() -> dict:
         "hashed_vector": f"WITH {_frequencies()}, qf AS ({_features('questions', 'query_id', 'question')}), {_vectors('qv', 'qf', 'query_id')} SELECT query_id, idx, round(val, 6) AS val FROM qv",
         "sparse_topk": f"""WITH {_frequencies()}, qf AS ({_features('questions', 'query_id', 'question')}), {_vectors('cv', 'fc', 'chunk_id')}, {_vectors('qv', 'qf', 'query_id')},
             se AS (SELECT query_id, chunk_id, greatest(0.0, round(sum(cv.val * qv.val), 6)) AS score FROM cv JOIN qv USING (idx) GROUP BY ALL) {top('se', 5, 'query_id, rank, chunk_id, score')}""",
-        "bonuses": f"""WITH {RANKED}, q AS (SELECT query_id, {low('question')} AS l, {folded('question')} AS w FROM questions), t AS (SELECT query_id, chunk_id, {low('text')} AS l, {overlap('question', 'text')} AS overlap FROM ranked)
-            SELECT query_id, chunk_id, {_bonus_columns()}, overlap FROM q JOIN t USING (query_id)""",
+        "bonuses": f"""WITH {RANKED}, {words_of('qk', 'questions', 'query_id', 'question')}, {words_of('rk', 'ranked', 'query_id', 'text', 'chunk_id')}, q AS (SELECT query_id, tl AS l, tw AS w FROM qk), t AS (SELECT query_id, chunk_id, tl AS l FROM rk),
+            ov AS (SELECT query_id, chunk_id, {overlap('qk', 'rk')} AS overlap FROM qk JOIN rk USING (query_id))
+            SELECT query_id, chunk_id, {_bonus_columns()}, overlap FROM q JOIN t USING (query_id) JOIN ov USING (query_id, chunk_id)""",
         "hybrid_topk": f"WITH {_hybrid()} SELECT query_id, rank, chunk_id, score, round(keyword, 6) AS keyword, round(semantic, 6) AS semantic, phrase, focus FROM hy",
         "rerank_topk": f"""WITH {_hybrid()}, rr AS (SELECT query_id, chunk_id, score AS first, phrase, focus, list_distinct({dual('question')}) AS q, list_distinct({dual('text')}) AS t FROM hy JOIN questions USING (query_id) JOIN passages USING (chunk_id)),
             rs AS (SELECT query_id, chunk_id, first, round(first + 0.25 * len(list_intersect(q, t)) / greatest(len(q), 1) + 0.10 * len(list_intersect(q, t)) / greatest(len(t), 1) + phrase + focus, 6) AS score FROM rr) {top('rs', 6, 'query_id, rank, chunk_id, score, first')}""",
@@ -486,7 +500,8 @@ def oracle_sql() -> dict:
             {doc_types(f"regexp_replace(name, '[.][^.]*$', '') || ' ' || {lead}")} AS document_type, {issuers}[i] AS issuer, {dates(lead)} AS promulgation_date, quality, status FROM docs LEFT JOIN iss USING (doc_id) JOIN qy USING (doc_id)""",
         "ontology_sentences": f"""WITH {RANKED}, rp AS MATERIALIZED (SELECT query_id, question, rank, {repair('text')} AS t FROM ranked),
             s0 AS (SELECT query_id, question, rank, list_filter({sentences('t', '.!?;:')}, lambda s: length(s) >= 35) AS s FROM rp), s1 AS (SELECT query_id, question, rank, unnest(s) AS sentence, unnest(range(0, len(s))) AS pos FROM s0),
-            s2 AS (SELECT *, {ref_list('question')} AS qr, {ref_list('sentence')} AS sr, list_distinct({folded('question')}) AS q FROM s1), s3 AS (SELECT * FROM s2 WHERE len(qr) = 0 OR len(sr) = 0 OR list_has_any(qr, sr)),
+            sq AS MATERIALIZED (SELECT query_id, {ref_list('question')} AS qr, list_distinct({folded('question')}) AS q FROM questions),
+            s2 AS (SELECT s1.*, qr, q, {ref_list('sentence')} AS sr FROM s1 JOIN sq USING (query_id)), s3 AS (SELECT * FROM s2 WHERE len(qr) = 0 OR len(sr) = 0 OR list_has_any(qr, sr)),
             s4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {normalized('sentence')} ORDER BY rank, pos) AS d FROM s3) WHERE d = 1),
             s5 AS (SELECT query_id, sentence, rank, round(len(list_intersect(q, {folded('sentence')})) / greatest(len(q), 1) + 0.15 / rank, 6) AS score FROM s4)
             SELECT query_id, n, sentence, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sentence DESC, rank DESC) AS n FROM s5) WHERE n <= 6""",

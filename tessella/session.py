@@ -35,9 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where it is unset
+    and all executors are on this machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = os.path.join(tempfile.gettempdir(), "tessella-shared")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
