@@ -16,6 +16,7 @@ from array import array
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +132,16 @@ class Ranks:
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Ranks:
-    """Read once per Python worker."""
-    return Ranks(path)
+    """Read once per Python worker, where its machine lacks the file from the copy that the driver sent."""
+    return Ranks(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def _sent(df: DataFrame, path: str | None) -> str:
+    """The path of the vocabulary, which goes along with the job."""
+    path = path or rank_file()
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
+    return path
 
 
 def rank_file(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
@@ -141,7 +150,7 @@ def rank_file(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
 
 def encode(df: DataFrame, key: str, column: str, path: str | None = None) -> DataFrame:
     """``(key, ids)`` for every row, null and empty texts included (ids ``[]``)."""
-    path = path or rank_file()
+    path = _sent(df, path)
     src = df.select(F.col(key).alias("_k"), F.col(column).cast("string").alias("_t"))
 
     def work(batches):
@@ -159,7 +168,7 @@ def encode(df: DataFrame, key: str, column: str, path: str | None = None) -> Dat
 
 def count_tokens(df: DataFrame, key: str, column: str, path: str | None = None) -> DataFrame:
     """``(key, tokens)``: the number of ids of every row, 0 for null and empty texts."""
-    path = path or rank_file()
+    path = _sent(df, path)
     src = df.select(F.col(key).alias("_k"), F.col(column).cast("string").alias("_t"))
 
     def work(batches):
