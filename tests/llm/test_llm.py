@@ -261,11 +261,12 @@ def test_pairs_at_one_half_are_met(spark):
     r = np.random.default_rng(4)
     a = neardup._coefficients(neardup.SYMBOLS)
     lost = 0
-    for _ in range(400):
+    for _ in range(4000):
         h = r.integers(0, 1 << 63, 400, dtype=np.uint64)
         (x, p), (y, q) = (neardup.anchors(np.sort(s), a, neardup.ROWS) for s in (h[:300], h[100:]))
         lost += not (x == y).any() or sum(int(z).bit_count() for z in p ^ q) > neardup.FAR
-    assert lost == 0
+    # 1e-4 of the pairs are lost by design, so 0.4 are expected; ten times as many would be 4
+    assert lost <= 2
 
 
 def test_connected_runs_until_nothing_changes(spark):
