@@ -204,9 +204,11 @@ def repair_ocr(x: Column) -> Column:
     """Frequent misreadings of Vietnamese scans undone, in order; spacing of punctuation mended."""
     x = F.translate(clean_text_dehyphen(x), "Ðð", "Đđ")
     one = f"([{lexicon.CAPITALS}])"
-    x = F.regexp_replace(x, rf"(?U)\b{one}\s+{one}\s+{one}\b", "$1$2$3")
+    # Java's bounds of words take combining marks for letters; these do not
+    before, after = f"(?<!{WORD[:-1]})", f"(?!{WORD[:-1]})"
+    x = F.regexp_replace(x, rf"(?U){before}{one}\s+{one}\s+{one}{after}", "$1$2$3")
     for pattern, right in lexicon.OCR_REWRITES:
-        x = F.regexp_replace(x, f"(?iuU){pattern}", right)
+        x = F.regexp_replace(x, f"(?iuU){before}{pattern[2:-2]}{after}", right)
     x = F.regexp_replace(x, rf"{BLANK}+([,.;:!?])", "$1")
     x = F.regexp_replace(x, rf"([(\[{{]){BLANK}+", "$1")
     return clean_text_dehyphen(F.regexp_replace(x, rf"{BLANK}+([)\]}}])", "$1"))

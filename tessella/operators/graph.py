@@ -198,7 +198,7 @@ def local(questions: DataFrame, passages: DataFrame, found: DataFrame, keywords:
 
 def _combined(questions: DataFrame, passages: DataFrame, graph: DataFrame, keywords: DataFrame, best: DataFrame, k: int, candidates: int) -> DataFrame:
     best = best.where(F.col("rank") <= candidates)
-    graph = graph.unionByName(best.select("query_id", "chunk_id", (F.col("score") * 0.2).alias("score"))).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    graph = graph.unionByName(best.select("query_id", "chunk_id", (F.col("score") * 0.2).alias("score"))).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 12).alias("score"))
     x = minmax(cut(graph), digits=None).select("query_id", "chunk_id", F.col("norm").alias("graph")).join(minmax(keywords, digits=None).select("query_id", "chunk_id", F.col("norm").alias("keyword")), ["query_id", "chunk_id"], "left").na.fill(0.0, ["keyword"])
     # every candidate has a graph score, as the best passages by keyword have; a passage is at most
     # 1.35 * 0.25 better by its overlap, so only those near the k best need their texts
@@ -218,7 +218,7 @@ def local_scores(seeds: DataFrame, members: DataFrame, e: DataFrame, neighbours:
     w = Window.partitionBy("key").orderBy(F.desc("weight"), "v")
     near = b.withColumn("r", F.row_number().over(w)).where(F.col("r") <= neighbours)
     second = seeds.join(near, "key").select("query_id", F.col("v").alias("key"), (0.35 * F.col("seed") * F.col("weight")).alias("x")).join(members, "key").select("query_id", "unit", (F.col("x") * F.col("n")).alias("s"))
-    return direct.unionByName(second).groupBy("query_id", "unit").agg(F.round(F.sum("s"), 6).alias("score"))
+    return direct.unionByName(second).groupBy("query_id", "unit").agg(F.round(F.sum("s"), 12).alias("score"))
 
 
 def community_scores(questions: DataFrame, described: DataFrame, most: int = 5) -> DataFrame:

@@ -54,7 +54,7 @@ def find_concepts(df: DataFrame, key: str, text: str, concepts: DataFrame, most:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(alias, pa.string())], names=["_k", "concept", "alias"])
 
         x = src.mapInArrow(work, f"_k {src.schema['_k'].dataType.simpleString()}, concept string, alias string")
-    return x.groupBy("_k", "concept").agg(F.max_by("alias", F.length("alias")).alias("alias")).withColumnRenamed("_k", key)
+    return x.groupBy("_k", "concept").agg(F.max_by("alias", F.struct(F.length("alias").alias("n"), F.col("alias").alias("a"))).alias("alias")).withColumnRenamed("_k", key)
 
 
 def _listed(found: DataFrame, keys: list[str], out: str, keep: Column | None = None) -> DataFrame:

@@ -65,7 +65,7 @@ def quality(x):
     body = f"regexp_replace({x}, '[\\s\\p{{Z}}]+', '', 'g')".replace("\\\\", "\\")
     alpha = rf"length(regexp_replace({body}, '[^\p{{L}}]+', '', 'g')) / greatest(length({body}), 1)"
     good = rf"len(list_filter({raw_words(x)}, lambda w: length(w) >= 3 AND length(regexp_replace(w, '[^\p{{L}}]+', '', 'g')) >= length(w) * 0.8)) / greatest(len({raw_words(x)}), 1)"
-    return f"floor(greatest(0.0, least(1.0, 0.55 * {alpha} + 0.45 * least(1.0, {good} / 0.62))) * 1000 + 0.5) / 1000"
+    return f"floor(greatest(0.0, least(1.0, 0.55 * ({alpha}) + 0.45 * least(1.0, ({good}) / 0.62))) * 1000 + 0.5) / 1000"
 
 
 def doc_types(x):
@@ -175,7 +175,7 @@ INDEX = "ix AS (SELECT DISTINCT ON (id) id AS chunk_id, document, page, chunk_on
 
 def concepts_in(source, key, text):
     """Concepts of whole aliases, with the longest such alias."""
-    return f"""SELECT {key}, concept, max_by(alias, length(alias)) AS alias FROM (SELECT {key}, ' ' || {normalized(text)} || ' ' AS t FROM {source}), al
+    return f"""SELECT {key}, concept, (list(alias ORDER BY length(alias) DESC, alias DESC))[1] AS alias FROM (SELECT {key}, ' ' || {normalized(text)} || ' ' AS t FROM {source}), al
         WHERE alias <> '' AND contains(t, ' ' || alias || ' ') GROUP BY {key}, concept"""
 
 
@@ -233,7 +233,7 @@ def _bonus_columns():
     """Phrase and focus bonus of q.l, q.w (question) in t.l (text): folded lower text and folded words."""
     phrase = " + ".join(["CASE WHEN q.l <> '' AND contains(t.l, q.l) THEN 0.60 ELSE 0.0 END", *[f"len(list_filter({runs('q.w', n)}, lambda r: contains(t.l, r))) * {w}" for n, w in ((4, 0.08), (3, 0.05), (2, 0.02))]])
     focus = " + ".join(f"CASE WHEN contains(q.l, {_q(p)}) AND contains(t.l, {_q(p)}) THEN 2.0 ELSE 0.0 END" for p in lexicon.FOCUS)
-    return f"round(least({phrase}, 0.45), 6) AS phrase, ({focus})::DOUBLE AS focus"
+    return f"round(least({phrase}, 0.45), 6)::DOUBLE AS phrase, ({focus})::DOUBLE AS focus"
 
 
 def _hybrid():
@@ -274,7 +274,7 @@ def _seeds():
 def _combined(graph):
     """The last steps of local and global retrieval over the scores ``graph``."""
     return f"""bt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores) WHERE rank <= 40),
-    gr AS (SELECT query_id, chunk_id, round(sum(score), 6) AS score FROM (SELECT query_id, chunk_id, score FROM {graph} UNION ALL SELECT query_id, chunk_id, score * 0.2 FROM bt) GROUP BY ALL),
+    gr AS (SELECT query_id, chunk_id, round(sum(score), 12) AS score FROM (SELECT query_id, chunk_id, score FROM {graph} UNION ALL SELECT query_id, chunk_id, score * 0.2 FROM bt) GROUP BY ALL),
     gm AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM gr GROUP BY query_id), bm AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM scores GROUP BY query_id),
     gn AS (SELECT query_id, chunk_id, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS g FROM gr JOIN gm USING (query_id)),
     bn AS (SELECT query_id, chunk_id, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS b FROM scores JOIN bm USING (query_id)),
@@ -347,7 +347,8 @@ def _facts():
         "SELECT *, 'applies_to' FROM li WHERE contains(n, 'doi tuong ap dung')", f"SELECT *, 'defines' FROM li WHERE terms AND {hit(lexicon.DEFINING)}", "SELECT *, 'references' FROM li WHERE len(refs) > 0",
     ])
     actor = "concept_type IN (" + ", ".join(map(_q, lexicon.ACTORS)) + ")"
-    return f"""WITH {DOCS}, {ALIASES}, b AS (SELECT doc_id, text, list_distinct({ref_list('text')}) AS rs, contains({normalized('text')}, 'giai thich tu ngu') AS terms, list_filter({sentences('text', '.!?;:')}, lambda s: length(s) >= 20) AS s FROM docs),
+    return f"""WITH {DOCS}, {ALIASES}, b0 AS (SELECT doc_id, text, {ref_list('text')} AS r0 FROM docs),
+    b AS (SELECT doc_id, text, list_filter(r0, lambda x, i: list_position(r0, x) = i) AS rs, contains({normalized('text')}, 'giai thich tu ngu') AS terms, list_filter({sentences('text', '.!?;:')}, lambda s: length(s) >= 20) AS s FROM b0),
     s0 AS MATERIALIZED (SELECT doc_id, rs, terms, unnest(range(0, len(s))) AS pos, unnest(s) AS sentence FROM b),
     s1 AS (SELECT *, doc_id || '#' || pos AS sid, {normalized('sentence')} AS n FROM s0),
     fo AS (SELECT DISTINCT sid, concept, max(length(alias)) OVER (PARTITION BY sid, concept) AS len FROM (SELECT sid, ' ' || n || ' ' AS t FROM s1), al WHERE alias <> '' AND contains(t, ' ' || alias || ' ')),
@@ -485,7 +486,7 @@ def oracle_sql() -> dict:
             sa AS (SELECT * FROM seeds UNION ALL SELECT * FROM fb),
             nb AS (SELECT u, v, weight FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY weight DESC, v) AS r FROM bw) WHERE r <= 8),
             g0 AS (SELECT query_id, chunk_id, seed AS s FROM sa JOIN fo USING (key) UNION ALL SELECT query_id, chunk_id, 0.35 * seed * weight FROM sa JOIN nb ON u = sa.key JOIN fo ON fo.key = v),
-            g1 AS (SELECT query_id, chunk_id, round(sum(s), 6) AS score FROM g0 GROUP BY ALL), {_combined('g1')}""",
+            g1 AS (SELECT query_id, chunk_id, round(sum(s), 12) AS score FROM g0 GROUP BY ALL), {_combined('g1')}""",
         "community_description": f"WITH {_described()} SELECT label, size, chunks, md5(summary) AS hash FROM ds",
         "community_scores": f"WITH {_described()} SELECT query_id, label, score, n FROM co",
         "global_retrieve": f"WITH {_described()}, {bm25(folded)}, g1 AS (SELECT query_id, chunk_id, score / r AS score FROM co JOIN bc USING (label)), {_combined('g1')}",
