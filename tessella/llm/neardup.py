@@ -8,7 +8,8 @@ is within the threshold agree under some mask, so they are replicated to a commo
 of ``ROWS`` places of ``SYMBOLS`` the chance that a pair of similarity s shares no anchor is
 (1 - s^ROWS)^MASKS: 9e-5 at 0.5, 2e-9 at 0.6. Pairs that meet at an anchor, and whose sketches (a
 bit of each value) are not far apart, are compared exactly, on the whole sets of triples. The masks
-are taken in rounds, so that the anchors of only one round are on disk at a time.
+are taken in rounds, so that the anchors of only one round are on disk at a time, and pairs are
+compared in slices.
 
 Exact copies (same words) are one class with one representative, so they never meet at an anchor; the
 pairs of ``pairs`` are expanded from the classes, those of ``classes`` are not.
@@ -41,6 +42,9 @@ ROWS, MASKS, LEAST, LEAST_CHARS, SHINGLE = 4, 144, 0.5, 200, 3
 SYMBOLS = ROWS * MASKS
 #: Masks of a round.
 ROUND = 24
+#: Pairs compared at once, or as many as there are records in pairs if that is more: with each pair
+#: the set of one record is on disk while it is joined with that of the other.
+PAIRS = 20_000
 #: Bits of the sketch, and the distance beyond which a pair is not compared: the distance of a pair of
 #: similarity 0.5 is binomial with mean 64, so 5e-6 of them are farther; nearly all unlike pairs are.
 SKETCH, FAR = 256, 95
@@ -153,21 +157,53 @@ def triple_sets(df: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFra
     return src.mapInArrow(work, f"_k {kind}, h binary").withColumnRenamed("_k", key)
 
 
+def _repeated(at: DataFrame) -> DataFrame:
+    """The rows of ``(anchor, rep, ..)``, each ``rep`` once, whose anchor has more than one. The rows
+    are shuffled once only, whatever the number of such anchors."""
+
+    def work(batches):
+        # rows of an anchor are neighbours; the last row waits, as its anchor may go on in the next batch
+        held, same = None, False
+        for b in batches:
+            b = b if held is None else pa.concat_batches([held, b])
+            a, r = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            new = np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1])][: len(a)]
+            b, a = b.filter(pa.array(new)), a[new]
+            if not len(a):
+                continue
+            like = a[1:] == a[:-1]
+            keep = np.r_[same, like] | np.r_[like, False]
+            yield b.slice(0, len(a) - 1).filter(pa.array(keep[:-1]))
+            held, same = b.slice(len(a) - 1), keep[-1]
+        if same:
+            yield held
+
+    at = at.select("anchor", "rep", *[c for c in at.columns if c not in ("anchor", "rep")])
+    return at.repartition("anchor").sortWithinPartitions("anchor", "rep").mapInArrow(work, at.schema)
+
+
 def _meeting(prints: DataFrame, copies: DataFrame, column: str) -> DataFrame:
     """``(rep_a, rep_b)``: representatives that meet at an anchor of this round and are not far apart."""
-    # a record given twice has the same anchors twice: the aggregates below don't mind
     at = sized_join(prints.select("_id", *PARTS, F.col(column).alias("anchors")), copies, ["_id"], "left_anti", 2_000_000)
     at = at.select(F.col("_id").alias("rep"), *PARTS, F.posexplode("anchors").alias("mask", "word")).select("rep", *PARTS, (F.shiftleft(F.col("mask").cast("bigint"), 32) + F.col("word")).alias("anchor"))
-    near = lambda bits: sum((F.bit_count(x) for x in bits), F.lit(0)) <= FAR
-    met = at.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"), *[F.bit_xor(s).alias(s) for s in PARTS])
-    # two fingerprints at an anchor are a pair at once, and the xor of their sketches tells their
-    # distance; only larger anchors are joined
-    met = cut(met.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("lo") != F.col("hi")) & near(map(F.col, PARTS)))).select("anchor", "lo", "hi", "n"))
-    two = met.where("n = 2").select(F.col("lo").alias("rep_a"), F.col("hi").alias("rep_b"))
-    full = cut(sized_join(at, met.where("n > 2").select("anchor"), ["anchor"], "left_semi", 2_000_000).distinct())
+    full = _cut(_repeated(at))
     side = lambda x: full.select("anchor", F.col("rep").alias(f"rep_{x}"), *[F.col(s).alias(f"{x}{s}") for s in PARTS])
-    many = side("a").join(side("b"), "anchor").where((F.col("rep_a") < F.col("rep_b")) & near(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}")) for s in PARTS))
-    return two.unionByName(many.select("rep_a", "rep_b")).distinct()
+    far = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in PARTS), F.lit(0))
+    met = _cut(side("a").join(side("b"), "anchor").where((F.col("rep_a") < F.col("rep_b")) & (far <= FAR)).select("rep_a", "rep_b").distinct())
+    drop(full)
+    return met
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """:func:`~tessella.session.cut`, after which the shuffle files that it took go at once, not when
+    the driver happens to collect its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, was) if was is not None else conf.unset(name)
 
 
 def _free(spark) -> None:
@@ -176,26 +212,28 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, **how) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, pairs_at_once: int = PAIRS, **how) -> tuple[DataFrame, DataFrame]:
     """``(links, members)``: links ``(rep_a, rep_b, similarity)`` between representatives of classes
     of equal word lists, and members ``(key, rep)`` of every class."""
     k = how.get("k", SHINGLE)
-    prints = cut(fingerprints(df, key, text, **how).withColumnRenamed(key, "_id"))
+    prints = _cut(fingerprints(df, key, text, **how).withColumnRenamed(key, "_id"))
     words = prints.select("_id", "w1", "w2").distinct()
     reps = words.groupBy("w1", "w2").agg(F.min("_id").alias("rep"))
-    members = cut(words.join(reps, ["w1", "w2"]).select(F.col("_id").alias(key), "rep"))
-    copies = cut(members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("_id")))
+    members = _cut(words.join(reps, ["w1", "w2"]).select(F.col("_id").alias(key), "rep"))
+    copies = _cut(members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("_id")))
     rounds = []
     for column in [c for c in prints.columns if c.startswith("anchors")]:
-        rounds.append(cut(_meeting(prints, copies, column)))
+        rounds.append(_meeting(prints, copies, column))
         _free(df.sparkSession)
-    candidates = cut(reduce(DataFrame.unionByName, rounds).distinct())
-    drop(prints, *rounds)
+    candidates = _cut(reduce(DataFrame.unionByName, rounds).distinct())
+    drop(prints, copies, *rounds)
     _free(df.sparkSession)
-    ids = cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("_id")).distinct())
+    ids = _cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("_id")).distinct())
     texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where(F.length("_t") >= how.get("least_chars", LEAST_CHARS))
-    sets = cut(triple_sets(sized_join(once(texts, "_id"), ids, ["_id"], "left_semi", 2_000_000), "_id", "_t", k))
-    pairs = candidates.join(sets.select(F.col("_id").alias("rep_a"), F.col("h").alias("ha")), "rep_a").join(sets.select(F.col("_id").alias("rep_b"), F.col("h").alias("hb")), "rep_b")
+    sets = _cut(triple_sets(sized_join(once(texts, "_id"), ids, ["_id"], "left_semi", 2_000_000), "_id", "_t", k))
+    at_once = max(pairs_at_once, ids.count())
+    drop(ids)
+    _free(df.sparkSession)
 
     def compare(batches):
         for b in batches:
@@ -207,14 +245,22 @@ def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, **
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["rep_a", "rep_b", "similarity"])
 
     kind = candidates.schema["rep_a"].dataType.simpleString()
-    links = pairs.select("rep_a", "rep_b", "ha", "hb").mapInArrow(compare, f"rep_a {kind}, rep_b {kind}, similarity double").where(F.col("similarity") >= least)
-    return links, members
+    links, slices = [], -(-max(1, candidates.count()) // at_once)
+    for i in range(slices):  # all pairs, a slice at a time, so that the sets of only one are shuffled
+        own = lambda c, i=i: F.pmod(F.xxhash64(c), F.lit(slices)) == i
+        some = candidates.where(own("rep_a"))
+        ha = sets.where(own("_id")).select(F.col("_id").alias("rep_a"), F.col("h").alias("ha"))
+        hb = sized_join(sets, some.select(F.col("rep_b").alias("_id")).distinct(), ["_id"], "left_semi", 2_000_000) if slices > 1 else sets
+        pairs = some.join(ha, "rep_a").join(hb.select(F.col("_id").alias("rep_b"), F.col("h").alias("hb")), "rep_b")
+        links.append(_cut(pairs.select("rep_a", "rep_b", "ha", "hb").mapInArrow(compare, f"rep_a {kind}, rep_b {kind}, similarity double").where(F.col("similarity") >= least)))
+        _free(df.sparkSession)
+    drop(candidates, sets)
+    return reduce(DataFrame.unionByName, links), members
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, **how) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: all pairs of similar records, copies included."""
     links, members = similar_classes(df, key, text, **how)
-    links = cut(links)
     a, b = members.select(F.col(key).alias("x"), F.col("rep").alias("rep_a")), members.select(F.col(key).alias("y"), F.col("rep").alias("rep_b"))
     between = links.join(a, "rep_a").join(b, "rep_b").select("x", "y")
     large = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")

@@ -256,6 +256,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert groups[500] == groups[0] == 0 and len(groups) == len(texts)
 
 
+def test_near_duplicate_tables_leave_the_disk(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = {}
+    for g in range(30):
+        base = [r.choice(words) for _ in range(80)]
+        texts |= {g * 10: " ".join(base), g * 10 + 1: " ".join([*base[:-3], "x", "y", "z"]), g * 10 + 2: " ".join(["a", *base])}
+    df = chunks(spark, [(i, "s", "d", 1, x, "en") for i, x in texts.items()] + [(0, "s", "d", 1, texts[0], "en")])
+    monkeypatch.setattr("tessella.session.shared_dir", lambda s: str(tmp_path))
+    try:
+        links, members = neardup.similar_classes(df, "id", "text", pairs_at_once=7)
+        # of all tables, those of what comes back are left, members and links by slices, and the keys of once()
+        kept = {f.rsplit("/", 2)[-2] for f in links.inputFiles() + members.inputFiles()}
+        assert kept < {p.name for p in tmp_path.iterdir()} and len(list(tmp_path.iterdir())) == len(kept) + 1
+        assert len(links.inputFiles()) > 1  # slices
+        assert {(x["rep_a"], x["rep_b"]) for x in links.collect()} == {(g * 10 + a, g * 10 + b) for g in range(30) for a, b in ((0, 1), (0, 2), (1, 2))}
+        # an anchor that goes on over batches; rows given twice
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        at = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6), (2, 6), (2, 7), (2, 8), (3, 1), (4, 9), (4, 10)], "anchor bigint, rep bigint")
+        assert sorted(map(tuple, neardup._repeated(at).collect())) == [(2, 5), (2, 6), (2, 7), (2, 8), (4, 9), (4, 10)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def test_pairs_at_one_half_are_met(spark):
     # 400 pairs of 300 triples, 200 shared, so each is at just 0.5
     r = np.random.default_rng(4)
