@@ -50,6 +50,20 @@ def test_tokens_and_ngrams(spark):
     assert spark.createDataFrame([(["a", "b", "c"],), ([],)], "t array<string>").select(T.bigrams(F.col("t"))).collect()[0][0] == ["a b", "b c"]
 
 
+def test_char_ngram_counts_hold_one_text_at_a_time(spark, tmp_path):
+    texts = [None, "", "ab", "a b c", "aaaa aaaa", "Đường đi", "x\u00a0 y z", "".join(map(chr, range(0x4E00, 0x4E00 + 7000))) + " 𝒜b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    want = [(g and len(g), g and len(set(g))) if g else (len(g), 0) if g is not None else (None, None) for (g,) in df.orderBy("k").select(T.char_ngrams(F.col("s"))).collect()]
+    assert [tuple(r) for r in df.orderBy("k").select(T.char_ngram_counts(F.col("s")).alias("g")).select("g.*").collect()] == want
+    spark.createDataFrame([(1, "aaaa aaaa"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    import __spark_entry__ as e
+
+    got = e.queries()["char_ngrams"](spark, str(tmp_path))
+    assert got.collect() == [(1, 12, 8)] and [t for _, t in got.dtypes] == ["bigint", "int", "int"]
+    assert "array<string>" not in got._jdf.queryExecution().analyzed().treeString()  # no lists of grams leave Python
+    assert all("array" not in f.dataType.simpleString() for f in df.select(T.char_ngram_counts(F.col("s")).alias("g")).schema["g"].dataType)
+
+
 def test_references_dates_types(spark):
     assert one(spark, T.legal_refs, "Theo số: 09/2020/TT-NHNN và 12 / 2019/NĐ-CP, 09/2020/TT-NHNN") == [["09/2020/TT-NHNN", "12/2019/NĐ-CP"]]
     assert one(spark, T.filename_ref, "09.2020.TT-NHNN.pdf", "khac.pdf") == ["09/2020/TT-NHNN", None]
