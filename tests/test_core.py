@@ -50,6 +50,17 @@ def test_tokens_and_ngrams(spark):
     assert spark.createDataFrame([(["a", "b", "c"],), ([],)], "t array<string>").select(T.bigrams(F.col("t"))).collect()[0][0] == ["a b", "b c"]
 
 
+def test_feature_kinds_are_those_of_features(spark, monkeypatch):
+    rows = [(1, "Đường đi aa aa aa"), (1, "aa aa b"), (2, "Đường đi"), (3, None), (4, ""), (None, "aa aa"), (None, "bb aa")]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    found = retrieval.features(df, "k", "t").collect()
+    assert len({(r["k"], r["feature"]) for r in found}) == len(found)  # texts of a key, null too, count together
+    assert {(r["k"], r["feature"]): r["tf"] for r in found}[1, "w:aa"] == 5 and {(r["k"], r["feature"]): r["tf"] for r in found}[None, "w:aa"] == 3
+    want = sorted((k, len({r["feature"] for r in g}), len(g), round(sum(r["tf"] for r in g), 3)) for k in "bcw" for g in [[r for r in found if r["feature"][0] == k]])
+    monkeypatch.setattr(retrieval, "HELD", 3)
+    assert sorted(map(tuple, retrieval.feature_kinds(df, "k", "t").collect())) == want
+
+
 def test_char_ngram_counts_hold_one_text_at_a_time(spark, tmp_path):
     texts = [None, "", "ab", "a b c", "aaaa aaaa", "Đường đi", "x\u00a0 y z", "".join(map(chr, range(0x4E00, 0x4E00 + 7000))) + " 𝒜b c"]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
