@@ -6,10 +6,11 @@ places in which they differ. The covering code is a fixed family of masks, each
 anchors of a fingerprint are the words that it reads under the masks. Two fingerprints whose distance
 is within the threshold agree under some mask, so they are replicated to a common anchor; with masks
 of ``ROWS`` places of ``SYMBOLS`` the chance that a pair of similarity s shares no anchor is
-(1 - s^ROWS)^MASKS: 9e-5 at 0.5, 2e-9 at 0.6. Pairs that meet at an anchor, and whose sketches (a
-bit of each value) are not far apart, are compared exactly, on the whole sets of triples. The masks
-are taken in rounds, so that the anchors of only one round are on disk at a time, and pairs are
-compared in slices.
+(1 - s^ROWS)^MASKS: 9e-5 at 0.5, 2e-9 at 0.6. Pairs that meet at an anchor, whose sketches (a bit of
+each value) are not far apart and whose numbers of triples allow the similarity, are compared exactly,
+on the whole sets of triples. The masks are taken in rounds, so that the anchors of only one round are
+on disk at a time, and pairs are compared in slices. Anchors are shuffled in packed pieces without
+their sketches, which only those get that more than one record has.
 
 Exact copies (same words) are one class with one representative, so they never meet at an anchor; the
 pairs of ``pairs`` are expanded from the classes, those of ``classes`` are not.
@@ -32,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut, drop, once, sized_join
 from .forms import canonical_form
@@ -46,8 +48,10 @@ ROUND = 24
 #: the set of one record is on disk while it is joined with that of the other.
 PAIRS = 20_000
 #: Bits of the sketch, and the distance beyond which a pair is not compared: the distance of a pair of
-#: similarity 0.5 is binomial with mean 64, so 5e-6 of them are farther; nearly all unlike pairs are.
-SKETCH, FAR = 256, 95
+#: similarity 0.5 is binomial with mean 128, so 5e-6 of them are farther; nearly all unlike pairs are.
+SKETCH, FAR = 512, 172
+#: Anchors of a partition in which equal ones are looked for.
+ANCHORS = 500_000
 PARTS = [f"s{j + 1}" for j in range(SKETCH // 64)]
 _word = re.compile(f"[\\w{MARKS}]+")
 _MIX, _S29, _S30, _S32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(29), np.uint64(30), np.uint64(32)
@@ -95,7 +99,7 @@ def shingles(words: list[str], k: int = SHINGLE) -> np.ndarray:
 
 def anchors(h: np.ndarray, a: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """One 32-bit word a mask, of the min-hash values at its places; and a bit of each of the first
-    256 values as four words, a sketch whose Hamming distance tells far pairs apart cheaply. The
+    512 values as eight words, a sketch whose Hamming distance tells far pairs apart cheaply. The
     shingles are hashed already, so a value is the least product with an odd number of its own."""
     low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     h = (h >> _S32).astype(np.uint32)
@@ -115,8 +119,8 @@ def anchors(h: np.ndarray, a: np.ndarray, rows: int) -> tuple[np.ndarray, np.nda
 
 
 def fingerprints(df: DataFrame, key: str, text: str, masks: int = MASKS, rows: int = ROWS, least_chars: int = LEAST_CHARS, k: int = SHINGLE) -> DataFrame:
-    """``(key, w1, w2, s1, .. s4, anchors0, ..)``: 128 bits of the word list, the sketch, the anchors by
-    round, so that a round reads its own only."""
+    """``(key, w1, w2, n, s1, .. s8, anchors0, ..)``: 128 bits of the word list, the number of triples, the
+    sketch, the anchors by round, so that a round reads its own only."""
     rounds = [(y, min(y + ROUND, masks)) for y in range(0, masks, ROUND)]
     names = [f"anchors{i}" for i in range(len(rounds))]
     src = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).where((F.length("_t") >= least_chars) & F.col("_k").isNotNull())
@@ -124,7 +128,7 @@ def fingerprints(df: DataFrame, key: str, text: str, masks: int = MASKS, rows: i
     def work(batches):
         a = _coefficients(masks * rows)
         for batch in batches:
-            at, w1, w2, found, sketch = [], [], [], [], []
+            at, w1, w2, n, found, sketch = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 words = word_list(t)
                 if len(words) < k:
@@ -133,15 +137,17 @@ def fingerprints(df: DataFrame, key: str, text: str, masks: int = MASKS, rows: i
                 at.append(i)
                 w1.append(d >> 64)
                 w2.append(d & (1 << 64) - 1)
-                key_words, bits = anchors(shingles(words, k), a, rows)
+                h = shingles(words, k)
+                n.append(len(h))
+                key_words, bits = anchors(h, a, rows)
                 found.append(key_words)
                 sketch.append(bits)
             flat = np.array(found, np.uint32).view(np.int32).reshape(len(at), masks)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (z - y)), pa.array(flat[:, y:z].ravel())) for y, z in rounds]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(w1, np.uint64).view(np.int64)), pa.array(np.array(w2, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(np.array(sketch, np.uint64).reshape(-1, len(PARTS))[:, j]).view(np.int64)) for j in range(len(PARTS))), *lists], names=["_k", "w1", "w2", *PARTS, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(w1, np.uint64).view(np.int64)), pa.array(np.array(w2, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *(pa.array(np.ascontiguousarray(np.array(sketch, np.uint64).reshape(-1, len(PARTS))[:, j]).view(np.int64)) for j in range(len(PARTS))), *lists], names=["_k", "w1", "w2", "n", *PARTS, *names])
 
     kind = src.schema["_k"].dataType.simpleString()
-    return src.mapInArrow(work, f"_k {kind}, w1 bigint, w2 bigint, {", ".join(f"{s} bigint" for s in PARTS)}, {", ".join(f"{s} array<int>" for s in names)}").withColumnRenamed("_k", key)
+    return src.mapInArrow(work, f"_k {kind}, w1 bigint, w2 bigint, n int, {", ".join(f"{s} bigint" for s in PARTS)}, {", ".join(f"{s} array<int>" for s in names)}").withColumnRenamed("_k", key)
 
 
 def triple_sets(df: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
@@ -157,39 +163,64 @@ def triple_sets(df: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFra
     return src.mapInArrow(work, f"_k {kind}, h binary").withColumnRenamed("_k", key)
 
 
-def _repeated(at: DataFrame) -> DataFrame:
-    """The rows of ``(anchor, rep, ..)``, each ``rep`` once, whose anchor has more than one. The rows
-    are shuffled once only, whatever the number of such anchors."""
+def _repeated(at: DataFrame, parts: int = 1) -> DataFrame:
+    """The rows ``(anchor, rep)``, each once, whose anchor has more than one. ``anchor`` may also be
+    a list, of a word for each mask. The rows are shuffled once only, whatever the number of such
+    anchors, packed into one piece for each of ``parts`` partitions, so that the JVM neither holds
+    them as rows nor sorts them."""
+    kind = at.schema["rep"].dataType
+    schema = pa.schema([("anchor", pa.int64()), ("rep", to_arrow_type(kind))])
 
-    def work(batches):
-        # rows of an anchor are neighbours; the last row waits, as its anchor may go on in the next batch
-        held, same = None, False
+    def pack(batches):
         for b in batches:
-            b = b if held is None else pa.concat_batches([held, b])
-            a, r = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            new = np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1])][: len(a)]
-            b, a = b.filter(pa.array(new)), a[new]
-            if not len(a):
+            anchor, rep = b.column(0), b.column(1)
+            if pa.types.is_list(anchor.type):
+                n = anchor.value_lengths().to_numpy()
+                mask = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                anchor, of = (mask << 32) + anchor.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            else:
+                anchor, of = anchor.to_numpy(), np.arange(len(anchor))
+            if not len(of):
                 continue
-            like = a[1:] == a[:-1]
-            keep = np.r_[same, like] | np.r_[like, False]
-            yield b.slice(0, len(a) - 1).filter(pa.array(keep[:-1]))
-            held, same = b.slice(len(a) - 1), keep[-1]
-        if same:
-            yield held
-
-    at = at.select("anchor", "rep", *[c for c in at.columns if c not in ("anchor", "rep")])
-    return at.repartition("anchor").sortWithinPartitions("anchor", "rep").mapInArrow(work, at.schema)
-
-
-def _meeting(prints: DataFrame, copies: DataFrame, column: str) -> DataFrame:
-    """``(rep_a, rep_b)``: representatives that meet at an anchor of this round and are not far apart."""
-    at = sized_join(prints.select("_id", *PARTS, F.col(column).alias("anchors")), copies, ["_id"], "left_anti", 2_000_000)
-    at = at.select(F.col("_id").alias("rep"), *PARTS, F.posexplode("anchors").alias("mask", "word")).select("rep", *PARTS, (F.shiftleft(F.col("mask").cast("bigint"), 32) + F.col("word")).alias("anchor"))
-    full = _cut(_repeated(at))
-    side = lambda x: full.select("anchor", F.col("rep").alias(f"rep_{x}"), *[F.col(s).alias(f"{x}{s}") for s in PARTS])
+            part = ((anchor.view(np.uint64) * _MIX) >> _S32) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            table = pa.RecordBatch.from_arrays([pa.array(anchor[order]), rep.take(pa.array(of[order])).cast(schema.field("rep").type)], schema=schema)
+            to, start = np.unique(part[order], return_index=True)
+            pieces = [table.slice(i, j - i).serialize() for i, j in zip(start, [*start[1:], len(order)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array([x.to_pybytes() for x in pieces], pa.binary())], names=["part", "rows"])
+
+    def work(batches):
+        pieces = [pa.ipc.read_record_batch(x.as_buffer(), schema) for b in batches for x in b.column(1)]
+        if not pieces:
+            return
+        table = pa.Table.from_batches(pieces)
+        found = table.filter(pa.array(_shared(table.column(0).to_numpy())))
+        found = found.group_by(["anchor", "rep"], use_threads=False).aggregate([]).select(["anchor", "rep"])  # rows given twice
+        yield from found.filter(pa.array(_shared(found.column(0).to_numpy()))).combine_chunks().to_batches(50_000)
+
+    packed = at.select("anchor", "rep").mapInArrow(pack, "part int, rows binary")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(work, f"anchor bigint, rep {kind.simpleString()}")
+
+
+def _shared(x: np.ndarray) -> np.ndarray:
+    """Of each value, whether it stands more than once."""
+    order = np.argsort(x)
+    like = x[order[1:]] == x[order[:-1]]
+    out = np.zeros(len(x), bool)
+    out[order[1:][like]] = out[order[:-1][like]] = True
+    return out
+
+
+def _meeting(prints: DataFrame, copies: DataFrame, column: str, records: int, least: float) -> DataFrame:
+    """``(rep_a, rep_b)``: representatives that meet at an anchor of this round, are not far apart and
+    have sets of sizes at which ``least`` is possible."""
+    at = sized_join(prints.select("_id", F.col(column).alias("anchor")), copies, ["_id"], "left_anti", 2_000_000)
+    marks = prints.select(F.col("_id").alias("rep"), "n", *PARTS)
+    full = _cut(_repeated(at.withColumnRenamed("_id", "rep"), -(-max(1, records) * ROUND // ANCHORS)).join(marks, "rep"))
+    side = lambda x: full.select("anchor", F.col("rep").alias(f"rep_{x}"), *[F.col(s).alias(f"{x}{s}") for s in ("n", *PARTS)])
     far = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in PARTS), F.lit(0))
-    met = _cut(side("a").join(side("b"), "anchor").where((F.col("rep_a") < F.col("rep_b")) & (far <= FAR)).select("rep_a", "rep_b").distinct())
+    near = (F.col("rep_a") < F.col("rep_b")) & (F.least("an", "bn") / F.greatest("an", "bn") >= least) & (far <= FAR)
+    met = _cut(side("a").join(side("b"), "anchor").where(near).select("rep_a", "rep_b").distinct())
     drop(full)
     return met
 
@@ -221,9 +252,9 @@ def similar_classes(df: DataFrame, key: str, text: str, least: float = LEAST, pa
     reps = words.groupBy("w1", "w2").agg(F.min("_id").alias("rep"))
     members = _cut(words.join(reps, ["w1", "w2"]).select(F.col("_id").alias(key), "rep"))
     copies = _cut(members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("_id")))
-    rounds = []
+    rounds, records = [], prints.count()
     for column in [c for c in prints.columns if c.startswith("anchors")]:
-        rounds.append(_meeting(prints, copies, column))
+        rounds.append(_meeting(prints, copies, column, records, least))
         _free(df.sparkSession)
     candidates = _cut(reduce(DataFrame.unionByName, rounds).distinct())
     drop(prints, copies, *rounds)

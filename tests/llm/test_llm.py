@@ -280,6 +280,28 @@ def test_near_duplicate_tables_leave_the_disk(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def test_anchors_are_shuffled_packed_and_alone(spark, monkeypatch, tmp_path):
+    # lists of a word a mask; equal words under unlike masks are unlike anchors, a record given twice is one
+    lists = [("a", [1, -2]), ("b", [5, 1]), ("c", [1, 7]), ("c", [1, 7]), ("d", [8, 7]), ("e", [9, 9]), ("e", [9, 9])]
+    at = spark.createDataFrame(lists, "rep string, anchor array<int>")
+    for parts in (1, 3):
+        got = neardup._repeated(at, parts)
+        assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "c"), ((1 << 32) + 7, "c"), ((1 << 32) + 7, "d")]
+        plan = got._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+        assert "Sort" not in plan and plan.count("Exchange") == 1
+    assert neardup._repeated(at.limit(0)).collect() == []
+    # what is shuffled by anchor has no sketches; pairs whose sizes rule the similarity out are not met
+    monkeypatch.setattr("tessella.session.shared_dir", lambda s: str(tmp_path))
+    r = random.Random(9)
+    long = [f"w{r.randrange(300)}" for _ in range(260)]
+    df = chunks(spark, [(1, "s", "d", 1, " ".join(long), "en"), (2, "s", "d", 1, " ".join(long[:120]), "en"), (3, "s", "d", 1, " ".join(long[:250]), "en")])
+    seen, real = [], neardup._repeated
+    monkeypatch.setattr(neardup, "_repeated", lambda x, *a: (seen.append(x.columns), real(x, *a))[1])
+    prints = neardup.fingerprints(df, "id", "text").withColumnRenamed("id", "_id")
+    met = neardup._meeting(prints, prints.select("_id").limit(0), "anchors0", 3, neardup.LEAST)
+    assert [sorted(x) for x in seen] == [["anchor", "rep"]] and sorted(map(tuple, met.collect())) == [(1, 3)]
+
+
 def test_pairs_at_one_half_are_met(spark):
     # 400 pairs of 300 triples, 200 shared, so each is at just 0.5
     r = np.random.default_rng(4)
