@@ -331,6 +331,7 @@ class Model:
     def _vector(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The terms of the index in a sentence of words by number, and their weights in its unit vector."""
         size, last = len(self.index.terms), self.base - 1
+        x = np.asarray(x, np.int64)  # of no words too, whose array is one of floats
         words, m = np.unique(x, return_counts=True)
         pairs, n = np.unique(x[:-1] << 32 | x[1:], return_counts=True)
         a, b = pairs >> 32, pairs & 0xFFFFFFFF
